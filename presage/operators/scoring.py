@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from presage.functions import scalars as S
-from presage.operators.skew import join_back
+from presage.operators.skew import with_totals
 
 BOARD_SUMS = ("brier", "weighted_brier", "decayed_brier", "decay", "log_score", "hit")
 
@@ -81,9 +81,7 @@ def category_board(cells: DataFrame) -> DataFrame:
 
 def elo(cells: DataFrame, k: float = 32.0, start: float = 1200.0) -> DataFrame:
     """Zero-sum rating: winners gain k*wrong/n, losers give k*right/n, per entry."""
-    per_market = cells.groupBy("market_id").agg(
-        F.sum("hit").alias("right"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("cells"))
-    joined = join_back(cells, per_market, ["market_id"], "cells", F.col("source_id"))
+    joined = with_totals(cells, ["market_id"], {"right": F.sum("hit"), "all": F.sum("n")}, F.col("source_id"))
     wrong = F.col("all") - F.col("right")
     gain = F.when((F.col("right") > 0) & (wrong > 0),
                   k * (F.col("hit") * wrong - (F.col("n") - F.col("hit")) * F.col("right")) / F.col("all")).otherwise(0.0)

@@ -1,9 +1,11 @@
 """Group-wise steps that stay parallel when one group holds much of the data.
 
-Spark's own windows put a whole group into one task. The helpers here replace
-them where a group has no size bound: totals are partial aggregates joined back
-on a salted key, ranks and running sums work on small value buckets, and exact
-quantiles narrow down to the one bucket that holds them.
+Spark's own windows put a whole group into one task. That is fine while the
+whole input is provably small (``SMALL_INPUT`` bytes of source files); beyond
+it totals are partial aggregates joined back on a salted key, ranks work on
+small value buckets, and exact quantiles narrow down to the one bucket that
+holds them. Steps that read their input twice first write it to the checkpoint
+folder, so a chain of them grows linearly.
 """
 
 from __future__ import annotations
@@ -12,18 +14,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from presage.session import cut_lineage, input_bytes
+
+SMALL_INPUT = 1 << 30  # below this many source bytes even one group is one task's work
 HOT_SHARE = 1000      # a key is hot from 1/1000 of all rows on: at most 1000 hot keys
 HOT_MIN_ROWS = 200_000
 MAX_SALTS = 256
 
 
-def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & a[k].eqNullSafe(b[k])
-    return cond
-
-
 def join_back(rows: DataFrame, totals: DataFrame, keys: Sequence[str], n: str, row_id: Column) -> DataFrame:
     """Left join per-group ``totals`` onto ``rows``; hot groups are salted.
 
@@ -60,9 +58,30 @@ def _null_safe_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
     return left.join(renamed, cond, "left").drop(*[f"_r_{k}" for k in keys])
 
 
-def with_totals(rows: DataFrame, keys: Sequence[str], aggs: Sequence[Column], row_id: Column) -> DataFrame:
+def is_small(rows: DataFrame) -> bool:
+    return input_bytes(rows) <= SMALL_INPUT
+
+
+def fork(rows: DataFrame) -> DataFrame:
+    """Prepare rows that are read more than once: a large input is written out first."""
+    return rows if is_small(rows) else cut_lineage(rows)
+
+
+def attach(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], n: str, row_id: Column) -> DataFrame:
+    """Left join one row per group (with its row count ``n``) onto forked rows."""
+    if is_small(rows):
+        return rows.join(per_group, list(keys), "left").drop(n)
+    return join_back(rows, per_group, keys, n, row_id).drop(n)
+
+
+def with_totals(rows: DataFrame, keys: Sequence[str], aggs: dict[str, Column], row_id: Column) -> DataFrame:
     """Attach aggregates of a row's group to the row (a window without ordering)."""
-    totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_group"), *aggs)
+    keys = list(keys)
+    if is_small(rows):
+        group = Window.partitionBy(*keys)
+        return rows.withColumns({name: agg.over(group) for name, agg in aggs.items()})
+    rows = cut_lineage(rows)
+    totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_group"), *[agg.alias(name) for name, agg in aggs.items()])
     return join_back(rows, totals, keys, "_n_group", row_id).drop("_n_group")
 
 
@@ -80,6 +99,9 @@ def with_rank(
     of rows in earlier buckets plus the position inside the own bucket.
     """
     keys = list(keys)
+    if is_small(rows):
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    rows = cut_lineage(rows)
     bnames = [f"_b{i}" for i in range(len(bucket))]
     rows = rows.withColumns(dict(zip(bnames, bucket)))
     cells = rows.groupBy(*keys, *bnames).agg(F.count(F.lit(1)).alias("_cell"))
@@ -122,8 +144,8 @@ def exact_quantiles(
     keys = list(keys)
     rows = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     dist = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    span = dist.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("n"), F.count(F.lit(1)).alias("_dn"))
-    dist = join_back(dist, span, keys, "_dn", F.col("_v")).withColumn(
+    span = {"_lo": F.min("_v"), "_hi": F.max("_v"), "n": F.sum("_c")}
+    dist = with_totals(dist, keys, span, F.col("_v")).withColumn(
         "_g",
         F.when(F.col("_hi") > F.col("_lo"),
                F.least(F.lit(grid - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * grid)))
@@ -142,8 +164,7 @@ def exact_quantiles(
         .dropDuplicates([*keys, "prob", "_k"])
     )
     need = wanted.select(*keys, "_g").distinct()
-    inside = dist.select(*keys, "_g", "_v", "_c").join(need, [*keys, "_g"], "left_semi") if keys else dist.select(
-        "_g", "_v", "_c").join(need, ["_g"], "left_semi")
+    inside = dist.select(*keys, "_g", "_v", "_c").join(need, [*keys, "_g"], "left_semi")
     run = Window.partitionBy(*keys, "_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("_cum", F.sum("_c").over(run))
     hit = wanted.join(inside, [*keys, "_g"]).filter(
@@ -164,9 +185,8 @@ def weighted_medians(rows: DataFrame, keys: Sequence[str], value: str, weight: s
     rows = rows.filter(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double").alias("_v"), F.col(weight).cast("double").alias("_w"))
     dist = rows.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"))
-    span = dist.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_w").alias("_tw"), F.count(F.lit(1)).alias("_dn"))
-    dist = join_back(dist, span, keys, "_dn", F.col("_v")).filter(F.col("_tw") > 0).withColumn(
+    span = {"_lo": F.min("_v"), "_hi": F.max("_v"), "_tw": F.sum("_w")}
+    dist = with_totals(dist, keys, span, F.col("_v")).filter(F.col("_tw") > 0).withColumn(
         "_g",
         F.when(F.col("_hi") > F.col("_lo"),
                F.least(F.lit(grid - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * grid)))

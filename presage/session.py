@@ -31,6 +31,12 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files and tables under a plan: a bound on what a scan reads."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def scan_within(df: DataFrame, max_bytes: int) -> DataFrame:
     """Refuse a scan whose estimated size is over the limit."""
     size = plan_bytes(df)
@@ -40,7 +46,11 @@ def scan_within(df: DataFrame, max_bytes: int) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One input table; zoneless timestamps are read as UTC instants."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    zoneless = [c for c, t in df.dtypes if t == "timestamp_ntz"]
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
 
 
 def r6(col):
