@@ -15,6 +15,12 @@ def literal_map(d: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times inside ``body``; a lambda
+    over a one-element array keeps Catalyst from copying the expression."""
+    return F.transform(F.array(value), body)[0]
+
+
 def clamp(x: Column, lo: float, hi: float) -> Column:
     """Clamp that keeps null (least/greatest alone would return the bound)."""
     return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))

@@ -3,27 +3,37 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; invent one only for local runs."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isEmpty():
-        return
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; one of our own only for local runs."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not sc.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="presage-ckpt-")
-    sc.setCheckpointDir(shared)
+        shared = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="presage-"))
+    return shared
+
+
+_LOCAL: dict[str, str] = {}
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read on from there."""
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` as a table in the checkpoint folder and read on from there.
+
+    Survives lost executors, computes the input once, and gives later steps
+    real file sizes, column pruning and pushed filters.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/presage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def plan_bytes(df: DataFrame) -> int:
