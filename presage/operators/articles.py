@@ -65,7 +65,7 @@ def reduce_articles(claims: DataFrame, keys: Sequence[str] = ("pool_id", "articl
         (F.max("_graded") > 0).alias("settled"), (F.count_if("settled") - F.max("_graded")).alias("settlement_demoted"),
         first(c("quantitative_estimate").isNotNull(), c("quantitative_estimate")).alias("quantitative_estimate"),
         wmean(fact, c("fact_signal"), w).alias("fact_signal"), dominant.alias("_d"),
-        F.element_at(F.array(*[F.lit(x) for x in LEVELS]), F.nullif(F.max(rank), F.lit(0)).cast("int")).alias("confidence_level"),
+        F.max_by("level", F.when(c("level").isNotNull(), rank)).alias("confidence_level"),
         F.min_by("event_date", when(c("_grade") & (c("_st") >= 0) & c("event_date").isNotNull(), F.struct(-c("_ce"), c("event_date")))).alias("_pos_date"),
         F.min_by("event_date", when(c("_grade") & (c("_st") < 0) & c("event_date").isNotNull(), F.struct(-c("_ce"), c("event_date")))).alias("_neg_date"))
     # distinct traps of one article in first-seen order: a small fixed vocabulary
