@@ -29,7 +29,7 @@ def url_path(url: Column) -> Column:
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
-    return F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
 
 
 def url_date(url: Column) -> Column:
@@ -65,7 +65,7 @@ def html_date(html: Column) -> Column:
     tries = [F.regexp_extract(html, f"(?i)<meta[^>]*(?:property|name|itemprop)=[\"']{n.replace('.', chr(92) + '.')}[\"'][^>]*content=[\"']\\s*{day}", 1) for n in names]
     tries.append(F.regexp_extract(html, f"(?i)<time[^>]*datetime=[\"']\\s*{day}", 1))
     tries += [F.regexp_extract(html, f"\"{k}\"\\s*:\\s*\"{day}", 1) for k in ("datePublished", "dateCreated", "uploadDate")]
-    return F.coalesce(*[F.try_to_date(x, F.lit("yyyy-MM-dd")) for x in tries])
+    return F.coalesce(*[F.try_to_date(x, "yyyy-MM-dd") for x in tries])
 
 
 def page_text(html: Column) -> Column:

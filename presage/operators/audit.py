@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def gate_matrix(candidates: DataFrame, flags: list[Column], bad: Column) -> DataFrame:
@@ -19,3 +19,94 @@ def gate_matrix(candidates: DataFrame, flags: list[Column], bad: Column) -> Data
     out = both.groupBy("combo").agg(s(F.col("_stop") & F.col("_bad")).alias("tp"), s(F.col("_stop") & ~F.col("_bad")).alias("fp"),
                                     s(~F.col("_stop") & F.col("_bad")).alias("fn"), s(~F.col("_stop") & ~F.col("_bad")).alias("tn"))
     return out.withColumns({"prec": F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0)), "recall": F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0))})
+
+
+def parse_log(lines: DataFrame, since: str | None = None) -> DataFrame:
+    """Typed rows from ``event=name k=v …`` lines; lines without a time are dropped."""
+    v = F.col("value")
+    kv = F.str_to_map(F.regexp_replace(F.regexp_extract(v, "(event=.*)$", 1), "\\s+", " "), F.lit(" "), F.lit("="))
+    out = lines.select(F.try_to_timestamp(F.regexp_extract(v, "^(\\d{4}-\\d\\d-\\d\\d \\d\\d:\\d\\d:\\d\\d)", 1), F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"), kv.alias("kv"))
+    out = out.filter(F.col("ts").isNotNull() & F.col("kv")["event"].isNotNull())
+    return out if since is None else out.filter(F.col("ts") >= F.to_timestamp(F.lit(since)))
+
+
+def event_counts(log: DataFrame) -> DataFrame:
+    return log.groupBy(F.col("kv")["event"].alias("event")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"))
+
+
+def flag_status(flags: DataFrame, counts: DataFrame) -> DataFrame:
+    """OFF for a disabled flag, else PASS or SILENT by whether its event was seen."""
+    return flags.join(counts, "event", "left").select("flag", "event", F.coalesce("n", F.lit(0)).alias("n"), F.when(~F.col("enabled"), "OFF").when(
+        F.coalesce("n", F.lit(0)) > 0, "PASS").otherwise("SILENT").alias("status"))
+
+
+def pair_nearest(shadows: DataFrame, verdicts: DataFrame, seconds: int = 120) -> DataFrame:
+    """One-to-one pairs of a question's lines: each shadow line in order takes the
+    nearest free verdict within the window; leftovers of both sides stay.
+
+    A question's log falls apart wherever nothing is logged for a whole window;
+    each such run is paired by itself.
+    """
+    both = shadows.select("question", "id", "t", F.lit(True).alias("shadow")).unionByName(verdicts.select("question", "id", "t", F.lit(False).alias("shadow")))
+    both = both.withColumn("_b", F.floor(F.col("t") / seconds))
+    cells = both.select("question", "_b").distinct()
+    order = Window.partitionBy("question").orderBy("_b")  # one row per window of clock time
+    fresh = (F.col("_b") - F.lag("_b").over(order) > 1).cast("int")
+    runs = cells.withColumn("_new", F.coalesce(fresh, F.lit(0))).withColumn("run", F.sum("_new").over(order)).drop("_new")
+
+    def greedy(pdf):
+        import pandas as pd
+
+        s = pdf[pdf.shadow].sort_values(["t", "id"])
+        v = pdf[~pdf.shadow].sort_values(["t", "id"])
+        free = dict(zip(v.id, v.t))
+        rows = []
+        for sid, st in zip(s.id, s.t):
+            best = min(((abs(t - st), k, i) for k, (i, t) in enumerate(free.items()) if abs(t - st) <= seconds), default=None)
+            if best is not None:
+                free.pop(best[2])
+            rows.append((pdf.question.iloc[0], sid, None if best is None else best[2]))
+        rows += [(pdf.question.iloc[0], None, i) for i in free]
+        return pd.DataFrame(rows, columns=["question", "shadow_id", "verdict_id"]).astype({"shadow_id": "Int64", "verdict_id": "Int64"})
+
+    return both.join(runs, ["question", "_b"]).groupBy("question", "run").applyInPandas(greedy, "question string, shadow_id long, verdict_id long")
+
+
+def facet_gate(runs: DataFrame, expected: DataFrame) -> DataFrame:
+    """Facets met in any run per case and arm, with regressions and improvements."""
+    hit = runs.join(expected, ["case_id", "facet"]).groupBy("case_id", "facet", "arm").agg(F.bool_or(F.col("value").eqNullSafe(F.col("want"))).alias("met"))
+    wide = hit.groupBy("case_id", "facet").agg(F.max(F.when(F.col("arm") == "base", F.col("met"))).alias("base"), F.max(F.when(F.col("arm") == "patched", F.col("met"))).alias("patched"))
+    return wide.withColumns({"regression": F.col("base") & ~F.col("patched"), "improvement": ~F.col("base") & F.col("patched")})
+
+
+def stability(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Range, spread, sign-flip rate against the modal sign, and the sign counts."""
+    s = F.signum(value)
+    pos, neg, zero = F.count_if(s > 0), F.count_if(s < 0), F.count_if(s == 0)
+    n = F.count(value)
+    return runs.groupBy(*keys).agg(n.alias("runs"), (F.max(value) - F.min(value)).alias("range"), F.stddev_pop(value).alias("stdev"),
+                                   F.when(n < 2, 0.0).otherwise(1 - F.greatest(pos, neg, zero) / n).alias("flip_rate"),
+                                   F.concat(F.lit("+"), pos.cast("string"), F.lit("/-"), neg.cast("string"), F.lit("/0x"), zero.cast("string")).alias("signs"))
+
+
+def unique_decisions(votes: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """Decisions with the same vote set count once.
+
+    The signature adds up hashes of the distinct items, so a set of any size
+    merges map-side instead of being listed.
+    """
+    distinct = votes.select(*keys, item).distinct()
+    sig = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("votes"), F.sum(F.xxhash64(item).cast("decimal(38,0)")).alias("_a"), F.bit_xor(F.xxhash64(F.lit(17), F.col(item))).alias("_b"))
+    return sig.groupBy(keys[0], "votes", "_a", "_b").agg(F.min(keys[1]).alias("first_decision"), F.count(F.lit(1)).alias("repeats")).drop("_a", "_b")
+
+
+def failure_reason(counts: dict[str, Column]) -> Column:
+    """Dominant reason of an empty forecast from its outcome histogram."""
+    errors = counts["gate_error"] + counts["extract_error"]
+    total = counts["total"]
+    return (F.when((errors > 0) & (errors >= total / 2), "extraction_errors").when(counts["gate_rejected"] >= total / 2, "all_articles_off_topic")
+            .when(counts["empty_text"] >= total / 2, "all_fetches_failed").otherwise("no_usable_predictions"))
+
+
+def settlement_band(rate: Column, go: float = 0.05, stop: float = 0.15) -> Column:
+    return F.when(rate <= go, "go").when(rate <= stop, "escalate").otherwise("no-go")
