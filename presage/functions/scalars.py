@@ -26,6 +26,11 @@ def clamp(x: Column, lo: float, hi: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
 
 
+def bound(x: Column, lo: float, hi: float) -> Column:
+    """Clamp for values that are never null; mentions ``x`` once, so nested bounds stay small."""
+    return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
+
+
 def prob(stance: Column) -> Column:
     return (stance + 1.0) / 2.0
 
@@ -44,7 +49,8 @@ def logit(p: Column) -> Column:
 
 
 def sigmoid(x: Column) -> Column:
-    return F.when(x >= 0, 1.0 / (1.0 + F.exp(-x))).otherwise(F.exp(x) / (1.0 + F.exp(x)))
+    # exp overflows to infinity, which gives the right limit 0
+    return 1.0 / (1.0 + F.exp(-x))
 
 
 def brier(p: Column, outcome: Column) -> Column:

@@ -210,7 +210,7 @@ SUMS = ("n", "w", "w2", "wl", "wp", "wpp", "l", "p", "pp", "wcap", "rel", "valve
 
 def pool_cells(rows: DataFrame, keys: Sequence[str], rules: PoolRules) -> DataFrame:
     """Additive sums per (pool, source, voting cluster): all the pooled numbers need."""
-    p = S.clamp(S.prob(F.col("stance")), rules.logit_clamp, 1.0 - rules.logit_clamp)
+    p = S.bound(S.prob(F.col("stance")), rules.logit_clamp, 1.0 - rules.logit_clamp)
     reason = vote_reason(rules) if rules.revalidate else F.lit(None).cast("string")
     rows = rows.withColumn("_p", p).withColumn("_l", S.logit(F.col("_p"))).withColumn(
         "_reason", F.when(F.col("settled"), reason)).withColumn("_ok", F.col("settled") & F.col("_reason").isNull())
@@ -263,12 +263,12 @@ def pooled_interval(rules: PoolRules, w: Column, w2: Column, wl: Column, wp: Col
     sem = std / F.sqrt(F.when(flat, n.cast("double")).otherwise(kish(w, w2, n)))
     e = rules.logit_clamp
     return {"mean": S.stance(mean_p), "std": 2.0 * std,
-            "ci_low": S.stance(S.clamp(mean_p - Z95 * sem, e, 1 - e)), "ci_high": S.stance(S.clamp(mean_p + Z95 * sem, e, 1 - e))}
+            "ci_low": S.stance(S.bound(mean_p - Z95 * sem, e, 1 - e)), "ci_high": S.stance(S.bound(mean_p + Z95 * sem, e, 1 - e))}
 
 
 def pool_sources(rows: DataFrame, keys: Sequence[str], rules: PoolRules = PoolRules(), weight: str = "weight") -> DataFrame:
     """Plain logit pool of (stance, weight) rows: one partial aggregate per pool."""
-    p = S.clamp(S.prob(F.col("stance")), rules.logit_clamp, 1.0 - rules.logit_clamp)
+    p = S.bound(S.prob(F.col("stance")), rules.logit_clamp, 1.0 - rules.logit_clamp)
     w = F.col(weight)
     rows = rows.withColumn("_p", p).withColumn("_l", S.logit(F.col("_p")))
     sums = rows.groupBy(*keys).agg(
@@ -341,11 +341,11 @@ def decide(t: DataFrame, keys: Sequence[str], rules: PoolRules) -> DataFrame:
     lo, hi, std = S.prob(c("_ci_low")), S.prob(c("_ci_high")), c("_std")
     if rules.decisiveness > 0:
         deficit = (rules.decisiveness - c("valve")) / rules.decisiveness
-        extra = S.clamp(deficit, 0.0, 1.0) * rules.inflation
+        extra = S.bound(deficit, 0.0, 1.0) * rules.inflation
         widen = (deficit > 0) & F.lit(rules.inflation > 0)
         t = t.withColumns({
-            "_lo": F.when(widen, S.clamp(F.least(lo, mean_p) - extra, e, 1 - e)).otherwise(lo),
-            "_hi": F.when(widen, S.clamp(F.greatest(hi, mean_p) + extra, e, 1 - e)).otherwise(hi),
+            "_lo": F.when(widen, S.bound(F.least(lo, mean_p) - extra, e, 1 - e)).otherwise(lo),
+            "_hi": F.when(widen, S.bound(F.greatest(hi, mean_p) + extra, e, 1 - e)).otherwise(hi),
             "_sd": F.when(widen, F.greatest(std, 2.0 * extra)).otherwise(std)})
         floor_n = F.least(c("n_eff"), c("wcap") / rules.decisiveness)
     else:
@@ -354,7 +354,7 @@ def decide(t: DataFrame, keys: Sequence[str], rules: PoolRules) -> DataFrame:
     if rules.dispersion > 0:
         half = Z95 * rules.dispersion / F.sqrt(F.greatest(floor_n, F.lit(1.0)))
         t = t.withColumns({
-            "_lo": S.clamp(F.least(c("_lo"), mean_p - half), e, 1 - e), "_hi": S.clamp(F.greatest(c("_hi"), mean_p + half), e, 1 - e),
+            "_lo": S.bound(F.least(c("_lo"), mean_p - half), e, 1 - e), "_hi": S.bound(F.greatest(c("_hi"), mean_p + half), e, 1 - e),
             "_sd": F.greatest(c("_sd"), F.lit(2.0 * rules.dispersion))})
     pin = c("_dir") * rules.pin_stance
     pin_p = S.prob(pin)

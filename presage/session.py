@@ -43,7 +43,7 @@ def plan_bytes(df: DataFrame) -> int:
 
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files and tables under a plan: a bound on what a scan reads."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
