@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from presage.functions import scalars as S
@@ -48,7 +48,7 @@ def append_once_sink(path: str, key: str) -> Callable[[DataFrame, int], None]:
         fresh = batch.dropDuplicates([key])
         root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         if root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
-            old = spark.read.schema(batch.schema.add("epoch", "long")).parquet(path).filter(F.col("epoch") != epoch)
+            old = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("epoch", T.LongType())])).parquet(path).filter(F.col("epoch") != epoch)
             fresh = fresh.join(old.select(key), key, "left_anti").select(*batch.columns)
         fresh.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 

@@ -179,3 +179,13 @@ def test_small_rules(spark):
         X.normalise_entities(F.lit("The US,  Israel , U.S.A")).alias("names"), S.relevance_weight(F.lit(0.704)).alias("rel"), W.slug_title(F.lit("https://x.org/a/12-rate-cut-of-the-bank/")).alias("title"),
         F.array_join(W.query_terms(F.lit("Will Angela Merkel visit Paris before:2020 OR Gaza")), "|").alias("terms"), W.cap_words(F.lit("one two three"), 9).alias("cap")).first()
     assert row.names == "israel, united states" and row.rel == 0.49 and row.title == "Rate Cut of the Bank" and row.terms == "Will Angela Merkel|Paris    Gaza|Will|Angela|Merkel|Paris" and row.cap == "one two"
+
+
+def test_date_mentions(spark):
+    from presage.functions.mentions import date_mentions
+
+    text = "On 2024-01-20 and 3.2.2024, March 5 and 7. Januar 2023; yesterday, Friday, next week."
+    df = spark.createDataFrame([(1, text)], "id int, t string").withColumn("pub", F.to_date(F.lit("2024-01-17")))
+    got = {(str(r.start), str(r.end)) for r in date_mentions(df, "id", "t", "pub").collect()}
+    want = {("2024-01-20",) * 2, ("2024-02-03",) * 2, ("2023-03-05",) * 2, ("2024-03-05",) * 2, ("2023-01-07",) * 2, ("2024-01-16",) * 2, ("2024-01-12",) * 2, ("2024-01-19",) * 2, ("2024-01-22", "2024-01-28")}
+    assert got == want
