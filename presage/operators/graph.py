@@ -83,7 +83,7 @@ def intercepts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def _normalise(values: DataFrame, groups: DataFrame) -> DataFrame:
     """Scale the unlocked members of exclusive groups into what the locked leave."""
     mem = groups.select("group_id", "allow_other", F.explode("members").alias("id"))
-    rows = values.join(F.broadcast(mem), "id", "left")
+    rows = values.join(mem, "id", "left")
     w = Window.partitionBy("scenario", "group_id")  # at most one graph's nodes
     locked, free = F.sum(F.when(F.col("locked"), F.col("p")).otherwise(0.0)).over(w), F.sum(F.when(~F.col("locked"), F.col("p")).otherwise(0.0)).over(w)
     budget = F.greatest(F.lit(0.0), 1.0 - locked)
@@ -103,19 +103,19 @@ def propagate(nodes: DataFrame, edges: DataFrame, observed: DataFrame, groups: D
     b = cut_lineage(intercepts(nodes, edges))
     weighted = edge_weights(edges)
     seen = observed.select("scenario", "id", S.clamp(F.col("p"), 0.0, 1.0).alias("obs"))
-    base = observed.select("scenario").distinct().crossJoin(F.broadcast(nodes.select("id", "prior")))
+    base = observed.select("scenario").distinct().crossJoin(nodes.select("id", "prior"))
     values = base.join(seen, ["scenario", "id"], "left").select(
         "scenario", "id", F.coalesce("obs", "prior").alias("p"), F.col("obs").isNotNull().alias("locked"))
     values = cut_lineage(values)
     for d in range(1, depth + 1):
         kids = weighted.join(placed.filter(F.col("layer") == d).select(F.col("id").alias("target")), "target", "left_semi")
-        meet = values.select("scenario", F.col("id").alias("source"), "p").join(F.broadcast(kids), "source")
+        meet = values.select("scenario", F.col("id").alias("source"), "p").join(kids, "source")
         if reconcile:
             k = F.when(F.col("type") == "secondary", SECONDARY).otherwise(1.0)
             new = meet.groupBy("scenario", "target").agg((F.sum(k * (F.col("p_yes") * F.col("p") + F.col("p_no") * (1 - F.col("p")))) / F.sum(k)).alias("_new"))
         else:
             ps = F.array_sort(F.collect_list(F.struct("source", "w", "p")))
-            new = meet.groupBy("scenario", "target").agg(ps.alias("ps")).join(F.broadcast(b), "target").select(
+            new = meet.groupBy("scenario", "target").agg(ps.alias("ps")).join(b, "target").select(
                 "scenario", "target", let(_states(F.col("ps")), lambda s: _marginal(s, F.col("b"))).alias("_new"))
         values = values.join(new.withColumnRenamed("target", "id"), ["scenario", "id"], "left").select(
             "scenario", "id", F.when(F.col("locked") & F.lit(not reconcile), F.col("p")).otherwise(F.coalesce("_new", "p")).alias("p"), "locked")
@@ -129,7 +129,7 @@ def propagate(nodes: DataFrame, edges: DataFrame, observed: DataFrame, groups: D
 
 def what_if(values: DataFrame, nodes: DataFrame) -> DataFrame:
     p = F.round("p", 4)
-    return values.join(F.broadcast(nodes.select("id", "prior")), "id").select(
+    return values.join(nodes.select("id", "prior"), "id").select(
         "scenario", "id", F.round("prior", 4).alias("prior"), p.alias("p"), F.round(p - F.col("prior"), 4).alias("delta"), "locked")
 
 

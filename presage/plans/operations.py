@@ -190,3 +190,25 @@ def market_word_matches(spark, sf):
     kinds = q.select(F.array_sort("w").alias("w")).distinct().withColumn("word", F.explode("w")).join(m, "word").groupBy("w", "name").agg(F.count(F.lit(1)).alias("hits"))
     best = kinds.withColumn("ratio", F.col("hits") / F.size("w")).filter("ratio >= 0.5").select("w", "name", "ratio")
     return q.withColumn("w", F.array_sort("w")).join(best, "w").select("qid", "name", "ratio")
+
+
+@Q.add("settled_arms", with_views("pools rich_claims", """
+SELECT label, count(*) AS candidates, count(*) FILTER (WHERE base) AS kept_base, count(*) FILTER (WHERE patched) AS kept_patched, count(*) FILTER (WHERE base AND NOT patched) AS lost, count(*) FILTER (WHERE patched AND NOT base) AS gained
+FROM (SELECT CASE WHEN (claim_ix * 7 + k) % 10 < 5 THEN 'ADJACENT' ELSE 'SETTLES' END AS label, coalesce(is_occurrence, true) AS base, coalesce(facet, '') NOT IN ('announcement', 'denial') AS patched FROM rich_claims WHERE settled) GROUP BY 1"""))
+def settled_arms(spark, sf):
+    """Settlement candidates two rule sets keep, by label, with flips between them."""
+    c = fx.rich_claims(spark, sf).filter("settled")
+    base, patched = F.coalesce("is_occurrence", F.lit(True)), ~F.coalesce("facet", F.lit("")).isin("announcement", "denial")
+    label = F.when((F.col("claim_ix") * 7 + F.col("k")) % 10 < 5, "ADJACENT").otherwise("SETTLES")
+    return c.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("candidates"), F.count_if(base).alias("kept_base"), F.count_if(patched).alias("kept_patched"),
+                                               F.count_if(base & ~patched).alias("lost"), F.count_if(patched & ~base).alias("gained"))
+
+
+@Q.add("document_aliases")
+def document_aliases(spark, sf):
+    """Subject names found in texts under their normalised forms."""
+    from presage.functions import text as X
+
+    names = spark.createDataFrame([("Ther-E",), ("Über",), ("Que",)], "alias string").select("alias", X.match_key(F.col("alias")).alias("key"))
+    d = table(spark, sf, "documents").select("doc_id", X.match_key(F.col("text")).alias("t"))
+    return d.crossJoin(F.broadcast(names)).filter(X.contains_alias(F.col("t"), F.col("key"))).select("doc_id", "alias")

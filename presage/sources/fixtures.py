@@ -43,8 +43,7 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per market with its outcome, outcome date and categories."""
     m = F.col("market_id")
     return (
-        table(spark, sf_dir, "events").filter(F.col("event_id") % 40 == 0)
-        .select(F.floor(F.col("event_id") / 40).cast("long").alias("market_id"))
+        table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 40).cast("long").alias("market_id")).distinct()
         .select(
             m, (m % 3 != 0).alias("outcome"),
             F.date_add(F.to_date(F.lit("2024-01-12")), (m % 19).cast("int")).alias("outcome_date"),
@@ -121,9 +120,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions with direction, window and archetype."""
     q = F.col("pool_id")
-    return table(spark, sf_dir, "events").filter(F.col("event_id") % 40 == 0).select(
-        F.floor(F.col("event_id") / 40).cast("long").alias("pool_id")
-    ).select(
+    return table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 40).cast("long").alias("pool_id")).distinct().select(
         q, F.when(q % 3 == 0, "arrival").when(q % 3 == 1, "survival").alias("claim_direction"),
         F.when(q % 11 != 0, F.date_add(F.to_date(F.lit("2024-01-08")), (q % 25).cast("int"))).alias("claim_deadline"),
         F.when(q % 13 != 0, F.date_add(F.to_date(F.lit("2023-12-20")), (q % 9).cast("int"))).alias("claim_created"),
@@ -241,7 +238,7 @@ SQL: dict[str, str] = {
              CASE WHEN q % 11 <> 0 THEN DATE '2024-01-08' + CAST(q % 25 AS INTEGER) END AS claim_deadline,
              CASE WHEN q % 13 <> 0 THEN DATE '2023-12-20' + CAST(q % 9 AS INTEGER) END AS claim_created,
              CASE q % 5 WHEN 0 THEN 'diffuse' WHEN 1 THEN 'scheduled' WHEN 2 THEN 'threshold' WHEN 3 THEN 'none' END AS claim_archetype
-      FROM (SELECT event_id // 40 AS q FROM events WHERE event_id % 40 = 0)""",
+      FROM (SELECT DISTINCT event_id // 40 AS q FROM events)""",
     "pool_rows": """
       SELECT r.*, p.* EXCLUDE (pool_id) FROM (
         SELECT event_id // 40 AS pool_id, event_id AS row_ix, greatest(-1.0, least(1.0, (value - 50) / 50)) AS stance,
@@ -268,11 +265,10 @@ SQL: dict[str, str] = {
              ts, k, user_id, event_type, value
       FROM (SELECT *, CAST(props->>'$.k' AS INTEGER) AS k FROM events)""",
     "outcomes": """
-      SELECT event_id // 40 AS market_id, (event_id // 40) % 3 <> 0 AS outcome,
-             DATE '2024-01-12' + CAST((event_id // 40) % 19 AS INTEGER) AS outcome_date,
-             CASE (event_id // 40) % 4 WHEN 0 THEN ['politics'] WHEN 1 THEN ['politics', 'economy']
+      SELECT q AS market_id, q % 3 <> 0 AS outcome, DATE '2024-01-12' + CAST(q % 19 AS INTEGER) AS outcome_date,
+             CASE q % 4 WHEN 0 THEN ['politics'] WHEN 1 THEN ['politics', 'economy']
                   WHEN 2 THEN ['economy'] ELSE [] END AS category
-      FROM events WHERE event_id % 40 = 0""",
+      FROM (SELECT DISTINCT event_id // 40 AS q FROM events)""",
     "registry": """
       SELECT 'u' || u AS source_id, 'Source ' || u AS name, CASE WHEN u % 5 <> 4 THEN 'c' || (u % 5) END AS country,
              CASE WHEN u % 2 = 0 THEN 'en' ELSE 'de' END AS language

@@ -189,3 +189,10 @@ def test_date_mentions(spark):
     got = {(str(r.start), str(r.end)) for r in date_mentions(df, "id", "t", "pub").collect()}
     want = {("2024-01-20",) * 2, ("2024-02-03",) * 2, ("2023-03-05",) * 2, ("2024-03-05",) * 2, ("2023-01-07",) * 2, ("2024-01-16",) * 2, ("2024-01-12",) * 2, ("2024-01-19",) * 2, ("2024-01-22", "2024-01-28")}
     assert got == want
+
+
+def test_alias_matching(spark):
+    rows = [("A \u201cSaint\u2013Denis\u201d match", "saint-denis", True), ("unsaint denis", "saint denis", False), ("in Li we trust", "Li", False), ("Denisov said", "denis", True),
+            ("\u05d4\u05e9\u05d9\u05de\u05e8\u05d9\u05d6 \u05d0\u05de\u05e8", "\u05e9\u05de\u05e8\u05d9\u05d6", True)]
+    df = spark.createDataFrame(rows, "t string, a string, want boolean")
+    assert all(r.got == r.want for r in df.select("want", X.contains_alias(X.match_key(F.col("t")), X.match_key(F.col("a"))).alias("got")).collect())
