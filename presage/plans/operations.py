@@ -212,3 +212,47 @@ def document_aliases(spark, sf):
     names = spark.createDataFrame([("Ther-E",), ("Über",), ("Que",)], "alias string").select("alias", X.match_key(F.col("alias")).alias("key"))
     d = table(spark, sf, "documents").select("doc_id", X.match_key(F.col("text")).alias("t"))
     return d.crossJoin(F.broadcast(names)).filter(X.contains_alias(F.col("t"), F.col("key"))).select("doc_id", "alias")
+
+
+RANKS = "CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 ELSE 4 END"
+
+
+def search_results(spark, sf):
+    """Search results of several providers per query; lower rank comes first."""
+    return table(spark, sf, "events").select(F.col("user_id").alias("query_id"), F.expr(RANKS).alias("provider"), F.col("event_id").alias("ix"),
+                                             F.get_json_object("props", "$.k").alias("url"))
+
+
+_RES = f"r AS (SELECT user_id AS query_id, {RANKS} AS provider, event_id AS ix, props->>'$.k' AS url FROM events)"
+
+
+@Q.add("first_provider_results", f"WITH {_RES} SELECT query_id, provider, ix FROM r WHERE provider = (SELECT min(provider) FROM r r2 WHERE r2.query_id = r.query_id)")
+def first_provider_results(spark, sf):
+    """Results of the first provider that returned any, per query."""
+    from presage.operators.skew import with_totals
+
+    r = with_totals(search_results(spark, sf), ["query_id"], {"_first": F.min("provider")}, F.col("ix"))
+    return r.filter(F.col("provider") == F.col("_first")).select("query_id", "provider", "ix")
+
+
+@Q.add("topped_up_results", f"""WITH {_RES}, u AS (SELECT query_id, url, min((provider, ix)) AS o FROM r GROUP BY 1, 2)
+SELECT query_id, url, row_number() OVER (PARTITION BY query_id ORDER BY o) AS position FROM u QUALIFY position <= 10""")
+def topped_up_results(spark, sf):
+    """Providers in order, each URL once at its first place, up to ten per query."""
+    from presage.operators.skew import first_per, with_rank
+
+    order = F.struct("provider", "ix")
+    u = first_per(search_results(spark, sf), ["query_id", "url"], order)
+    ranked = with_rank(u, ["query_id"], [F.col("provider"), F.floor(F.col("ix") / 1_000_000)], [F.col("provider"), F.col("ix")], "position")
+    return ranked.filter("position <= 10").select("query_id", "url", "position")
+
+
+@Q.add("arm_profile", with_views("pools rich_claims", """
+SELECT CASE WHEN k % 2 = 0 THEN 'base' ELSE 'patched' END AS arm, count(*) AS predictions, round(avg((abs(stance) >= 0.95)::INT), 6) AS saturated,
+  round(count(fact_signal) / count(*)::DOUBLE, 6) AS fact_fill, round(count(quantity_value) / count(*)::DOUBLE, 6) AS quantity_fill, round(count(level) / count(*)::DOUBLE, 6) AS confidence_fill FROM rich_claims GROUP BY 1"""))
+def arm_profile(spark, sf):
+    """Saturation and fill rates of each extraction arm."""
+    n = F.count(F.lit(1))
+    return fx.rich_claims(spark, sf).groupBy(F.when(F.col("k") % 2 == 0, "base").otherwise("patched").alias("arm")).agg(
+        n.alias("predictions"), r6(F.avg((F.abs("stance") >= 0.95).cast("double"))).alias("saturated"),
+        *[r6(F.count(c) / n).alias(name) for c, name in (("fact_signal", "fact_fill"), ("quantity_value", "quantity_fill"), ("level", "confidence_fill"))])
