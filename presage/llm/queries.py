@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from presage.llm import exact_dedup, language, packing, phrase_index, simhash
+from presage.llm import chat, exact_dedup, language, packing, phrase_index, simhash, substrings, token_counts
 from presage.plans.registry import Registry
 from presage.session import table
 
@@ -47,3 +47,23 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM d JOIN g USING (h)""")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf, "documents"), exact_dedup.open_fresh(spark))
+
+
+@Q.add("op7_substring_dedup")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    return found.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@Q.add("op3_chat_formatting")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    hard = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.read_back(chat.format_trees(chat.chains(rows)))
+
+
+@Q.add("op4_token_counts")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
