@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from presage.llm import chat, exact_dedup, language, packing, phrase_index, simhash, substrings, token_counts
+from presage.llm import chat, exact_dedup, html_blocks, language, packing, phrase_index, revisits, simhash, substrings, token_counts
 from presage.plans.registry import Registry
 from presage.session import table
 
@@ -67,3 +67,43 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 @Q.add("op4_token_counts")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@Q.add("op9_html_extraction")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return html_blocks.extract(pages, html_blocks.train(pages)).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+_KEY = r"""nullif(concat(
+        regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', ''),
+        regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', ''),
+        CASE WHEN query <> '' THEN '?' || query ELSE '' END), '')"""
+
+
+@Q.add("op6_warc_revisits", sql=rf"""
+    WITH p AS (SELECT page_id, url, md5(coalesce(html, '')) AS h, CAST(octet_length(encode(coalesce(html, ''))) AS VARCHAR) AS size FROM pages),
+    r AS (
+        SELECT page_id * 4 AS record_id, url, page_id * 1000 AS at, true AS full_, '"' || h || '"' AS etag, size, page_id FROM p
+        UNION ALL SELECT page_id * 4 + 1, 'HTTPS://www.' || regexp_replace(url, '^https?://(www\.)?', ''), page_id * 1000 + 500, false,
+            CASE WHEN page_id % 11 <> 0 THEN CASE WHEN page_id % 7 = 0 THEN '"changed"' ELSE '"' || h || '"' END END, '0', page_id FROM p
+        UNION ALL SELECT page_id * 4 + 2, url, -1, false, CASE WHEN page_id % 11 <> 0 THEN CASE WHEN page_id % 7 = 0 THEN '"changed"' ELSE '"' || h || '"' END END, '0', page_id FROM p WHERE page_id % 3 = 0),
+    b AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM r),
+    q AS (SELECT *, regexp_replace(regexp_replace(regexp_extract(bare, '\?(.*)$', 1), '(^|&)(utm_[^&=]*|fbclid|gclid)(=[^&]*)?', '', 'g'), '^&', '') AS query FROM b),
+    k AS (SELECT *, {_KEY} AS url_key FROM q),
+    j AS (
+        SELECT v.record_id, v.url_key, v.etag, v.page_id, v.full_,
+            (SELECT max_by(s.record_id, (s.at, s.record_id)) FROM k s WHERE s.full_ AND s.url_key = v.url_key AND s.at < v.at) AS response_id
+        FROM k v WHERE NOT v.full_),
+    m AS (SELECT j.*, s.etag AS stored, s.size AS stored_size FROM j LEFT JOIN k s ON s.record_id = j.response_id AND s.full_)
+    SELECT record_id, url_key,
+        CASE WHEN url_key IS NULL THEN 'no_url' WHEN response_id IS NULL THEN 'no_response' WHEN etag IS NULL THEN 'no_validator'
+             WHEN etag = stored THEN 'resolved' ELSE 'mismatch' END AS status,
+        response_id,
+        CASE WHEN response_id IS NOT NULL AND etag = stored THEN
+            'content-length: ' || stored_size || '; content-type: text/html; date: day ' || CAST(page_id * 1000 + 500 AS VARCHAR) || '; etag: W/' || etag END AS headers
+    FROM m""")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    found = revisits.resolve(revisits.capture_log(table(spark, sf, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.select("record_id", "url_key", "status", "response_id", F.when(F.col("headers").isNotNull(), F.array_join(lines, "; ")).alias("headers"))
