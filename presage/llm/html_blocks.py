@@ -14,6 +14,7 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +36,29 @@ HOLDERS = frozenset("html body div article section main aside nav header footer
 
 TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z])[^>]*(?:>|$)", re.S | re.I)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+DIGIT = re.compile(r"\d")
 CLASS_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def bucket(token: str, size: int) -> int:
-    return zlib.crc32(token.encode()) % size
+@lru_cache(4096)
+def mark(token: str) -> int:
+    return zlib.crc32(token.encode()) % PATH
+
+
+class _Buckets(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = got = zlib.crc32(word.encode("utf-8", "replace")) % WORDS
+        return got
+
+
+WORD_BUCKETS, CACHED_WORDS = _Buckets(), 200_000
 
 
 def blocks(page: str) -> tuple[list[str], np.ndarray]:
     """Texts of a page's non-empty blocks in order, and their feature rows."""
     stack: list[tuple[str, list[int]]] = []
     path = np.zeros(PATH, np.float32)
-    texts, rows = [], []
+    texts, paths, sizes, hashed, owner = [], [], [], [], []
     parts: list[str] = []
     state = {"linked": 0, "hidden": 0, "links": 0}
 
@@ -55,16 +67,12 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                row = np.zeros(WIDTH, np.float32)
-                row[:PATH] = np.minimum(path, 2)
                 words = text.lower().split()
-                for w in words[:200]:
-                    row[PATH + bucket(w, WORDS)] += 1
-                row[PATH:PATH + WORDS] /= max(1.0, np.sqrt((row[PATH:PATH + WORDS] ** 2).sum()))
-                n = len(text)
-                row[-6:] = (np.log1p(n) / 8, min(1.0, state["linked"] / n), text[-1] in ".!?…\"”", np.log1p(len(words)) / 6, sum(c.isdigit() for c in text[:500]) / min(n, 500), 1.0)
+                hashed.extend(map(WORD_BUCKETS.__getitem__, words))
+                owner.append(len(words))
+                paths.append(path.copy())
+                sizes.append((len(text), state["linked"], text[-1] in ".!?…\"”", len(words), len(DIGIT.findall(text))))
                 texts.append(text)
-                rows.append(row)
         state["linked"] = 0
 
     def pop() -> None:
@@ -108,12 +116,12 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
                 break
         attributes = m[4]
         if tag in INLINE:
-            marks = [bucket("in:" + tag, PATH)]
+            marks = [mark("in:" + tag)]
         else:
-            marks = [bucket("tag:" + tag, PATH)]
+            marks = [mark("tag:" + tag)]
             if attributes:
                 for value in NAMED.findall(attributes):
-                    marks += [bucket("name:" + w.lower(), PATH) for w in CLASS_WORD.findall("".join(value))]
+                    marks += [mark("name:" + w.lower()) for w in CLASS_WORD.findall("".join(value))]
         stack.append((tag, marks))
         for k in marks:
             path[k] += 1
@@ -121,7 +129,16 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         state["hidden"] += tag in HIDDEN_TEXT
     say(page[at:])
     cut()
-    return texts, np.array(rows, np.float32).reshape(-1, WIDTH)
+    if len(WORD_BUCKETS) > CACHED_WORDS:
+        WORD_BUCKETS.clear()
+    rows = np.ones((len(texts), WIDTH), np.float32)
+    if texts:
+        rows[:, :PATH] = np.minimum(paths, 2)
+        count = np.bincount(np.repeat(np.arange(len(texts)) * WORDS, owner) + hashed, minlength=len(texts) * WORDS).reshape(-1, WORDS)
+        rows[:, PATH:PATH + WORDS] = count / np.sqrt((count ** 2).sum(1, keepdims=True))
+        n, linked, stop, words, digits = np.array(sizes, np.float32).T
+        rows[:, PATH + WORDS:-1] = np.stack([np.log1p(n) / 8, np.minimum(1, linked / n), stop, np.log1p(words) / 6, digits / n], 1)
+    return texts, rows
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -181,9 +198,9 @@ class Labeller:
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         turn = 0
         for _ in range(epochs):
-            order = rng.permutation(len(pages))
-            for at in range(0, len(order), 32):
-                part = order[at:at + 32]
+            mixed = rng.permutation(len(pages))
+            runs = [sorted(mixed[a:a + 256], key=lambda i: len(pages[i])) for a in range(0, len(mixed), 256)]  # like lengths go together
+            for part in [run[a:a + 32] for run in runs for a in range(0, len(run), 32)]:
                 turn += 1
                 for k, g in self.slopes([pages[i] for i in part], [labels[i] for i in part]).items():
                     g = np.clip(g, -1, 1)
@@ -267,9 +284,15 @@ def shown_pages(main: list[list[str]], other: list[str], seed: int, copies: int)
     for _ in range(copies):
         for texts in main:
             inner = []
-            for k, t in enumerate(texts):
-                tag = pick(["h1", "h2"]) if k == 0 else pick(["p", "p", "p", "p", "p", "div", "h2", "li", "blockquote", "pre", "td"])
-                inner.append(f"<{tag}>\x01{t}</{tag}>")
+            k = 0
+            while k < len(texts):
+                tag = pick(["h1", "h2"]) if k == 0 else pick(["p", "p", "p", "p", "p", "p", "div", "h2", "ul", "ol", "blockquote", "pre", "table", "dl"])
+                rows = texts[k:k + (int(rng.integers(2, 6)) if tag in ("ul", "ol", "table", "dl") else 1)]
+                k += len(rows)
+                if tag in ("ul", "ol", "table", "dl") and rng.random() < 0.7:
+                    rows = [" ".join(t.split()[:int(rng.integers(1, 12))]) for t in rows]
+                item = {"ul": "<li>{}</li>", "ol": "<li>{}</li>", "table": "<tr><td>{}</td></tr>", "dl": "<dd>{}</dd>"}.get(tag, "{}")
+                inner.append(f"<{tag}>{''.join(item.format(chr(1) + t) for t in rows)}</{tag}>")
                 if rng.random() < 0.06:
                     inner.append(aside())
             hold = pick(["article", "main", "div", "div", "section"])
