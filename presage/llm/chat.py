@@ -16,19 +16,19 @@ def ancestors(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Jump tables (node to its ancestor 1, 2, 4, ... steps up) and, per node, its depth and summed score.
 
     ``nodes``: node, parent (null at a root), score. Each round joins the table
-    with itself and doubles the step, so rounds grow with the logarithm of the
-    depth. Nodes on or below a cycle of parents never reach a root and get no row.
+    of unfinished nodes with all and doubles the step, so rounds grow with the
+    logarithm of the depth and late ones hold deep nodes only. Nodes on or below
+    a cycle of parents never reach a root and get no row.
     """
     n = nodes.count()
     state = cut_lineage(nodes.select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")))
-    jumps = []
-    while True:
-        jumps.append(state.select("node", "up").filter("up is not null"))
-        if jumps[-1].isEmpty() or 1 << (len(jumps) - 1) > n:
-            return jumps, state.filter("up is null").select("node", "depth", "total")
-        far = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        state = cut_lineage(state.join(far, "up", "left").select(
-            "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")))
+    jumps, done, going = [], state.filter("up is null"), state.filter("up is not null")
+    while not going.isEmpty() and 1 << len(jumps) <= 2 * n:
+        jumps.append(going.select("node", "up"))
+        far = done.unionByName(going).select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
+        state = cut_lineage(going.join(far, "up").select("node", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total")))
+        done, going = done.unionByName(state.filter("up is null")), state.filter("up is not null")
+    return jumps, done.select("node", "depth", "total")
 
 
 def best_paths(messages: DataFrame, branches: int = 1, tree: str = "tree_id", node: str = "node_id", parent: str = "parent_id", score: str = "score") -> DataFrame:
