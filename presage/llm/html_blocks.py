@@ -339,9 +339,10 @@ def learn(pages: list[str], copies: int = 3, epochs: int = 10, rate: float = 0.0
 
 def train(pages: DataFrame, sample: int = 150, id_col: str = "page_id", html_col: str = "html") -> Labeller:
     """Fit on at most ``sample`` pages with an article element of up to 20,000 characters, chosen by a hash of the id."""
-    short = pages.select(F.col(id_col).cast("string").alias("id"), F.col(html_col).cast("string").alias("html")).filter((F.length("html") <= 20_000) & F.lower("html").contains("<article"))
-    got = short.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    return learn([r["html"] for r in got])
+    short = pages.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(html_col).cast("string").alias("html")).filter((F.length("html") <= 20_000) & F.lower("html").contains("<article"))
+    luck = [F.xxhash64("id"), F.col("id")]
+    ids = [r["id"] for r in short.select("id").orderBy(*luck).limit(sample).collect()]  # ids first: every task sends its best
+    return learn([r["html"] for r in short.filter(F.col("id").isin(ids)).orderBy(*luck, F.xxhash64("html")).limit(sample).collect()] if ids else [])
 
 
 def extract(pages: DataFrame, model: Labeller, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
