@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from presage.functions import scalars as S
@@ -32,11 +34,11 @@ def findings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return dup.union(prior).union(ends).union(ranged).union(wide).distinct()
 
 
-def layers(nodes: DataFrame, edges: DataFrame, max_depth: int = 64) -> tuple[DataFrame, int]:
+def layers(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
     """Longest-path depth per node; raises on a cycle. Loops once per layer."""
     todo = nodes.select("id")
     placed = None
-    for depth in range(max_depth):
+    for depth in count():
         waiting = edges.join(todo.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("id")).distinct()
         ready = cut_lineage(todo.join(waiting, "id", "left_anti").withColumn("layer", F.lit(depth)))
         if ready.limit(1).count() == 0:
@@ -45,7 +47,6 @@ def layers(nodes: DataFrame, edges: DataFrame, max_depth: int = 64) -> tuple[Dat
         todo = cut_lineage(todo.join(ready.select("id"), "id", "left_anti"))
         if todo.limit(1).count() == 0:
             return placed, depth
-    raise ValueError(f"graph is deeper than {max_depth}")
 
 
 def _states(parents: Column) -> Column:
@@ -133,16 +134,15 @@ def what_if(values: DataFrame, nodes: DataFrame) -> DataFrame:
         "scenario", "id", F.round("prior", 4).alias("prior"), p.alias("p"), F.round(p - F.col("prior"), 4).alias("delta"), "locked")
 
 
-def reachable(edges: DataFrame, root: str, max_depth: int = 64) -> DataFrame:
+def reachable(edges: DataFrame, root: str) -> DataFrame:
     """Nodes from which ``root`` can be reached along edges, the root included."""
     seen = cut_lineage(edges.sparkSession.createDataFrame([(root,)], "id string"))
     front = seen
-    for _ in range(max_depth):
+    while True:
         front = cut_lineage(edges.join(front.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("source").alias("id")).distinct().join(seen, "id", "left_anti"))
         if front.limit(1).count() == 0:
             return seen
         seen = cut_lineage(seen.union(front))
-    raise ValueError(f"graph is deeper than {max_depth}")
 
 
 def prune_edges(edges: DataFrame, keep: int) -> DataFrame:

@@ -22,13 +22,13 @@ from presage.session import cut_lineage
 Similar = Callable[[str, str], Column]
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest reachable id per node (``id``, ``comp``): min label and pointer jumping."""
     both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(edges.select("b", "a")).filter("src <> dst").distinct()
     both = cut_lineage(both)
     linked = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("comp"), F.count(F.lit(1)).alias("deg")).withColumnRenamed("src", "id")
     labels = cut_lineage(linked)
-    for _ in range(max_rounds):
+    while True:
         seen = attach(both, labels.select(F.col("id").alias("src"), "comp", F.col("deg").alias("_n")), ["src"], "_n", F.col("dst"))
         near = seen.groupBy(F.col("dst").alias("id")).agg(F.min("comp").alias("_near"))
         step = labels.join(near, "id", "left").select("id", "deg", "comp", F.least("comp", F.coalesce("_near", "comp")).alias("_new"))
@@ -40,8 +40,6 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         labels = new.drop("_moved")
         if moved == 0:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.select("id").join(labels.select("id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
@@ -206,8 +204,7 @@ def near_duplicates(rows: DataFrame, text: str, distance: int = 8) -> DataFrame:
     return attach(fp, owner, ["fp"], "_n", F.col("id")).select("id", "fp", "canonical")
 
 
-def dedupe_titles(rows: DataFrame, scope: Sequence[str], title: str, url: str, priority: str, threshold: float = 0.8, min_tokens: int = 4,
-                  max_rounds: int = 60) -> DataFrame:
+def dedupe_titles(rows: DataFrame, scope: Sequence[str], title: str, url: str, priority: str, threshold: float = 0.8, min_tokens: int = 4) -> DataFrame:
     """Syndicated copies: each row's cluster leader (``leader``) in its scope.
 
     In id order a row joins an earlier leader with the same URL or a title at
@@ -241,7 +238,7 @@ def dedupe_titles(rows: DataFrame, scope: Sequence[str], title: str, url: str, p
     pairs = cut_lineage(_verified(
         op.withColumnRenamed("id", "a").join(op.withColumnRenamed("id", "b"), "bucket").filter("a < b").select("a", "b"), nodes, ["tokens"], alike))
     leaders = sure
-    for _ in range(max_rounds):
+    while True:
         blocked = pairs.join(open_.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
         free = cut_lineage(open_.join(blocked, "id", "left_anti"))
         leaders = leaders.union(free)
@@ -249,8 +246,6 @@ def dedupe_titles(rows: DataFrame, scope: Sequence[str], title: str, url: str, p
         open_ = cut_lineage(open_.join(free, "id", "left_anti").join(beaten, "id", "left_anti"))
         if open_.limit(1).count() == 0:
             break
-    else:
-        raise RuntimeError(f"title rounds did not settle in {max_rounds} rounds")
     leaders = cut_lineage(leaders)
 
     # every titled row joins the best earlier leader of its token set

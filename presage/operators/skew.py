@@ -1,11 +1,10 @@
 """Group-wise steps that stay parallel when one group holds much of the data.
 
-Spark's own windows put a whole group into one task. That is fine while the
-whole input is provably small (``SMALL_INPUT`` bytes of source files); beyond
-it totals are partial aggregates joined back on a salted key, ranks work on
-small value buckets, and exact quantiles narrow down to the one bucket that
-holds them. Steps that read their input twice first write it to the checkpoint
-folder, so a chain of them grows linearly.
+Spark's own windows put a whole group into one task. So totals are partial
+aggregates joined back on a salted key, ranks work on small value buckets, and
+exact quantiles narrow down to the one bucket that holds them, at any size.
+Steps that read their input twice first write it to the checkpoint folder, so
+a chain of them grows linearly.
 """
 
 from __future__ import annotations
@@ -14,12 +13,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from presage.session import cut_lineage, input_bytes
+from presage.session import cut_lineage
 
-SMALL_INPUT = 1 << 30  # below this many source bytes even one group is one task's work
 HOT_SHARE = 1000      # a key is hot from 1/1000 of all rows on: at most 1000 hot keys
-HOT_MIN_ROWS = 200_000
-MAX_SALTS = 256
+HOT_MIN_ROWS = 200_000  # rows of a hot key per salt
 
 
 def join_back(rows: DataFrame, totals: DataFrame, keys: Sequence[str], n: str, row_id: Column) -> DataFrame:
@@ -35,7 +32,7 @@ def join_back(rows: DataFrame, totals: DataFrame, keys: Sequence[str], n: str, r
         totals.select(*keys, F.col(n).alias("_hot_n"))
         .filter(F.col("_hot_n") >= HOT_MIN_ROWS)
         .join(F.broadcast(all_rows), F.col("_hot_n") * HOT_SHARE >= F.col("_all"), "inner")
-        .select(*keys, F.least(F.lit(MAX_SALTS), F.ceil(F.col("_hot_n") / HOT_MIN_ROWS).cast("int")).alias("_salts"))
+        .select(*keys, F.ceil(F.col("_hot_n") / HOT_MIN_ROWS).cast("int").alias("_salts"))
     )
     marked = _null_safe_left(rows, F.broadcast(hot), keys)
     marked = marked.withColumn(
@@ -58,28 +55,19 @@ def _null_safe_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
     return left.join(renamed, cond, "left").drop(*[f"_r_{k}" for k in keys])
 
 
-def is_small(rows: DataFrame) -> bool:
-    return input_bytes(rows) <= SMALL_INPUT
-
-
 def fork(rows: DataFrame) -> DataFrame:
-    """Prepare rows that are read more than once: a large input is written out first."""
-    return rows if is_small(rows) else cut_lineage(rows)
+    """Prepare rows that are read more than once."""
+    return cut_lineage(rows)
 
 
 def attach(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], n: str, row_id: Column) -> DataFrame:
     """Left join one row per group (with its row count ``n``) onto forked rows."""
-    if is_small(rows):
-        return rows.join(per_group, list(keys), "left").drop(n)
     return join_back(rows, per_group, keys, n, row_id).drop(n)
 
 
 def with_totals(rows: DataFrame, keys: Sequence[str], aggs: dict[str, Column], row_id: Column) -> DataFrame:
     """Attach aggregates of a row's group to the row (a window without ordering)."""
     keys = list(keys)
-    if is_small(rows):
-        group = Window.partitionBy(*keys)
-        return rows.withColumns({name: agg.over(group) for name, agg in aggs.items()})
     rows = cut_lineage(rows)
     totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_group"), *[agg.alias(name) for name, agg in aggs.items()])
     return join_back(rows, totals, keys, "_n_group", row_id).drop("_n_group")
@@ -99,8 +87,6 @@ def with_rank(
     of rows in earlier buckets plus the position inside the own bucket.
     """
     keys = list(keys)
-    if is_small(rows):
-        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
     rows = cut_lineage(rows)
     bnames = [f"_b{i}" for i in range(len(bucket))]
     rows = rows.withColumns(dict(zip(bnames, bucket)))
@@ -186,7 +172,9 @@ def weighted_medians(rows: DataFrame, keys: Sequence[str], value: str, weight: s
         *keys, F.col(value).cast("double").alias("_v"), F.col(weight).cast("double").alias("_w"))
     dist = rows.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"))
     span = {"_lo": F.min("_v"), "_hi": F.max("_v"), "_tw": F.sum("_w")}
-    dist = with_totals(dist, keys, span, F.col("_v")).filter(F.col("_tw") > 0).withColumn(
+    dist = cut_lineage(with_totals(dist, keys, span, F.col("_v")))
+    plain = exact_quantiles(rows.join(dist.filter("_tw = 0").select(*keys).distinct(), keys, "left_semi"), keys, "_v", [0.5]).select(*keys, F.col("q").alias("median"))
+    dist = dist.filter(F.col("_tw") > 0).withColumn(
         "_g",
         F.when(F.col("_hi") > F.col("_lo"),
                F.least(F.lit(grid - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * grid)))
@@ -202,4 +190,4 @@ def weighted_medians(rows: DataFrame, keys: Sequence[str], value: str, weight: s
     run = Window.partitionBy(*keys, "_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = dist.select(*keys, "_g", "_v", "_w").join(crossing, [*keys, "_g"]).withColumn("_cum", F.col("_start") + F.sum("_w").over(run))
     weighted = inside.filter(F.col("_cum") + tol >= F.col("_tw") / 2).groupBy(*keys).agg(F.min("_v").alias("median"))
-    return weighted
+    return weighted.unionByName(plain)

@@ -10,7 +10,7 @@ from presage.operators.skew import with_totals
 from presage.plans.pooling import EVIDENCE_SQL, PLAIN, evidence
 from presage.plans.registry import Registry
 from presage.plans.scoring import SCORED_SQL, scored
-from presage.session import r6
+from presage.session import rounded
 from presage.sources import fixtures as fx
 from presage.sources.fixtures import with_views
 
@@ -40,31 +40,31 @@ art AS (SELECT pool_id, article_id, count(*) AS claims,
 
 
 @Q.add("article_reduction", with_views("pools rich_claims", """
-SELECT a.pool_id, a.article_id, a.claims, round(a.stance, 6) AS stance, round(stance_conditional, 6) AS stance_conditional, round(a.certainty, 6) AS certainty, round(evidence_weight, 6) AS evidence_weight,
-  m.evidence_class, a.settled, settlement_demoted, CASE WHEN a.stance >= 0 THEN pd ELSE nd END AS settlement_event_date, a.quantitative_estimate, round(a.fact_signal, 6) AS fact_signal,
+SELECT a.pool_id, a.article_id, a.claims, round(a.stance, 10) AS stance, round(stance_conditional, 10) AS stance_conditional, round(a.certainty, 10) AS certainty, round(evidence_weight, 10) AS evidence_weight,
+  m.evidence_class, a.settled, settlement_demoted, CASE WHEN a.stance >= 0 THEN pd ELSE nd END AS settlement_event_date, a.quantitative_estimate, round(a.fact_signal, 10) AS fact_signal,
   d.event_actors, d.event_target, d.is_occurrence, d.verified, d.facet, confidence_level, traps
 FROM art a LEFT JOIN modal m USING (article_id) LEFT JOIN trapped USING (article_id) LEFT JOIN rich_claims d ON d.claim_ix = dom""", ARTICLE_SQL))
 def article_reduction(spark, sf):
     a = A.reduce_articles(fx.rich_claims(spark, sf))
-    return a.withColumns({c: r6(F.col(c)) for c in ("stance", "stance_conditional", "certainty", "evidence_weight", "fact_signal")})
+    return a.withColumns({c: rounded(F.col(c)) for c in ("stance", "stance_conditional", "certainty", "evidence_weight", "fact_signal")})
 
 
 @Q.add("cell_signals", with_views("pools rich_claims", """
-SELECT source_id, pool_id, count(*) AS claim_count, round(CASE WHEN sum(w) = 0 THEN avg(stance) ELSE sum(stance * w) / sum(w) END, 6) AS stance,
-  round(CASE WHEN sum(w) = 0 THEN avg(certainty) ELSE sum(certainty * w) / sum(w) END, 6) AS certainty,
-  round(CASE WHEN sum(w) FILTER (WHERE specificity IS NOT NULL) = 0 THEN avg(specificity) ELSE sum(specificity * w) / sum(w) FILTER (WHERE specificity IS NOT NULL) END, 6) AS specificity, any_value(mf) AS facet
+SELECT source_id, pool_id, count(*) AS claim_count, round(CASE WHEN sum(w) = 0 THEN avg(stance) ELSE sum(stance * w) / sum(w) END, 10) AS stance,
+  round(CASE WHEN sum(w) = 0 THEN avg(certainty) ELSE sum(certainty * w) / sum(w) END, 10) AS certainty,
+  round(CASE WHEN sum(w) FILTER (WHERE specificity IS NOT NULL) = 0 THEN avg(specificity) ELSE sum(specificity * w) / sum(w) FILTER (WHERE specificity IS NOT NULL) END, 10) AS specificity, any_value(mf) AS facet
 FROM (SELECT *, certainty * coalesce(specificity, 1.0) AS w FROM rich_claims) LEFT JOIN
   (SELECT source_id, pool_id, arg_max(facet, (c, -i)) AS mf FROM (SELECT source_id, pool_id, facet, count(*) AS c, min(claim_ix) AS i FROM rich_claims WHERE facet IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (source_id, pool_id)
 GROUP BY 1, 2"""))
 def cell_signals(spark, sf):
     s = A.cell_signals(fx.rich_claims(spark, sf), ["source_id", "pool_id"], ["stance", "certainty", "specificity"], ["facet"], [])
-    return s.withColumns({c: r6(F.col(c)) for c in ("stance", "certainty", "specificity")})
+    return s.withColumns({c: rounded(F.col(c)) for c in ("stance", "certainty", "specificity")})
 
 
 @Q.add("entry_spread", with_views("claims", """
-SELECT market_id, source_id, count(*) AS claims, round(max(stance) - min(stance), 6) AS spread FROM claims GROUP BY 1, 2 HAVING count(*) > 1 AND max(stance) - min(stance) > 0.4"""))
+SELECT market_id, source_id, count(*) AS claims, round(max(stance) - min(stance), 10) AS spread FROM claims GROUP BY 1, 2 HAVING count(*) > 1 AND max(stance) - min(stance) > 0.4"""))
 def entry_spread(spark, sf):
-    return A.spread(fx.claims(spark, sf), ["market_id", "source_id"]).withColumn("spread", r6(F.col("spread")))
+    return A.spread(fx.claims(spark, sf), ["market_id", "source_id"]).withColumn("spread", rounded(F.col("spread")))
 
 
 @Q.add("lead_claims", with_views("pools rich_claims", """
@@ -86,17 +86,17 @@ def antecedent_filter(spark, sf):
 
 
 @Q.add("source_credibility", with_views("claims outcomes registry", """
-SELECT source_id, round(greatest(0.25, least(2.0, 1.0 + (0.25 - (b * n + 10 * 0.25) / (n + 10)) * 2.0)), 6) AS from_brier,
-  round(1200.0::DOUBLE / (1200.0::DOUBLE + b * 200.0), 6) AS from_elo FROM (SELECT source_id, avg(brier) AS b, count(*) AS n FROM scored GROUP BY 1)""", SCORED_SQL))
+SELECT source_id, round(greatest(0.25, least(2.0, 1.0 + (0.25 - (b * n + 10 * 0.25) / (n + 10)) * 2.0)), 10) AS from_brier,
+  round(1200.0::DOUBLE / (1200.0::DOUBLE + b * 200.0), 10) AS from_elo FROM (SELECT source_id, avg(brier) AS b, count(*) AS n FROM scored GROUP BY 1)""", SCORED_SQL))
 def source_credibility(spark, sf):
     b = SC.board(SC.source_market_cells(scored(spark, sf)), ["source_id"])
     none = F.lit(None).cast("double")
-    return b.select("source_id", r6(S.brier_credibility(F.col("brier_score"), F.col("predictions"), 10.0, 2.0, 0.25, 2.0)).alias("from_brier"),
-                    r6(S.skill_credibility(none, none, F.col("brier_score"), F.lit(True))).alias("from_elo"))
+    return b.select("source_id", rounded(S.brier_credibility(F.col("brier_score"), F.col("predictions"), 10.0, 2.0, 0.25, 2.0)).alias("from_brier"),
+                    rounded(S.skill_credibility(none, none, F.col("brier_score"), F.lit(True))).alias("from_elo"))
 
 
 BACKTEST_SQL = SCORED_SQL + """,
-src AS (SELECT source_id, round(avg(brier), 6) AS b FROM scored GROUP BY 1),
+src AS (SELECT source_id, round(avg(brier), 10) AS b FROM scored GROUP BY 1),
 win AS (SELECT e.market_id, source_id, stance, greatest(0.01, 1 - coalesce(b, 0.25)) AS w, outcome FROM entries e JOIN outcomes USING (market_id) LEFT JOIN src USING (source_id)
         WHERE article_date BETWEEN outcome_date - 30 AND outcome_date - 3),
 pred AS (SELECT market_id, any_value(outcome) AS outcome, count(*) AS entries, coalesce((sum(stance * w) / nullif(sum(w), 0) + 1) / 2, 0.5) AS p FROM win GROUP BY 1)
@@ -105,7 +105,7 @@ pred AS (SELECT market_id, any_value(outcome) AS outcome, count(*) AS entries, c
 
 def backtest(spark, sf):
     entries = SC.reduce_entries(fx.claims(spark, sf))
-    known = SC.board(SC.source_market_cells(scored(spark, sf)), ["source_id"]).select("source_id", F.round("brier_score", 6).alias("b"))
+    known = SC.board(SC.source_market_cells(scored(spark, sf)), ["source_id"]).select("source_id", F.round("brier_score", 10).alias("b"))
     rows = entries.join(fx.outcomes(spark, sf).select("market_id", "outcome", "outcome_date"), "market_id").filter(
         F.col("article_date").between(F.date_sub("outcome_date", 30), F.date_sub("outcome_date", 3)))
     rows = rows.join(known, "source_id", "left").withColumn("w", F.greatest(F.lit(0.01), 1 - F.coalesce("b", F.lit(0.25))))
@@ -113,21 +113,21 @@ def backtest(spark, sf):
     return rows.groupBy("market_id").agg(F.max("outcome").alias("outcome"), F.count(F.lit(1)).alias("entries"), p.alias("p"))
 
 
-@Q.add("backtest_predictions", with_views("claims outcomes registry", "SELECT market_id, outcome, entries, round(p, 6) AS p, round(pow(p - outcome::INT, 2), 6) AS brier FROM pred", BACKTEST_SQL))
+@Q.add("backtest_predictions", with_views("claims outcomes registry", "SELECT market_id, outcome, entries, round(p, 10) AS p, round(pow(p - outcome::INT, 2), 10) AS brier FROM pred", BACKTEST_SQL))
 def backtest_predictions(spark, sf):
-    return backtest(spark, sf).select("market_id", "outcome", "entries", r6(F.col("p")).alias("p"), r6(S.brier(F.col("p"), F.col("outcome"))).alias("brier"))
+    return backtest(spark, sf).select("market_id", "outcome", "entries", rounded(F.col("p")).alias("p"), rounded(S.brier(F.col("p"), F.col("outcome"))).alias("brier"))
 
 
 @Q.add("backtest_summary", with_views("claims outcomes registry", """
-SELECT count(*) AS events, round(avg(pow(p - outcome::INT, 2)), 6) AS brier, round(avg(outcome::INT), 6) AS base_rate, round(avg(outcome::INT) * (1 - avg(outcome::INT)), 6) AS base_rate_brier FROM pred""", BACKTEST_SQL))
+SELECT count(*) AS events, round(avg(pow(p - outcome::INT, 2)), 10) AS brier, round(avg(outcome::INT), 10) AS base_rate, round(avg(outcome::INT) * (1 - avg(outcome::INT)), 10) AS base_rate_brier FROM pred""", BACKTEST_SQL))
 def backtest_summary(spark, sf):
     b = backtest(spark, sf)
     rate = F.avg(F.col("outcome").cast("double"))
-    return b.agg(F.count(F.lit(1)).alias("events"), r6(F.avg(S.brier(F.col("p"), F.col("outcome")))).alias("brier"), r6(rate).alias("base_rate"), r6(rate * (1 - rate)).alias("base_rate_brier"))
+    return b.agg(F.count(F.lit(1)).alias("events"), rounded(F.avg(S.brier(F.col("p"), F.col("outcome")))).alias("brier"), rounded(rate).alias("base_rate"), rounded(rate * (1 - rate)).alias("base_rate_brier"))
 
 
 @Q.add("leave_one_out_credibility", with_views("claims outcomes registry", """
-SELECT count(*) AS records, round(avg(pow(ps - o, 2)), 6) AS brier_weighted, round(avg(pow(pf - o, 2)), 6) AS brier_flat,
+SELECT count(*) AS records, round(avg(pow(ps - o, 2)), 10) AS brier_weighted, round(avg(pow(pf - o, 2)), 10) AS brier_flat,
   count(*) FILTER (WHERE pow(ps - o, 2) < pow(pf - o, 2) - 1e-9) AS wins, count(*) FILTER (WHERE pow(ps - o, 2) > pow(pf - o, 2) + 1e-9) AS losses
 FROM (SELECT market_id, any_value(o) AS o, 1 / (1 + exp(-sum(w * l) / sum(w))) AS ps, 1 / (1 + exp(-avg(l))) AS pf FROM (
   SELECT *, ln(q / (1 - q)) AS l, greatest(0.25, least(2.0, 1.0 + (0.25 - (tb - b + 2.5) / (tn - n + 10)) * 2)) AS w FROM (
@@ -143,16 +143,16 @@ def leave_one_out_credibility(spark, sf):
     cells = cells.withColumns({"l": S.logit(q), "w": w})
     per = cells.groupBy("market_id").agg(F.max("o").alias("o"), S.sigmoid(F.sum(F.col("w") * F.col("l")) / F.sum("w")).alias("ps"), S.sigmoid(F.avg("l")).alias("pf"))
     bs, bf = S.brier(F.col("ps"), F.col("o")), S.brier(F.col("pf"), F.col("o"))
-    return per.agg(F.count(F.lit(1)).alias("records"), r6(F.avg(bs)).alias("brier_weighted"), r6(F.avg(bf)).alias("brier_flat"),
+    return per.agg(F.count(F.lit(1)).alias("records"), rounded(F.avg(bs)).alias("brier_weighted"), rounded(F.avg(bf)).alias("brier_flat"),
                    F.count_if(bs < bf - 1e-9).alias("wins"), F.count_if(bs > bf + 1e-9).alias("losses"))
 
 
 @Q.add("archetype_base_rates", with_views("pools outcomes", """
-SELECT claim_archetype, count(*) AS n, round((count(*) FILTER (WHERE outcome) + 10 * 0.15::DOUBLE) / (count(*) + 10), 6) AS base_rate FROM pools JOIN outcomes ON pool_id = market_id GROUP BY 1"""))
+SELECT claim_archetype, count(*) AS n, round((count(*) FILTER (WHERE outcome) + 10 * 0.15::DOUBLE) / (count(*) + 10), 10) AS base_rate FROM pools JOIN outcomes ON pool_id = market_id GROUP BY 1"""))
 def archetype_base_rates(spark, sf):
     r = fx.pools(spark, sf).join(fx.outcomes(spark, sf).withColumnRenamed("market_id", "pool_id"), "pool_id")
     n = F.count(F.lit(1))
-    return r.groupBy("claim_archetype").agg(n.alias("n"), r6((F.count_if("outcome") + 1.5) / (n + 10)).alias("base_rate"))
+    return r.groupBy("claim_archetype").agg(n.alias("n"), rounded((F.count_if("outcome") + 1.5) / (n + 10)).alias("base_rate"))
 
 
 RES_SQL = """
@@ -161,12 +161,12 @@ u AS (SELECT p.pool_id, source_id, avg(stance) AS m, count(*) AS a, any_value(ou
 
 
 @Q.add("resolution_board", with_views("pools pool_rows outcomes", """
-SELECT source_id, count(*) AS predictions, sum(a)::BIGINT AS articles, round(avg(pow((m + 1) / 2 - o::INT, 2)), 6) AS brier_score,
-  round(sum(log2(greatest(0.05, least(0.95, CASE WHEN o THEN (m + 1) / 2 ELSE 1 - (m + 1) / 2 END)) / 0.5)), 6) AS bits FROM u GROUP BY 1""", RES_SQL))
+SELECT source_id, count(*) AS predictions, sum(a)::BIGINT AS articles, round(avg(pow((m + 1) / 2 - o::INT, 2)), 10) AS brier_score,
+  round(sum(log2(greatest(0.05, least(0.95, CASE WHEN o THEN (m + 1) / 2 ELSE 1 - (m + 1) / 2 END)) / 0.5)), 10) AS bits FROM u GROUP BY 1""", RES_SQL))
 def resolution_board(spark, sf):
     p = S.prob(F.col("m"))
     return resolved_cells(spark, sf).groupBy("source_id").agg(
-        F.count(F.lit(1)).alias("predictions"), F.sum("a").alias("articles"), r6(F.avg(S.brier(p, F.col("o")))).alias("brier_score"), r6(F.sum(S.bits_vs_coin(p, F.col("o")))).alias("bits"))
+        F.count(F.lit(1)).alias("predictions"), F.sum("a").alias("articles"), rounded(F.avg(S.brier(p, F.col("o")))).alias("brier_score"), rounded(F.sum(S.bits_vs_coin(p, F.col("o")))).alias("bits"))
 
 
 def resolved_cells(spark, sf):
@@ -187,7 +187,7 @@ def resolution_run_summary(spark, sf):
 
 
 @Q.add("author_board_by_tag", with_views("pools rich_claims outcomes", """
-SELECT tag, author, outlet, count(*) AS predictions, round(avg(pow((m + 1) / 2 - o::INT, 2)), 6) AS brier_score FROM (
+SELECT tag, author, outlet, count(*) AS predictions, round(avg(pow((m + 1) / 2 - o::INT, 2)), 10) AS brier_score FROM (
   SELECT r.pool_id, unnest(['all', 'q' || (r.pool_id % 3)]) AS tag, CASE WHEN k % 11 = 0 THEN '(no byline)' ELSE 'a' || (user_id % 9) END AS author, source_id AS outlet,
     avg(author_lean) AS m, any_value(outcome) AS o FROM rich_claims r JOIN outcomes ON r.pool_id = market_id WHERE author_lean IS NOT NULL GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3"""))
 def author_board_by_tag(spark, sf):
@@ -196,20 +196,20 @@ def author_board_by_tag(spark, sf):
     o = fx.outcomes(spark, sf).select(F.col("market_id").alias("pool_id"), "outcome")
     tags = F.array(F.lit("all"), F.concat(F.lit("q"), (F.col("pool_id") % 3).cast("string")))
     return rows.join(o, "pool_id").withColumn("tag", F.explode(tags)).groupBy("tag", "author", "outlet").agg(
-        F.count(F.lit(1)).alias("predictions"), r6(F.avg(S.brier(S.prob(F.col("m")), F.col("outcome")))).alias("brier_score"))
+        F.count(F.lit(1)).alias("predictions"), rounded(F.avg(S.brier(S.prob(F.col("m")), F.col("outcome")))).alias("brier_score"))
 
 
 @Q.add("expert_probabilities", with_views("pools rich_claims outcomes", """
-SELECT pool_id, any_value(o) AS outcome, count(*) AS bylines, round(avg((m + 1) / 2), 6) AS experts_prob FROM (
+SELECT pool_id, any_value(o) AS outcome, count(*) AS bylines, round(avg((m + 1) / 2), 10) AS experts_prob FROM (
   SELECT r.pool_id, user_id % 9 AS a, source_id, avg(author_lean) AS m, any_value(outcome) AS o FROM rich_claims r JOIN outcomes ON r.pool_id = market_id WHERE author_lean IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1"""))
 def expert_probabilities(spark, sf):
     per = fx.rich_claims(spark, sf).filter("author_lean is not null").groupBy("pool_id", (F.col("user_id") % 9).alias("a"), "source_id").agg(F.avg("author_lean").alias("m"))
     o = fx.outcomes(spark, sf).select(F.col("market_id").alias("pool_id"), "outcome")
-    return per.groupBy("pool_id").agg(F.count(F.lit(1)).alias("bylines"), r6(F.avg(S.prob(F.col("m")))).alias("experts_prob")).join(o, "pool_id")
+    return per.groupBy("pool_id").agg(F.count(F.lit(1)).alias("bylines"), rounded(F.avg(S.prob(F.col("m")))).alias("experts_prob")).join(o, "pool_id")
 
 
 @Q.add("relevance_variants", with_views("pools pool_rows", """
-SELECT pool_id, variant, round(2 / (1 + exp(-CASE WHEN sum(w) > 0 THEN sum(w * l) / sum(w) ELSE avg(l) END)) - 1, 6) AS mean FROM (
+SELECT pool_id, variant, round(2 / (1 + exp(-CASE WHEN sum(w) > 0 THEN sum(w * l) / sum(w) ELSE avg(l) END)) - 1, 10) AS mean FROM (
   SELECT pool_id, variant, ln(p / (1 - p)) AS l, CASE WHEN variant = 'live' OR k % 3 = 0 THEN weight0 WHEN relevance > 0 THEN weight0 / (relevance * relevance) * CASE variant WHEN 'square' THEN pow(k / 100.0, 2) ELSE k / 100.0 END ELSE 0 END AS w
   FROM (SELECT *, greatest(0.01, least(0.99, (stance + 1) / 2)) AS p FROM w0), (SELECT unnest(['live', 'square', 'linear']) AS variant)) GROUP BY 1, 2""", EVIDENCE_SQL))
 def relevance_variants(spark, sf):
@@ -220,7 +220,7 @@ def relevance_variants(spark, sf):
     new = F.when(F.col("variant") == "square", score * score).otherwise(score)
     swapped = F.when(old > 0, F.col("weight") * new / old).otherwise(0.0)
     rows = rows.withColumn("weight", F.when((F.col("variant") == "live") | score.isNull(), F.col("weight")).otherwise(swapped))
-    return PL.pool_sources(rows, ["pool_id", "variant"], PLAIN).select("pool_id", "variant", r6(F.col("mean")).alias("mean"))
+    return PL.pool_sources(rows, ["pool_id", "variant"], PLAIN).select("pool_id", "variant", rounded(F.col("mean")).alias("mean"))
 
 
 @Q.add("cell_matrix", with_views("claims", """

@@ -9,7 +9,7 @@ from presage.operators import asof as AS, graph as GR, models as M, rating as R,
 from presage.plans.articles import backtest
 from presage.plans.registry import Registry
 from presage.plans.scoring import scored
-from presage.session import r6
+from presage.session import rounded
 from presage.sources import fixtures as fx
 from presage.sources.fixtures import with_views
 
@@ -69,7 +69,7 @@ def graph_scenarios(spark, sf):
 
 
 @Q.add("graph_reconcile", with_views("prices", """
-SELECT scenario, id, round(p, 6) AS p FROM (
+SELECT scenario, id, round(p, 10) AS p FROM (
   SELECT scenario, '1-URGENT' AS id, u AS p FROM l UNION ALL SELECT scenario, '2-HIGH', h FROM l UNION ALL SELECT scenario, '3-MEDIUM', m FROM l
   UNION ALL SELECT scenario, '4-NOT SPECIFIED', q FROM l UNION ALL SELECT scenario, '5-LOW', ((0.66 * m + 0.38 * (1 - m)) + (0.55 * q + 0.45 * (1 - q))) / 2 FROM l)""", """
 cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS ix FROM (SELECT d.date, count(s.d) AS live FROM (SELECT DISTINCT date FROM prices) d LEFT JOIN (SELECT series_id, min(date) AS d FROM prices GROUP BY 1) s ON s.d <= d.date GROUP BY 1
@@ -79,7 +79,7 @@ ob AS (SELECT ev.scenario, u.probability AS u, h.probability AS h FROM ev ASOF J
 l AS (SELECT *, ((0.62 * u + 0.41 * (1 - u)) + (0.58 * h + 0.44 * (1 - h))) / 2 AS m, 0.57 * u + 0.46 * (1 - u) AS q FROM ob)"""))
 def graph_reconcile(spark, sf):
     v = GR.propagate(nodes(spark, sf), edges(spark), observations(spark, sf), reconcile=True)
-    return v.select("scenario", "id", r6(F.col("p")).alias("p"))
+    return v.select("scenario", "id", rounded(F.col("p")).alias("p"))
 
 
 @Q.add("graph_faults", with_views("prices", "SELECT 'unknown_node' AS fault, source AS id FROM edges WHERE source = '2-HIGH' UNION SELECT 'fan_in', 'x' WHERE false", EDGE_SQL))
@@ -96,7 +96,7 @@ def graph_backtest(spark, sf):
         F.col("id").alias("series_id"), F.to_date("scenario").alias("date"), "p")
     start = pr.groupBy("series_id").agg(F.min_by("probability", "date").alias("frozen"))
     at = AS.asof(pr, pred).join(start, "series_id").filter("price is not null and prev_price is not null")
-    sq = lambda x: r6(F.avg(F.pow(F.col(x) - F.col("price"), 2)))
+    sq = lambda x: rounded(F.avg(F.pow(F.col(x) - F.col("price"), 2)))
     return at.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), sq("p").alias("model"), sq("frozen").alias("persistence"), sq("prev_price").alias("previous"))
 
 
@@ -114,7 +114,7 @@ def edge_refit(spark, sf):
     rows = rows.join(need, "target").filter(F.size("ps") == F.col("_k")).crossJoin(F.broadcast(split)).select(
         "target", "date", (F.col("date") > F.col("split")).alias("test"), "y", F.transform("ps", lambda q: q["x"]).alias("p"), F.transform("ps", lambda q: q["w"]).alias("w"))
     out = M.refit_edges(rows, [0.25 * i for i in range(0, 9)])
-    return out.select("best_scale", *[r6(F.col(c)).alias(c) for c in out.columns if c != "best_scale"])
+    return out.select("best_scale", *[rounded(F.col(c)).alias(c) for c in out.columns if c != "best_scale"])
 
 
 @Q.add("pruned_edges", with_views("prices", """
@@ -133,13 +133,13 @@ def boosted_backtest(spark, sf):
     rows = entries.join(fx.outcomes(spark, sf).select("market_id", "outcome", "outcome_date"), "market_id").filter(
         F.col("article_date").between(F.date_sub("outcome_date", 30), F.date_sub("outcome_date", 3))).join(known, "source_id", "left")
     rows = rows.withColumn("days_before", F.datediff("outcome_date", "article_date").cast("double")).fillna({"source_brier": 0.25})
-    return M.boosted_by_fold(rows, "market_id", folds=2, iterations=5).select("market_id", "outcome", r6(F.col("p")).alias("p"))
+    return M.boosted_by_fold(rows, "market_id", folds=2, iterations=5).select("market_id", "outcome", rounded(F.col("p")).alias("p"))
 
 
 @Q.add("isotonic_calibration")
 def isotonic_calibration(spark, sf):
     c = M.isotonic(backtest(spark, sf), "p", "outcome")
-    return c.select("market_id", "outcome", r6(F.col("p")).alias("p"), r6(F.col("calibrated")).alias("calibrated"))
+    return c.select("market_id", "outcome", rounded(F.col("p")).alias("p"), rounded(F.col("calibrated")).alias("calibrated"))
 
 
 @Q.add("skill_ratings")
@@ -151,4 +151,4 @@ def skill_ratings(spark, sf):
 
     results = cut_lineage(results)
     days = [r.day for r in results.select("day").distinct().orderBy("day").collect()]  # one value per calendar day
-    return R.rate(results, "day", days).select("player", *[r6(F.col(c)).alias(c) for c in ("mu", "sigma", "conservative")])
+    return R.rate(results, "day", days).select("player", *[rounded(F.col(c)).alias(c) for c in ("mu", "sigma", "conservative")])

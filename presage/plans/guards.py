@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from presage.operators import guards as G
 from presage.plans.registry import Registry
-from presage.session import r6
+from presage.session import rounded
 from presage.sources import fixtures as fx
 from presage.sources.fixtures import with_views
 
@@ -93,12 +93,12 @@ REASONS = ("g_relative_date", "g_deadline_sign", "g_settlement_date", "g_quantit
 
 
 @Q.add("guarded_claims", with_views("pools rich_claims", f"""
-SELECT claim_ix, round(stance, 6)::DOUBLE AS stance, round(certainty, 6) AS certainty, settled, event_date, quantity_value, round(fact_signal, 6) AS fact_signal,
+SELECT claim_ix, round(stance, 10)::DOUBLE AS stance, round(certainty, 10) AS certainty, settled, event_date, quantity_value, round(fact_signal, 10) AS fact_signal,
        evidence_class, {', '.join(REASONS)} FROM g8""", GUARD_SQL))
 def guarded_claims(spark, sf):
     g = G.guard_claims(fx.rich_claims(spark, sf))
-    return g.select("claim_ix", r6(F.col("stance")).alias("stance"), r6(F.col("certainty")).alias("certainty"), "settled", "event_date", "quantity_value",
-                    r6(F.col("fact_signal")).alias("fact_signal"), "evidence_class", *REASONS)
+    return g.select("claim_ix", rounded(F.col("stance")).alias("stance"), rounded(F.col("certainty")).alias("certainty"), "settled", "event_date", "quantity_value",
+                    rounded(F.col("fact_signal")).alias("fact_signal"), "evidence_class", *REASONS)
 
 
 def _audit_sql() -> str:
@@ -193,8 +193,8 @@ LABEL = "CASE WHEN (claim_ix * 7 + k) % 10 < 4 THEN 'ADJACENT' WHEN (claim_ix *
 @Q.add("gate_confusion_matrix", with_views("pools rich_claims", """
 SELECT combo, count(*) FILTER (WHERE stop AND label = 'ADJACENT') AS tp, count(*) FILTER (WHERE stop AND label = 'SETTLES') AS fp,
        count(*) FILTER (WHERE NOT stop AND label = 'ADJACENT') AS fn, count(*) FILTER (WHERE NOT stop AND label = 'SETTLES') AS tn,
-       round(count(*) FILTER (WHERE stop AND label = 'ADJACENT') / nullif(count(*) FILTER (WHERE stop), 0)::DOUBLE, 6) AS prec,
-       round(count(*) FILTER (WHERE stop AND label = 'ADJACENT') / nullif(count(*) FILTER (WHERE label = 'ADJACENT'), 0)::DOUBLE, 6) AS recall
+       round(count(*) FILTER (WHERE stop AND label = 'ADJACENT') / nullif(count(*) FILTER (WHERE stop), 0)::DOUBLE, 10) AS prec,
+       round(count(*) FILTER (WHERE stop AND label = 'ADJACENT') / nullif(count(*) FILTER (WHERE label = 'ADJACENT'), 0)::DOUBLE, 10) AS recall
 FROM (SELECT c.combo, label, (r0 IS NOT NULL AND combo & 1 > 0) OR (r1 IS NOT NULL AND combo & 2 > 0) OR (r2 IS NOT NULL AND combo & 4 > 0)
         OR (r3 IS NOT NULL AND combo & 8 > 0) OR (r4 IS NOT NULL AND combo & 16 > 0) AS stop
       FROM (SELECT *, """ + LABEL + """ AS label FROM gated) g, (SELECT unnest(range(1, 32))::INT AS combo) c WHERE label IN ('ADJACENT', 'SETTLES')) GROUP BY 1""", GATE_SQL))
@@ -204,7 +204,7 @@ def gate_confusion_matrix(spark, sf):
     cand = G.with_subject(fx.rich_claims(spark, sf).filter("settled")).withColumn("label", F.expr(LABEL))
     flags = [G.semantic_gates((g,)).isNotNull() for g in GATES]
     m = gate_matrix(cand.filter(F.col("label").isin("ADJACENT", "SETTLES")), flags, F.col("label") == "ADJACENT")
-    return m.withColumns({"prec": r6(F.col("prec")), "recall": r6(F.col("recall"))})
+    return m.withColumns({"prec": rounded(F.col("prec")), "recall": rounded(F.col("recall"))})
 
 
 @Q.add("confusion_flags", with_views("pools rich_claims", """

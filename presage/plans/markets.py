@@ -8,7 +8,7 @@ from presage.functions import scalars as S
 from presage.operators import asof as AS, ledger as L
 from presage.operators.skew import first_per
 from presage.plans.registry import Registry
-from presage.session import r6, table
+from presage.session import rounded, table
 from presage.sources import fixtures as fx
 from presage.sources.fixtures import with_views
 
@@ -36,7 +36,7 @@ def horizons(spark):
 
 
 def _r(df, *cols):
-    return df.withColumns({c: r6(F.col(c)) for c in cols})
+    return df.withColumns({c: rounded(F.col(c)) for c in cols})
 
 
 DUEL_SQL = """
@@ -74,7 +74,7 @@ def duel_rows(spark, sf):
 
 
 @Q.add("duel_sweep", with_views("outcomes prices", """
-SELECT t_days, count(*) AS n_common, round(avg(ob), 6) AS model_brier, round(avg(mb), 6) AS market_brier,
+SELECT t_days, count(*) AS n_common, round(avg(ob), 10) AS model_brier, round(avg(mb), 10) AS market_brier,
        count(*) FILTER (WHERE winner = 'model') AS model_wins, count(*) FILTER (WHERE winner = 'market') AS market_wins
 FROM duel WHERE market_id IN (SELECT market_id FROM duel WHERE market_p IS NOT NULL AND model_p IS NOT NULL GROUP BY 1 HAVING count(DISTINCT t_days) = 4)
 GROUP BY 1""", DUEL_SQL))
@@ -130,14 +130,14 @@ def evaluation_dates(spark, sf):
 
 
 @Q.add("series_as_maps", with_views("prices", """
-SELECT series_id, count(*) AS points, min(date) AS first_date, max(date) AS last_date, round(sum(probability), 6) AS checksum FROM prices GROUP BY 1"""))
+SELECT series_id, count(*) AS points, min(date) AS first_date, max(date) AS last_date, round(sum(probability), 10) AS checksum FROM prices GROUP BY 1"""))
 def series_as_maps(spark, sf):
     from presage.sources.readers import series_maps
 
     m = series_maps(fx.prices(spark, sf))
     keys = F.array_sort(F.map_keys("points"))
     return m.select("series_id", F.size("points").cast("long").alias("points"), keys[0].alias("first_date"), F.element_at(keys, -1).alias("last_date"),
-                    r6(F.aggregate(F.map_values("points"), F.lit(0.0), lambda a, x: a + x)).alias("checksum"))
+                    rounded(F.aggregate(F.map_values("points"), F.lit(0.0), lambda a, x: a + x)).alias("checksum"))
 
 
 LEDGER_SQL = """
@@ -163,7 +163,7 @@ sc AS (SELECT *, CASE WHEN ok THEN pow(model_yes - y, 2) END AS brier_model, CAS
 
 @Q.add("market_report", with_views("snapshots", """
 SELECT market_id, n_snapshots, calls, event_slug, closed, resolved_outcome, resolution_raw, market_yes, model_yes, market_at_model,
-       round(brier_model, 6) AS brier_model, round(brier_market, 6) AS brier_market FROM sc""", LEDGER_SQL + "," + scored_sql("latest", False)))
+       round(brier_model, 10) AS brier_model, round(brier_market, 10) AS brier_market FROM sc""", LEDGER_SQL + "," + scored_sql("latest", False)))
 def market_report(spark, sf):
     s = L.score_markets(L.market_report(fx.snapshots(spark, sf)))
     return _r(s.select("market_id", "n_snapshots", "calls", "event_slug", "closed", "resolved_outcome", "resolution_raw", "market_yes", "model_yes",
@@ -171,7 +171,7 @@ def market_report(spark, sf):
 
 
 @Q.add("first_forecast_report", with_views("snapshots", """
-SELECT market_id, model_yes, market_at_model, excluded, round(brier_model, 6) AS brier_model, round(logloss_market, 6) AS logloss_market FROM sc""",
+SELECT market_id, model_yes, market_at_model, excluded, round(brier_model, 10) AS brier_model, round(logloss_market, 10) AS logloss_market FROM sc""",
                                            LEDGER_SQL + "," + scored_sql("firsts", True)))
 def first_forecast_report(spark, sf):
     s = L.score_markets(L.market_report(fx.snapshots(spark, sf), "first"), L.exclusion())
@@ -179,11 +179,11 @@ def first_forecast_report(spark, sf):
 
 
 @Q.add("ledger_summary", with_views("snapshots", """
-SELECT count(*) AS n_markets, count(model_yes) AS n_with_model, round(avg((model_yes IS NOT NULL)::INT), 6) AS coverage,
+SELECT count(*) AS n_markets, count(model_yes) AS n_with_model, round(avg((model_yes IS NOT NULL)::INT), 10) AS coverage,
        count(*) FILTER (WHERE resolved_outcome IN ('YES', 'NO')) AS n_resolved, count(*) FILTER (WHERE resolution_raw IN ('MKT', 'CANCEL')) AS n_void,
        count(brier_model) AS n_scored, count(*) FILTER (WHERE excluded = 'horizon') AS n_excluded_horizon, count(*) FILTER (WHERE excluded = 'band') AS n_excluded_band,
-       round(avg(brier_model), 6) AS brier_model, round(avg(brier_market), 6) AS brier_market, round(avg(logloss_model), 6) AS logloss_model,
-       round(avg(logloss_market), 6) AS logloss_market, round(avg(brier_model - brier_market), 6) AS brier_diff, sum(calls)::BIGINT AS calls,
+       round(avg(brier_model), 10) AS brier_model, round(avg(brier_market), 10) AS brier_market, round(avg(logloss_model), 10) AS logloss_model,
+       round(avg(logloss_market), 10) AS logloss_market, round(avg(brier_model - brier_market), 10) AS brier_diff, sum(calls)::BIGINT AS calls,
        CASE WHEN count(brier_model) < 150 THEN 'too early' WHEN avg(brier_model - brier_market) <= 0.01 THEN 'pass' ELSE 'not passing' END AS verdict
 FROM sc""", LEDGER_SQL + "," + scored_sql("firsts", True)))
 def ledger_summary(spark, sf):
@@ -200,7 +200,7 @@ pos AS (SELECT trade_id, market_id, side, shares, notional, status, price AS sid
 
 
 @Q.add("positions", with_views("snapshots trades", """
-SELECT trade_id, market_id, side, status, round(side_price, 6) AS side_price, round(value, 6) AS value, round(pnl, 6) AS pnl FROM pos""", POS_SQL))
+SELECT trade_id, market_id, side, status, round(side_price, 10) AS side_price, round(value, 10) AS value, round(pnl, 10) AS pnl FROM pos""", POS_SQL))
 def positions(spark, sf):
     p = L.positions(fx.trades(spark, sf), L.market_report(fx.snapshots(spark, sf)))
     return _r(p.select("trade_id", "market_id", "side", "status", "side_price", "value", "pnl"), "side_price", "value", "pnl")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from presage.operators import articles as A, audit as AU
 from presage.plans.registry import Registry
-from presage.session import r6, table
+from presage.session import rounded, table
 from presage.sources import fixtures as fx
 from presage.sources.fixtures import with_views
 
@@ -63,13 +63,13 @@ def gate_agreement(spark, sf):
 
 
 @Q.add("run_stability", """
-SELECT user_id, count(*) AS runs, round(max(s) - min(s), 6) AS range, round(stddev_pop(s), 6) AS stdev,
-  round(CASE WHEN count(*) < 2 THEN 0 ELSE 1 - greatest(count(*) FILTER (WHERE s > 0), count(*) FILTER (WHERE s < 0), count(*) FILTER (WHERE s = 0)) / count(*)::DOUBLE END, 6)::DOUBLE AS flip_rate,
+SELECT user_id, count(*) AS runs, round(max(s) - min(s), 10) AS range, round(stddev_pop(s), 10) AS stdev,
+  round(CASE WHEN count(*) < 2 THEN 0 ELSE 1 - greatest(count(*) FILTER (WHERE s > 0), count(*) FILTER (WHERE s < 0), count(*) FILTER (WHERE s = 0)) / count(*)::DOUBLE END, 10)::DOUBLE AS flip_rate,
   '+' || count(*) FILTER (WHERE s > 0) || '/-' || count(*) FILTER (WHERE s < 0) || '/0x' || count(*) FILTER (WHERE s = 0) AS signs
 FROM (SELECT user_id, (value - 50) / 50 AS s FROM events) GROUP BY 1""")
 def run_stability(spark, sf):
     runs = table(spark, sf, "events").select("user_id", ((F.col("value") - 50) / 50).alias("s"))
-    return AU.stability(runs, ["user_id"], "s").withColumns({c: r6(F.col(c)) for c in ("range", "stdev", "flip_rate")})
+    return AU.stability(runs, ["user_id"], "s").withColumns({c: rounded(F.col(c)) for c in ("range", "stdev", "flip_rate")})
 
 
 @Q.add("facet_gate", with_views("pools rich_claims", """
@@ -107,23 +107,23 @@ def failure_reasons(spark, sf):
 
 
 @Q.add("extraction_arms", with_views("pools rich_claims", """
-SELECT article_id, live_n, shadow_n, round(live_mean, 6) AS live_mean, round(shadow_mean, 6) AS shadow_mean FROM (
+SELECT article_id, live_n, shadow_n, round(live_mean, 10) AS live_mean, round(shadow_mean, 10) AS shadow_mean FROM (
   SELECT article_id, count(*) FILTER (WHERE k % 2 = 0) AS live_n, count(*) FILTER (WHERE k % 2 = 1) AS shadow_n, avg(abs(stance)) FILTER (WHERE k % 2 = 0) AS live_mean, avg(abs(stance)) FILTER (WHERE k % 2 = 1) AS shadow_mean FROM rich_claims GROUP BY 1)"""))
 def extraction_arms(spark, sf):
     live = F.col("k") % 2 == 0
     a = fx.rich_claims(spark, sf).groupBy("article_id").agg(F.count_if(live).alias("live_n"), F.count_if(~live).alias("shadow_n"), F.avg(F.when(live, F.abs("stance"))).alias("live_mean"), F.avg(F.when(~live, F.abs("stance"))).alias("shadow_mean"))
-    return a.withColumns({c: r6(F.col(c)) for c in ("live_mean", "shadow_mean")})
+    return a.withColumns({c: rounded(F.col(c)) for c in ("live_mean", "shadow_mean")})
 
 
 @Q.add("label_quality", """
 SELECT source, count(*) AS n, count(*) FILTER (WHERE pred AND quality = 1) AS tp, count(*) FILTER (WHERE pred AND quality = 0) AS fp, count(*) FILTER (WHERE NOT pred AND quality = 1) AS fn,
-  round(count(*) FILTER (WHERE pred AND quality = 1) / nullif(count(*) FILTER (WHERE pred), 0)::DOUBLE, 6) AS prec, round(count(*) FILTER (WHERE pred AND quality = 1) / nullif(count(*) FILTER (WHERE quality = 1), 0)::DOUBLE, 6) AS recall
+  round(count(*) FILTER (WHERE pred AND quality = 1) / nullif(count(*) FILTER (WHERE pred), 0)::DOUBLE, 10) AS prec, round(count(*) FILTER (WHERE pred AND quality = 1) / nullif(count(*) FILTER (WHERE quality = 1), 0)::DOUBLE, 10) AS recall
 FROM (SELECT source, n_chars >= 500 AS pred, quality FROM documents JOIN labels USING (doc_id)) GROUP BY 1""")
 def label_quality(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source", (F.col("n_chars") >= 500).alias("pred")).join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
     good, p = F.col("quality") == 1, F.col("pred")
     g = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(p & good).alias("tp"), F.count_if(p & ~good).alias("fp"), F.count_if(~p & good).alias("fn"))
-    return g.withColumns({"prec": r6(F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0))), "recall": r6(F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0)))})
+    return g.withColumns({"prec": rounded(F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0))), "recall": rounded(F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0)))})
 
 
 @Q.add("latest_snapshots", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
@@ -248,11 +248,11 @@ def topped_up_results(spark, sf):
 
 
 @Q.add("arm_profile", with_views("pools rich_claims", """
-SELECT CASE WHEN k % 2 = 0 THEN 'base' ELSE 'patched' END AS arm, count(*) AS predictions, round(avg((abs(stance) >= 0.95)::INT), 6) AS saturated,
-  round(count(fact_signal) / count(*)::DOUBLE, 6) AS fact_fill, round(count(quantity_value) / count(*)::DOUBLE, 6) AS quantity_fill, round(count(level) / count(*)::DOUBLE, 6) AS confidence_fill FROM rich_claims GROUP BY 1"""))
+SELECT CASE WHEN k % 2 = 0 THEN 'base' ELSE 'patched' END AS arm, count(*) AS predictions, round(avg((abs(stance) >= 0.95)::INT), 10) AS saturated,
+  round(count(fact_signal) / count(*)::DOUBLE, 10) AS fact_fill, round(count(quantity_value) / count(*)::DOUBLE, 10) AS quantity_fill, round(count(level) / count(*)::DOUBLE, 10) AS confidence_fill FROM rich_claims GROUP BY 1"""))
 def arm_profile(spark, sf):
     """Saturation and fill rates of each extraction arm."""
     n = F.count(F.lit(1))
     return fx.rich_claims(spark, sf).groupBy(F.when(F.col("k") % 2 == 0, "base").otherwise("patched").alias("arm")).agg(
-        n.alias("predictions"), r6(F.avg((F.abs("stance") >= 0.95).cast("double"))).alias("saturated"),
-        *[r6(F.count(c) / n).alias(name) for c, name in (("fact_signal", "fact_fill"), ("quantity_value", "quantity_fill"), ("level", "confidence_fill"))])
+        n.alias("predictions"), rounded(F.avg((F.abs("stance") >= 0.95).cast("double"))).alias("saturated"),
+        *[rounded(F.count(c) / n).alias(name) for c, name in (("fact_signal", "fact_fill"), ("quantity_value", "quantity_fill"), ("level", "confidence_fill"))])

@@ -8,7 +8,7 @@ from presage.functions import scalars as S, text as X
 from presage.operators import pooling as PL, skew
 from presage.operators.pooling import PoolRules
 from presage.plans.registry import Registry
-from presage.session import r6
+from presage.session import rounded
 from presage.sources import fixtures as fx
 from presage.sources.fixtures import with_views
 
@@ -126,24 +126,24 @@ st4 AS (SELECT *, CASE WHEN extra > 0 THEN greatest(0.01, least(0.99, least(lo0,
 
 DECIDE = """
 SELECT pool_id,
-  round(CASE WHEN dir IS NOT NULL THEN 0.94 * dir WHEN reason IS NOT NULL THEN 0 ELSE 2 * mp - 1 END, 6)::DOUBLE AS mean,
-  round(CASE WHEN dir IS NOT NULL THEN 0.06 WHEN reason IS NOT NULL THEN 0 ELSE greatest(2 * sqrt(v), 2 * extra, 0.1) END, 6)::DOUBLE AS std,
+  round(CASE WHEN dir IS NOT NULL THEN 0.94 * dir WHEN reason IS NOT NULL THEN 0 ELSE 2 * mp - 1 END, 10)::DOUBLE AS mean,
+  round(CASE WHEN dir IS NOT NULL THEN 0.06 WHEN reason IS NOT NULL THEN 0 ELSE greatest(2 * sqrt(v), 2 * extra, 0.1) END, 10)::DOUBLE AS std,
   round(CASE WHEN dir IS NOT NULL THEN 2 * CASE WHEN dir > 0 THEN 0.97 - 0.06 ELSE greatest(0.005, 0.03 - 0.025) END - 1 WHEN reason IS NOT NULL THEN 0
-        ELSE 2 * greatest(0.01, least(0.99, least(lo1, mp - half))) - 1 END, 6)::DOUBLE AS ci_low,
+        ELSE 2 * greatest(0.01, least(0.99, least(lo1, mp - half))) - 1 END, 10)::DOUBLE AS ci_low,
   round(CASE WHEN dir IS NOT NULL THEN 2 * CASE WHEN dir > 0 THEN least(0.995, 0.97 + 0.025) ELSE 0.03 + 0.06 END - 1 WHEN reason IS NOT NULL THEN 0
-        ELSE 2 * greatest(0.01, least(0.99, greatest(hi1, mp + half))) - 1 END, 6)::DOUBLE AS ci_high,
-  dir IS NOT NULL AS settled, n, round(n_eff, 6)::DOUBLE AS n_eff, round(w, 6) AS evidence_mass, round(valve, 6) AS valve_mass, round(age, 6) AS age_adjusted_mass,
+        ELSE 2 * greatest(0.01, least(0.99, greatest(hi1, mp + half))) - 1 END, 10)::DOUBLE AS ci_high,
+  dir IS NOT NULL AS settled, n, round(n_eff, 10)::DOUBLE AS n_eff, round(w, 10) AS evidence_mass, round(valve, 10) AS valve_mass, round(age, 10) AS age_adjusted_mass,
   thin AS thin_evidence, reason AS insufficient_reason, CASE WHEN dir IS NOT NULL THEN greatest(pc, nc) ELSE 0 END AS settled_sources,
   suppression_reason IS NOT NULL AS settlement_suppressed, suppression_reason, votes_demoted, rows_outside_window,
-  CASE WHEN NOT (off OR now_ OR nosig) THEN round(max_swing, 6) END AS max_swing, CASE WHEN NOT (off OR now_ OR nosig) THEN dominant_source END AS dominant_source,
+  CASE WHEN NOT (off OR now_ OR nosig) THEN round(max_swing, 10) END AS max_swing, CASE WHEN NOT (off OR now_ OR nosig) THEN dominant_source END AS dominant_source,
   CASE WHEN NOT (off OR now_ OR nosig) AND claim_archetype = 'diffuse' AND NOT any_settled AND claim_deadline > claim_created THEN
     round(2 * greatest(0, least(1, 0.15 + (mp - 0.15) * pow(0.5, greatest(0, least(claim_deadline - claim_created, DATE '2024-01-20' - claim_created))::DOUBLE
-          / (claim_deadline - claim_created) / 0.5))) - 1, 6) END AS hazard_mean
+          / (claim_deadline - claim_created) / 0.5))) - 1, 10) END AS hazard_mean
 FROM st4"""
 
 
 def _out(df):
-    return df.withColumns({c: r6(F.col(c)) for c in (
+    return df.withColumns({c: rounded(F.col(c)) for c in (
         "mean", "std", "ci_low", "ci_high", "n_eff", "evidence_mass", "valve_mass", "age_adjusted_mass", "max_swing", "hazard_mean")})
 
 
@@ -158,11 +158,11 @@ def pooled_forecasts_full(spark, sf):
 
 
 @Q.add("pool_row_weights", with_views("pools pool_rows", """
-SELECT pool_id, row_ix, round(weight0, 6) AS weight, round(valve0, 6) AS valve_weight, round(age0, 6) AS age_weight, window_reason, event_key FROM w0""",
+SELECT pool_id, row_ix, round(weight0, 10) AS weight, round(valve0, 10) AS valve_weight, round(age0, 10) AS age_weight, window_reason, event_key FROM w0""",
                                       EVIDENCE_SQL))
 def pool_row_weights(spark, sf):
-    return evidence(spark, sf).select("pool_id", "row_ix", r6(F.col("weight")).alias("weight"), r6(F.col("valve_weight")).alias("valve_weight"),
-                                      r6(F.col("age_weight")).alias("age_weight"), PL.window_reason(PLAIN).alias("window_reason"), "event_key")
+    return evidence(spark, sf).select("pool_id", "row_ix", rounded(F.col("weight")).alias("weight"), rounded(F.col("valve_weight")).alias("valve_weight"),
+                                      rounded(F.col("age_weight")).alias("age_weight"), PL.window_reason(PLAIN).alias("window_reason"), "event_key")
 
 
 @Q.add("settlement_votes", with_views("pools pool_rows", """
@@ -171,35 +171,35 @@ def settlement_votes(spark, sf):
     return fx.pool_rows(spark, sf).filter("settled").select("pool_id", "row_ix", "stance", PL.vote_reason(PLAIN).alias("vote_reason"))
 
 
-@Q.add("event_collapse_weights", with_views("pools pool_rows", "SELECT pool_id, row_ix, round(weight, 6) AS weight FROM w2", EVIDENCE_SQL))
+@Q.add("event_collapse_weights", with_views("pools pool_rows", "SELECT pool_id, row_ix, round(weight, 10) AS weight FROM w2", EVIDENCE_SQL))
 def event_collapse_weights(spark, sf):
-    return PL.reweight(evidence(spark, sf), ["pool_id"], PLAIN).select("pool_id", "row_ix", r6(F.col("weight")).alias("weight"))
+    return PL.reweight(evidence(spark, sf), ["pool_id"], PLAIN).select("pool_id", "row_ix", rounded(F.col("weight")).alias("weight"))
 
 
 @Q.add("outlet_rank_discount", with_views("pools pool_rows", """
 SELECT pool_id, row_ix, round(1.0::DOUBLE / CASE WHEN source_id IS NULL THEN 1 ELSE row_number() OVER (
-  PARTITION BY pool_id, source_id ORDER BY published_date DESC NULLS LAST, row_ix) END, 6) AS factor FROM pool_rows"""))
+  PARTITION BY pool_id, source_id ORDER BY published_date DESC NULLS LAST, row_ix) END, 10) AS factor FROM pool_rows"""))
 def outlet_rank_discount(spark, sf):
     rows = fx.pool_rows(spark, sf).withColumn("weight", F.lit(1.0))
-    return PL.harmonic_discount(rows, ["pool_id"]).select("pool_id", "row_ix", r6(F.col("weight")).alias("factor"))
+    return PL.harmonic_discount(rows, ["pool_id"]).select("pool_id", "row_ix", rounded(F.col("weight")).alias("factor"))
 
 
 @Q.add("capped_source_weights", with_views("pools pool_rows", """
-SELECT pool_id, row_ix, round(weight, 6) AS weight FROM w4""", EVIDENCE_SQL + "," + FULL_SQL))
+SELECT pool_id, row_ix, round(weight, 10) AS weight FROM w4""", EVIDENCE_SQL + "," + FULL_SQL))
 def capped_source_weights(spark, sf):
     rules = PoolRules(cluster_exponent=0.5, harmonic=True, max_source_share=0.2)
-    return PL.reweight(evidence(spark, sf), ["pool_id"], rules).select("pool_id", "row_ix", r6(F.col("weight")).alias("weight"))
+    return PL.reweight(evidence(spark, sf), ["pool_id"], rules).select("pool_id", "row_ix", rounded(F.col("weight")).alias("weight"))
 
 
 @Q.add("logit_pool", with_views("pools pool_rows", """
-SELECT pool_id, n, round(w, 6) AS evidence_mass, round(n_eff, 6)::DOUBLE AS n_eff, round(2 * mp - 1, 6) AS mean, round(2 * sqrt(v), 6) AS std,
-       round(2 * greatest(0.01, least(0.99, mp - 1.96 * sqrt(v) / sqrt(n_eff))) - 1, 6) AS ci_low,
-       round(2 * greatest(0.01, least(0.99, mp + 1.96 * sqrt(v) / sqrt(n_eff))) - 1, 6) AS ci_high
+SELECT pool_id, n, round(w, 10) AS evidence_mass, round(n_eff, 10)::DOUBLE AS n_eff, round(2 * mp - 1, 10) AS mean, round(2 * sqrt(v), 10) AS std,
+       round(2 * greatest(0.01, least(0.99, mp - 1.96 * sqrt(v) / sqrt(n_eff))) - 1, 10) AS ci_low,
+       round(2 * greatest(0.01, least(0.99, mp + 1.96 * sqrt(v) / sqrt(n_eff))) - 1, 10) AS ci_high
 FROM pooled JOIN spread USING (pool_id)""", EVIDENCE_SQL.replace("weight0", "weight0") + "," + decide_sql(
     "(SELECT w1.* EXCLUDE (weight), weight0 AS weight FROM w1 JOIN (SELECT row_ix, weight0 FROM w0) USING (row_ix))", False)))
 def logit_pool(spark, sf):
     out = PL.pool_sources(evidence(spark, sf), ["pool_id"], PLAIN)
-    return out.withColumns({c: r6(F.col(c)) for c in ("evidence_mass", "n_eff", "mean", "std", "ci_low", "ci_high")})
+    return out.withColumns({c: rounded(F.col(c)) for c in ("evidence_mass", "n_eff", "mean", "std", "ci_low", "ci_high")})
 
 
 @Q.add("legacy_settlement", with_views("pools pool_rows", """
@@ -225,17 +225,18 @@ def pool_confidence(spark, sf):
 
 
 @Q.add("weighted_median_stance", with_views("pools pool_rows", """
-SELECT pool_id, round(min(stance) FILTER (WHERE cum + 1e-12 >= tw / 2), 6) AS median FROM (
+SELECT pool_id, round(min(stance) FILTER (WHERE cum + 1e-12 >= tw / 2), 10) AS median FROM (
   SELECT *, sum(w) OVER (PARTITION BY pool_id ORDER BY stance) AS cum, sum(w) OVER (PARTITION BY pool_id) AS tw
-  FROM (SELECT pool_id, stance, sum(weight0) AS w FROM w0 GROUP BY 1, 2)) WHERE tw > 0 GROUP BY 1""", EVIDENCE_SQL))
+  FROM (SELECT pool_id, stance, sum(weight0) AS w FROM w0 GROUP BY 1, 2)) WHERE tw > 0 GROUP BY 1
+UNION ALL SELECT pool_id, round(quantile_cont(stance, 0.5), 10) FROM w0 WHERE stance IS NOT NULL GROUP BY 1 HAVING sum(weight0) = 0""", EVIDENCE_SQL))
 def weighted_median_stance(spark, sf):
-    return skew.weighted_medians(evidence(spark, sf), ["pool_id"], "stance", "weight").withColumn("median", r6(F.col("median")))
+    return skew.weighted_medians(evidence(spark, sf), ["pool_id"], "stance", "weight").withColumn("median", rounded(F.col("median")))
 
 
 @Q.add("stance_quantiles", with_views("pools pool_rows", """
-SELECT k AS source_id, prob, n, round(q, 6) AS q FROM (
+SELECT k AS source_id, prob, n, round(q, 10) AS q FROM (
   SELECT coalesce(source_id, '-') AS k, count(*) AS n, unnest([0.1, 0.5, 0.9, 1.0])::DOUBLE AS prob,
          unnest(quantile_cont(stance, [0.1, 0.5, 0.9, 1.0])) AS q FROM pool_rows GROUP BY 1)"""))
 def stance_quantiles(spark, sf):
     rows = fx.pool_rows(spark, sf).withColumn("source_id", F.coalesce("source_id", F.lit("-")))
-    return skew.exact_quantiles(rows, ["source_id"], "stance", [0.1, 0.5, 0.9, 1.0]).withColumn("q", r6(F.col("q")))
+    return skew.exact_quantiles(rows, ["source_id"], "stance", [0.1, 0.5, 0.9, 1.0]).withColumn("q", rounded(F.col("q")))

@@ -8,7 +8,7 @@ from presage.functions import text as X
 from presage.operators import similarity as SM
 from presage.plans.pooling import EVIDENCE_SQL, evidence
 from presage.plans.registry import Registry
-from presage.session import r6, table
+from presage.session import rounded, table
 from presage.sources.fixtures import with_views
 
 Q = Registry()
@@ -63,12 +63,12 @@ def text_clusters(spark, sf):
 
 @Q.add("similarity_histogram", f"""WITH {SHINGLE_SQL},
 h AS (SELECT source, max(j) AS mx, {', '.join(f'count(*) FILTER (WHERE least(floor(j * 10), 9) = {i}) AS b{i}' for i in range(1, 10))} FROM jac GROUP BY 1)
-SELECT source, rows, textful, pairs, round(coalesce(mx, 0), 6) AS max_jaccard, {', '.join(f'coalesce(b{i}, 0) AS b{i}' for i in range(1, 10))},
+SELECT source, rows, textful, pairs, round(coalesce(mx, 0), 10) AS max_jaccard, {', '.join(f'coalesce(b{i}, 0) AS b{i}' for i in range(1, 10))},
        pairs - ({' + '.join(f'coalesce(b{i}, 0)' for i in range(1, 10))}) AS b0
 FROM (SELECT source, rows, textful, textful * (textful - 1) // 2 AS pairs FROM (SELECT source, count(*) AS rows, count(*) FILTER (WHERE len(w) > 0) AS textful FROM toks GROUP BY 1))
 LEFT JOIN h USING (source)""")
 def similarity_histogram(spark, sf):
-    return SM.similarity_bands(documents(spark, sf), "text", ["source"]).withColumn("max_jaccard", r6(F.col("max_jaccard")))
+    return SM.similarity_bands(documents(spark, sf), "text", ["source"]).withColumn("max_jaccard", rounded(F.col("max_jaccard")))
 
 
 def titles(spark, sf):
@@ -97,10 +97,10 @@ def event_key_clusters(spark, sf):
 WITH s AS (SELECT item_id, list_distinct(list_transform(range(1, greatest(len(w), 2)), lambda i: array_to_string(w[i:i + 1], ' '))) AS g
            FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark)),
 q AS (SELECT g AS qg FROM s WHERE item_id = 0)
-SELECT item_id, round(coalesce(len(list_intersect(g, qg)) / nullif(len(g) + len(qg) - len(list_intersect(g, qg)), 0)::DOUBLE, 0), 6) AS jaccard FROM s, q""")
+SELECT item_id, round(coalesce(len(list_intersect(g, qg)) / nullif(len(g) + len(qg) - len(list_intersect(g, qg)), 0)::DOUBLE, 0), 10) AS jaccard FROM s, q""")
 def antecedent_matches(spark, sf):
     from presage.operators.articles import antecedent_similarity
 
     b = table(spark, sf, "benchmark")
     q = b.filter("item_id = 0").select(F.col("text").alias("query"))
-    return b.crossJoin(F.broadcast(q)).select("item_id", r6(antecedent_similarity(F.col("text"), F.col("query"))).alias("jaccard"))
+    return b.crossJoin(F.broadcast(q)).select("item_id", rounded(antecedent_similarity(F.col("text"), F.col("query"))).alias("jaccard"))

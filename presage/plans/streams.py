@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from presage.functions.scalars import clamp
 from presage.plans.registry import Registry
-from presage.session import r6
+from presage.session import rounded
 from presage.sources import fixtures as fx
 from presage.sources.fixtures import with_views
 from presage.streaming import jobs as J
@@ -22,12 +22,12 @@ def claim_stream(spark, sf):
 
 
 @Q.add("stream_running_board", with_views("claims outcomes", """
-SELECT source_id, count(*) AS claims, round(avg(pow((stance + 1) / 2 - outcome::INT, 2)), 6) AS brier, round(avg(((stance > 0) = outcome)::INT), 6) AS accuracy
+SELECT source_id, count(*) AS claims, round(avg(pow((stance + 1) / 2 - outcome::INT, 2)), 10) AS brier, round(avg(((stance > 0) = outcome)::INT), 10) AS accuracy
 FROM claims JOIN outcomes USING (market_id) WHERE coalesce(article_date <= outcome_date, true) GROUP BY 1"""))
 def stream_running_board(spark, sf):
     rows = J.reject_late(claim_stream(spark, sf), fx.outcomes(spark, sf).select("market_id", "outcome", "outcome_date"))
     out = J.drain(J.running_board(rows, ["source_id"]), "complete")
-    return out.withColumns({c: r6(F.col(c)) for c in ("brier", "accuracy")})
+    return out.withColumns({c: rounded(F.col(c)) for c in ("brier", "accuracy")})
 
 
 @Q.add("stream_once_per_key", """

@@ -10,7 +10,7 @@ from presage.operators import articles as A, pooling as PL, skew
 from presage.plans.articles import ARTICLE_SQL
 from presage.plans.pooling import EVIDENCE_SQL, PLAIN, evidence
 from presage.plans.registry import Registry
-from presage.session import r6, table
+from presage.session import rounded, table
 from presage.sources import fixtures as fx
 from presage.sources.fixtures import with_views
 
@@ -18,8 +18,8 @@ Q = Registry()
 
 
 @Q.add("fact_lane_backtest", with_views("pools rich_claims outcomes", """
-SELECT count(*) AS pools, round(avg(pf - ps), 6) AS mean_change, round(avg(abs(pf - ps)), 6) AS mean_abs_change, count(*) FILTER (WHERE pf > ps + 1e-9) AS raised, count(*) FILTER (WHERE pf < ps - 1e-9) AS lowered,
-  round(avg(pow(ps - outcome::INT, 2)), 6) AS brier_stance, round(avg(pow(pf - outcome::INT, 2)), 6) AS brier_fact
+SELECT count(*) AS pools, round(avg(pf - ps), 10) AS mean_change, round(avg(abs(pf - ps)), 10) AS mean_abs_change, count(*) FILTER (WHERE pf > ps + 1e-9) AS raised, count(*) FILTER (WHERE pf < ps - 1e-9) AS lowered,
+  round(avg(pow(ps - outcome::INT, 2)), 10) AS brier_stance, round(avg(pow(pf - outcome::INT, 2)), 10) AS brier_fact
 FROM (SELECT pool_id, 1 / (1 + exp(-sum(w * ln(q / (1 - q))) / sum(w))) AS ps, 1 / (1 + exp(-sum(w * ln(r / (1 - r))) / sum(w))) AS pf FROM (
   SELECT pool_id, evidence_weight AS w, greatest(0.01, least(0.99, (stance + 1) / 2)) AS q, greatest(0.01, least(0.99, (fact_signal + 1) / 2)) AS r FROM art WHERE fact_signal IS NOT NULL AND evidence_weight > 0) GROUP BY 1)
 JOIN outcomes ON pool_id = market_id""", ARTICLE_SQL))
@@ -30,19 +30,19 @@ def fact_lane_backtest(spark, sf):
     wide = pooled.groupBy("pool_id").agg(F.max(F.when(F.col("lane") == "ps", F.col("p"))).alias("ps"), F.max(F.when(F.col("lane") == "pf", F.col("p"))).alias("pf"))
     both = wide.join(fx.outcomes(spark, sf).select(F.col("market_id").alias("pool_id"), "outcome"), "pool_id")
     d = F.col("pf") - F.col("ps")
-    return both.agg(F.count(F.lit(1)).alias("pools"), r6(F.avg(d)).alias("mean_change"), r6(F.avg(F.abs(d))).alias("mean_abs_change"), F.count_if(d > 1e-9).alias("raised"), F.count_if(d < -1e-9).alias("lowered"),
-                    r6(F.avg(S.brier(F.col("ps"), F.col("outcome")))).alias("brier_stance"), r6(F.avg(S.brier(F.col("pf"), F.col("outcome")))).alias("brier_fact"))
+    return both.agg(F.count(F.lit(1)).alias("pools"), rounded(F.avg(d)).alias("mean_change"), rounded(F.avg(F.abs(d))).alias("mean_abs_change"), F.count_if(d > 1e-9).alias("raised"), F.count_if(d < -1e-9).alias("lowered"),
+                    rounded(F.avg(S.brier(F.col("ps"), F.col("outcome")))).alias("brier_stance"), rounded(F.avg(S.brier(F.col("pf"), F.col("outcome")))).alias("brier_fact"))
 
 
 @Q.add("strata_threshold_sweep", with_views("pools pool_rows", """
 , t AS (SELECT pool_id, th, coalesce(stratum, '#' || row_ix) AS st, weight0 AS w, greatest(0.01, least(0.99, (stance + 1) / 2)) AS p FROM w0, (SELECT unnest([0.05, 0.1, 0.2])::DOUBLE AS th)),
 m AS (SELECT *, m / sum(m) OVER (PARTITION BY pool_id, th) < th AS small, sum(m) OVER (PARTITION BY pool_id, th) AS tt FROM (SELECT pool_id, th, st, sum(w) AS m FROM t GROUP BY 1, 2, 3)),
 f AS (SELECT *, CASE WHEN small THEN sum(m) FILTER (WHERE small) OVER q ELSE m END AS own, count(*) FILTER (WHERE NOT small) OVER q + CASE WHEN count(*) FILTER (WHERE small) OVER q > 0 THEN 1 ELSE 0 END AS k FROM m WINDOW q AS (PARTITION BY pool_id, th))
-SELECT pool_id, th AS threshold, round(2 / (1 + exp(-sum(w * tt / own / k * ln(p / (1 - p))) / sum(w * tt / own / k))) - 1, 6) AS mean FROM t JOIN f USING (pool_id, th, st) WHERE own > 0 GROUP BY 1, 2""", EVIDENCE_SQL).replace("\n\n, t AS", ",\nt AS"))
+SELECT pool_id, th AS threshold, round(2 / (1 + exp(-sum(w * tt / own / k * ln(p / (1 - p))) / sum(w * tt / own / k))) - 1, 10) AS mean FROM t JOIN f USING (pool_id, th, st) WHERE own > 0 GROUP BY 1, 2""", EVIDENCE_SQL).replace("\n\n, t AS", ",\nt AS"))
 def strata_threshold_sweep(spark, sf):
     rows = evidence(spark, sf).withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in (0.05, 0.1, 0.2)])))
     rows = PL.balance_strata(rows, ["pool_id", "threshold"], F.col("threshold"))
-    return PL.pool_sources(rows, ["pool_id", "threshold"], PLAIN).select("pool_id", "threshold", r6(F.col("mean")).alias("mean"))
+    return PL.pool_sources(rows, ["pool_id", "threshold"], PLAIN).select("pool_id", "threshold", rounded(F.col("mean")).alias("mean"))
 
 
 def outliers(spark, sf):
@@ -67,7 +67,7 @@ SIGNALS = ("pin_gap", "band_pct", "centre_gap", "n_eff_ratio", "max_weight_share
 
 @Q.add("outlier_scan")
 def outlier_scan(spark, sf):
-    return outliers(spark, sf).withColumns({c: r6(F.col(c)) for c in (*SIGNALS, "settled_share")})
+    return outliers(spark, sf).withColumns({c: rounded(F.col(c)) for c in (*SIGNALS, "settled_share")})
 
 
 @Q.add("signal_distributions")
@@ -75,14 +75,14 @@ def signal_distributions(spark, sf):
     long = outliers(spark, sf).unpivot("pool_id", list(SIGNALS), "signal", "v").filter("v is not null")
     long = skew.fork(long)
     q = skew.exact_quantiles(long, ["signal"], "v", [0.1, 0.5, 0.9]).groupBy("signal").agg(
-        *[F.max(F.when(F.col("prob") == p, r6(F.col("q")))).alias(n) for p, n in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"))])
-    return long.groupBy("signal").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("v")).alias("mean"), r6(F.max("v")).alias("max")).join(q, "signal")
+        *[F.max(F.when(F.col("prob") == p, rounded(F.col("q")))).alias(n) for p, n in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"))])
+    return long.groupBy("signal").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("v")).alias("mean"), rounded(F.max("v")).alias("max")).join(q, "signal")
 
 
-@Q.add("top_swings", with_views("pools pool_rows", "SELECT pool_id, row_ix, round(weight0, 6) AS weight FROM w0 ORDER BY weight0 DESC, row_ix LIMIT 10", EVIDENCE_SQL))
+@Q.add("top_swings", with_views("pools pool_rows", "SELECT pool_id, row_ix, round(weight0, 10) AS weight FROM w0 ORDER BY weight0 DESC, row_ix LIMIT 10", EVIDENCE_SQL))
 def top_swings(spark, sf):
     """The ten heaviest evidence rows, a capped report."""
-    return evidence(spark, sf).filter("weight is not null").orderBy(F.desc("weight"), "row_ix").limit(10).select("pool_id", "row_ix", r6(F.col("weight")).alias("weight"))
+    return evidence(spark, sf).filter("weight is not null").orderBy(F.desc("weight"), "row_ix").limit(10).select("pool_id", "row_ix", rounded(F.col("weight")).alias("weight"))
 
 
 @Q.add("document_date_mentions")

@@ -1,4 +1,4 @@
-"""Session helpers: lineage cuts on shared storage and size-checked broadcasts."""
+"""Session helpers: lineage cuts on shared storage, tables, rounding."""
 
 from __future__ import annotations
 
@@ -36,25 +36,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate, read before any job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the files and tables under a plan: a bound on what a scan reads."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def scan_within(df: DataFrame, max_bytes: int) -> DataFrame:
-    """Refuse a scan whose estimated size is over the limit."""
-    size = plan_bytes(df)
-    if size > max_bytes:
-        raise ValueError(f"plan reads about {size} bytes, limit is {max_bytes}")
-    return df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; zoneless timestamps are read as UTC instants."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -63,6 +44,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
 
 
-def r6(col):
-    """Round to six places, with negative zero folded into zero."""
-    return F.round(col, 6) + F.lit(0.0)
+def rounded(col):
+    """Round to ten places, beyond the decimals of any input, with negative zero folded into zero."""
+    return F.round(col, 10) + F.lit(0.0)

@@ -18,8 +18,7 @@ def spark():
 
 @pytest.fixture
 def big_input(monkeypatch):
-    """Force the steps for large inputs, with every group of five rows counted as hot."""
+    """Every group of five rows counts as hot."""
     from presage.operators import skew
 
-    monkeypatch.setattr(skew, "SMALL_INPUT", -1)
     monkeypatch.setattr(skew, "HOT_MIN_ROWS", 5)

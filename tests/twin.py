@@ -38,17 +38,17 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 5) + 0.0
+        return v + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     if type(v).__name__ == "Decimal":
-        return round(float(v), 5) + 0.0
+        return float(v)
     return v
 
 
 def _key(row):
     row = [x for x in row if not isinstance(x, float)] + [x for x in row if isinstance(x, float)]
-    return tuple((x is not None, type(x).__name__ if not isinstance(x, (int, float)) else "n", x if x is not None else 0) for x in row)
+    return tuple((x is not None, type(x).__name__ if not isinstance(x, (int, float)) else "n", (round(x, 6) if isinstance(x, float) else x) if x is not None else 0) for x in row)
 
 
 def compare(spark, con, sf_dir, fn, sql):
@@ -78,7 +78,7 @@ def compare(spark, con, sf_dir, fn, sql):
 def _close(g, w):
     for a, b in zip(g, w):
         if isinstance(a, float) and isinstance(b, float):
-            if abs(a - b) > 2e-5:
+            if abs(a - b) > 1e-9 * max(1.0, abs(a)):
                 return False
         elif a != b:
             return False
