@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from presage.operators import guards as G
 from presage.plans.registry import Registry
-from presage.session import rounded
+from presage.session import table, rounded
 from presage.sources import fixtures as fx
 from presage.sources.fixtures import with_views
 
@@ -145,13 +145,20 @@ def question_subjects(spark, sf):
     return G.with_subject(q).select("question", s.alias("versus_subject"), r.alias("versus_rival"), G.subject_entity(F.col("question")).alias("subject"), "point_in_time")
 
 
-@Q.add("threshold_questions", with_views("pools rich_claims", r"""
-SELECT DISTINCT question, CASE question WHEN 'Will inflation in Norway exceed 3.5% in May?' THEN true WHEN 'Will the Ebola outbreak reach 10,000 cases?' THEN true ELSE false END AS threshold_shaped,
-  CASE question WHEN 'Will inflation in Norway exceed 3.5% in May?' THEN 'numeric' WHEN 'Will the Ebola outbreak reach 10,000 cases?' THEN 'numeric' END AS extractor FROM rich_claims"""))
+_SAID = r"regexp_replace(regexp_replace(regexp_replace(said, '(?i)\bafter\s+\d[\d,.]*\s*(?:second|minute|hour|day|week|month|year)s?\b', ' ', 'g'), '\b(?:19|20)\d{2}\b', ' ', 'g'), '(?i)\b\d+(?:st|nd|rd|th)\b', ' ', 'g')"
+_SHAPES = (" will exceed {}% in May?", " top-{} finish?", " after {} days?", " reach {},000 cases?", " on the {}th?", " over the {}?", " at {}+ points")
+
+
+@Q.add("threshold_questions", rf"""
+SELECT doc_id, regexp_matches(t, '(?i)\btop[\s-]?\d+\b') OR CASE WHEN regexp_matches(t, '(?i){G.MAGNITUDE}') THEN regexp_matches(t, '(?i){G.THRESHOLD_CUE}') OR regexp_matches(t, '\d[\d,.]*\s?(?:%|k|m|bn|tn)?\s?\+')
+  ELSE regexp_matches(t, '(?i){G.THRESHOLD_CUE}\s+(?:the\s+)?\d') END AS threshold_shaped
+FROM (SELECT doc_id, {_SAID} AS t FROM (SELECT doc_id, text || CASE doc_id % 8 {' '.join(f"WHEN {i} THEN replace('{x}', '{{}}', (doc_id % 50)::VARCHAR)" for i, x in enumerate(_SHAPES))} ELSE '' END AS said FROM documents))""")
 def threshold_questions(spark, sf):
-    q = fx.rich_claims(spark, sf).select("question").distinct()
-    shaped = G.threshold_shaped(F.col("question"))
-    return q.select("question", shaped.alias("threshold_shaped"), F.when(shaped, "numeric").alias("extractor"))
+    """Which texts ask about a level; each of seven endings meets an eighth of the documents."""
+    k = F.col("doc_id")
+    ends = F.array(*[F.lit(x) for x in _SHAPES], F.lit(""))
+    said = F.concat("text", F.replace(F.get(ends, (k % 8).cast("int")), F.lit("{}"), (k % 50).cast("string")))
+    return table(spark, sf, "documents").select("doc_id", G.threshold_shaped(said).alias("threshold_shaped"))
 
 
 GATES = ("occurrence_consistency", "announcement_facet", "predicate_echo", "point_in_time", "facet_missing")

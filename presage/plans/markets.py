@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from presage.functions import scalars as S
 from presage.operators import asof as AS, ledger as L
 from presage.operators.skew import first_per
+from presage.operators.guards import PERSONAL_QUESTION, admitted
 from presage.plans.registry import Registry
 from presage.session import rounded, table
 from presage.sources import fixtures as fx
@@ -308,14 +309,16 @@ def tag_upserts(spark, sf):
     return L.upsert_tags(log, "prediction_id", "seq").select("prediction_id", F.array_join("tags", ",").alias("tags"))
 
 
-@Q.add("market_admission", r"""
-SELECT part_id, bettors >= 15 AND volume >= 500 AND NOT regexp_matches(q, '\b(i|i''ll|i''m|my|me|mine|we|our|myself)\b|\bthis (market|poll)\b|coin ?flip|^\s*daily\b|\bwill (this|the) (market|question)\b', 'i')
-       AND hours >= 120 AND hours <= 720 AS admitted
-FROM (SELECT p_partkey AS part_id, p_name AS q, p_size AS bettors, p_retailprice AS volume, (p_partkey * 31) % 900 AS hours FROM part)""")
-def market_admission(spark, sf):
-    from presage.operators.guards import admitted
+_PERSONAL = PERSONAL_QUESTION.replace("(?i)", "").replace("\\'", "''")
+
 
-    p = table(spark, sf, "part").select(
-        F.col("p_partkey").alias("part_id"), F.col("p_name").alias("question"), F.col("p_size").alias("bettors"), F.col("p_retailprice").alias("volume"),
-        ((F.col("p_partkey") * 31) % 900).alias("hours"))
-    return p.select("part_id", admitted(F.col("bettors"), F.col("volume"), F.col("question"), F.col("hours")).alias("admitted"))
+@Q.add("market_admission", rf"""
+SELECT part_id, NOT closed AND price IS NOT NULL AND resolution IS NULL AND bettors >= 15 AND volume >= 500 AND NOT regexp_matches(q, '{_PERSONAL}', 'i') AND hours >= 120 AND hours <= 720 AS admitted
+FROM (SELECT p_partkey AS part_id, CASE p_partkey % 7 WHEN 1 THEN 'Will my ' || p_name || ' arrive?' WHEN 2 THEN 'Daily ' || p_name || '?' ELSE 'Will the ' || p_name || ' rise?' END AS q, p_size AS bettors, p_retailprice AS volume,
+  (p_partkey * 31) % 900 AS hours, p_partkey % 11 = 0 AS closed, CASE WHEN p_partkey % 13 <> 0 THEN 0.5 END AS price, CASE WHEN p_partkey % 17 = 0 THEN 'MKT' END AS resolution FROM part)""")
+def market_admission(spark, sf):
+    k, name = F.col("p_partkey"), F.col("p_name")
+    question = F.when(k % 7 == 1, F.concat(F.lit("Will my "), name, F.lit(" arrive?"))).when(k % 7 == 2, F.concat(F.lit("Daily "), name, F.lit("?"))).otherwise(
+        F.concat(F.lit("Will the "), name, F.lit(" rise?")))
+    return table(spark, sf, "part").select(k.alias("part_id"), admitted(
+        F.col("p_size"), F.col("p_retailprice"), question, (k * 31) % 900, k % 11 == 0, F.when(k % 13 != 0, 0.5), F.when(k % 17 == 0, "MKT")).alias("admitted"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from presage.functions import text as X
 from presage.operators import articles as A, audit as AU
 from presage.plans.registry import Registry
 from presage.session import rounded, table
@@ -178,18 +179,24 @@ def claims_replay(spark, sf):
     return s.unpivot("rows", list(fields), "field", "differ")
 
 
-@Q.add("market_word_matches", """
-WITH q AS (SELECT p_partkey AS qid, list_distinct(string_split(p_name, ' ')) AS w FROM part WHERE p_size <= 5), m AS (SELECT DISTINCT p_name AS name, list_distinct(string_split(p_name, ' ')) AS w FROM part)
-SELECT qid, name, ratio FROM (SELECT qid, name, len(list_intersect(q.w, m.w)) / len(q.w)::DOUBLE AS ratio FROM q, m) WHERE ratio >= 0.5""")
+_WORDS = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+')), lambda w: length(w) >= 4 AND NOT list_contains(" + str(list(X.MATCH_STOP_WORDS)) + ", w))"
+
+
+@Q.add("market_word_matches", f"""
+WITH m AS (SELECT p_name AS name, {_WORDS.format('p_name')} AS w, bool_or(p_size % 2 = 0) AS is_open FROM part GROUP BY 1), q AS (SELECT {_WORDS.format("p_name || ' next to ' || p_type")} AS w FROM part)
+SELECT list_sort(w)::VARCHAR AS words, name, ratio FROM (SELECT q.w, name, is_open, len(list_intersect(q.w, m.w)) / len(q.w)::DOUBLE AS ratio FROM (SELECT DISTINCT list_sort(w) AS w FROM q) q, m) WHERE ratio >= 0.5
+QUALIFY row_number() OVER (PARTITION BY w ORDER BY ratio DESC, is_open DESC, name) = 1""")
 def market_word_matches(spark, sf):
-    """Questions against market names by the share of their words found there."""
+    """Best market per question by the share of its significant words found in the
+    market's name; at a tie open ones first, then by name. Equal word sets are matched once."""
     p = table(spark, sf, "part")
-    q = p.filter("p_size <= 5").select(F.col("p_partkey").alias("qid"), F.array_distinct(F.split("p_name", " ")).alias("w"))
-    m = p.select(F.col("p_name").alias("name")).distinct().select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
-    # questions with equal words are matched once
-    kinds = q.select(F.array_sort("w").alias("w")).distinct().withColumn("word", F.explode("w")).join(m, "word").groupBy("w", "name").agg(F.count(F.lit(1)).alias("hits"))
-    best = kinds.withColumn("ratio", F.col("hits") / F.size("w")).filter("ratio >= 0.5").select("w", "name", "ratio")
-    return q.withColumn("w", F.array_sort("w")).join(best, "w").select("qid", "name", "ratio")
+    q = p.select(F.array_sort(X.significant_words(F.concat_ws(" next to ", "p_name", "p_type"))).alias("w")).distinct()
+    m = p.groupBy(F.col("p_name").alias("name")).agg(F.bool_or(F.col("p_size") % 2 == 0).alias("is_open"))
+    posts = m.select("name", "is_open", F.explode(X.significant_words(F.col("name"))).alias("word"))
+    hits = q.withColumn("word", F.explode("w")).join(posts, "word").groupBy("w", "name", "is_open").agg(F.count(F.lit(1)).alias("hits"))
+    ranked = hits.withColumn("ratio", F.col("hits") / F.size("w")).filter("ratio >= 0.5")
+    best = ranked.groupBy("w").agg(F.min_by(F.struct("name", "ratio"), F.struct(-F.col("ratio"), ~F.col("is_open"), "name")).alias("b"))
+    return best.select(F.concat(F.lit("["), F.array_join("w", ", "), F.lit("]")).alias("words"), "b.name", "b.ratio")
 
 
 @Q.add("settled_arms", with_views("pools rich_claims", """
@@ -204,14 +211,24 @@ def settled_arms(spark, sf):
                                                F.count_if(base & ~patched).alias("lost"), F.count_if(patched & ~base).alias("gained"))
 
 
-@Q.add("document_aliases")
-def document_aliases(spark, sf):
-    """Subject names found in texts under their normalised forms."""
-    from presage.functions import text as X
+_KEY = r"""trim(regexp_replace(translate(regexp_replace(lower({}), '["''‘’“”`]', '', 'g'), '-–—', '   '), '\s+', ' ', 'g'))"""
 
-    names = spark.createDataFrame([("Ther-E",), ("Über",), ("Que",)], "alias string").select("alias", X.match_key(F.col("alias")).alias("key"))
-    d = table(spark, sf, "documents").select("doc_id", X.match_key(F.col("text")).alias("t"))
-    return d.crossJoin(F.broadcast(names)).filter(X.contains_alias(F.col("t"), F.col("key"))).select("doc_id", "alias")
+
+@Q.add("document_aliases", rf"""
+WITH n AS (SELECT DISTINCT item_id, alias, {_KEY.format('alias')} AS key FROM (SELECT item_id, unnest(regexp_extract_all(text, '\p{{Lu}}\pL+')) AS alias FROM benchmark)),
+d AS (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS item_id, {_KEY.format('text')} AS t FROM documents)
+SELECT doc_id, count(*) AS aliases, count(*) FILTER (WHERE length(key) >= 3 AND regexp_matches(t, '(?:^|[^\pL\pN_])' || key)) AS found FROM d JOIN n USING (item_id) GROUP BY 1""")
+def document_aliases(spark, sf):
+    """How many aliases of a document's own question stand in its text, in their normalised forms.
+
+    A document meets only its question's list, which is one row of the alias table."""
+    items = table(spark, sf, "benchmark")
+    names = items.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("\\p{Lu}\\p{L}+"), F.lit(0)))).alias("alias"))
+    lists = names.select("item_id", X.match_key(F.col("alias")).alias("key")).groupBy("item_id").agg(F.collect_list("key").alias("keys"))
+    n = items.agg(F.count(F.lit(1)).alias("n"))
+    d = table(spark, sf, "documents").crossJoin(F.broadcast(n)).select("doc_id", (F.col("doc_id") % F.col("n")).alias("item_id"), X.match_key(F.col("text")).alias("t"))
+    hits = F.size(F.filter("keys", lambda k: X.contains_alias(F.col("t"), k))).cast("long")
+    return d.join(lists, "item_id").select("doc_id", F.size("keys").cast("long").alias("aliases"), hits.alias("found"))
 
 
 RANKS = "CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 ELSE 4 END"

@@ -130,7 +130,7 @@ def malformed_claims(spark, sf):
 @Q.add("bootstrap_interval", with_views("claims outcomes registry", """
 , d AS (SELECT market_id, avg(brier) - 0.25 AS v FROM scored GROUP BY 1),
 u AS (SELECT b, v, ('0x' || substr(md5(market_id || '|' || b || '|918'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
-      FROM d, (SELECT unnest(range(500)) AS b)),
+      FROM d, (SELECT unnest(range(2000)) AS b)),
 reps AS (SELECT b, sum(w * v) / sum(w) AS m FROM (SELECT *, (SELECT count(*) FROM cdf WHERE u >= c) AS w FROM u) GROUP BY 1 HAVING sum(w) > 0),
 SELECT (SELECT count(*) FROM d) AS n, round((SELECT avg(v) FROM d), 10) AS mean,
        round(quantile_cont(m, 0.025), 10) AS lo, round(quantile_cont(m, 0.975), 10) AS hi FROM reps""", SCORED_SQL + """,
@@ -138,7 +138,7 @@ cdf AS (SELECT round(exp(-1) * s, 12) AS c FROM (SELECT i, sum(1.0::DOUBLE / gam
       .replace("\n, d AS", ",\nd AS").replace("HAVING sum(w) > 0),\nSELECT", "HAVING sum(w) > 0)\nSELECT"))
 def bootstrap_interval(spark, sf):
     d = scored(spark, sf).groupBy("market_id").agg((F.avg("brier") - 0.25).alias("v"))
-    return _round(SC.bootstrap_mean(d, "market_id", "v", draws=500), ["mean", "lo", "hi"])
+    return _round(SC.bootstrap_mean(d, "market_id", "v"), ["mean", "lo", "hi"])
 
 
 @Q.add("scalar_scores", with_views("claims outcomes", """

@@ -33,7 +33,8 @@ SELECT page_id, host, CASE WHEN length(art) > 300 THEN art WHEN length(mn) > 300
   SELECT page_id, host, {_visible(r"regexp_extract(b, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1)")} AS art, {_visible(r"regexp_extract(b, '(?is)<main\b[^>]*>(.*?)</main\s*>', 1)")} AS mn, {_visible('b')} AS whole
   FROM (SELECT page_id, {_HOST} AS host, {_bare('html')} AS b FROM pages))""")
 def page_articles(spark, sf):
-    return table(spark, sf, "pages").select("page_id", W.host(F.col("url")).alias("host"), W.page_text(F.col("html")).alias("body"))
+    """Host and main text of each page, its white space squeezed."""
+    return table(spark, sf, "pages").select("page_id", W.host(F.col("url")).alias("host"), X.squash_spaces(W.page_text(F.col("html"))).alias("body"))
 
 
 @Q.add("page_dates", r"""
@@ -60,13 +61,24 @@ def published_dates(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", raw.alias("raw")).select("o_orderkey", W.published_date(F.col("raw"), F.to_date(F.lit("2024-01-31"))).alias("published"))
 
 
+_EXPECTED = "DATE '2024-01-01' + CAST(page_id % 90 AS INTEGER)"
+
+
 @Q.add("url_rules", rf"""
 SELECT page_id, {_HOST} AS host, regexp_replace({_HOST}, '^(?:(?:feeds|rss|m|amp|www)\.)+', '') AS source, regexp_matches({_HOST}, '(?:wikipedia\.org|britannica\.com|cfr\.org|encyclopedia\.com|history\.com|investopedia\.com)$') AS evergreen,
-  {_HOST} = 'news.google.com' AS redirector, contains(url, 'example.com') AND NOT regexp_matches(url, '/authors/|/author/|/topics/|/tag/|/category/|/section/|/search/|/video/') AS candidate FROM pages""")
+  {_HOST} = 'news.google.com' AS redirector, contains(url, 'example.com') AND NOT regexp_matches(url, '/authors/|/author/|/topics/|/tag/|/category/|/section/|/search/|/video/')
+    AND coalesce(abs(d - ({_EXPECTED})) <= 30, true) AS candidate, {_HOST} IN {tuple(W.SHORT_FORM_HOSTS)} AS short_form, {_HOST} = '{W.NO_ARTICLE_PAGE_HOSTS[0]}' AS no_page
+FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN replace(url, '.com/', '.com/2024/02/' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') || '/') WHEN page_id % 11 = 0 THEN 'https://t.me/' || page_id ELSE url END AS url,
+   CASE WHEN page_id % 5 = 0 AND contains(url, '.com/') THEN DATE '2024-02-01' + CAST(page_id % 28 AS INTEGER) END AS d FROM pages)""")
 def url_rules(spark, sf):
-    u = F.col("url")
-    return table(spark, sf, "pages").select("page_id", W.host(u).alias("host"), W.clean_source(W.host(u)).alias("source"), W.is_evergreen(u).alias("evergreen"),
-                                            W.is_redirector(u).alias("redirector"), W.is_candidate(u, F.lit("example.com"), F.lit(None).cast("date")).alias("candidate"))
+    """URL tests on the pages' addresses, every fifth one with a date in its path."""
+    k = F.col("page_id")
+    dated = F.concat(F.lit(".com/2024/02/"), F.lpad((k % 28 + 1).cast("string"), 2, "0"), F.lit("/"))
+    u = F.when(k % 5 == 0, F.replace("url", F.lit(".com/"), dated)).when(k % 11 == 0, F.concat(F.lit("https://t.me/"), k.cast("string"))).otherwise(F.col("url"))
+    p, u = table(spark, sf, "pages").select("page_id", u.alias("url")), F.col("url")
+    due = F.date_add(F.to_date(F.lit("2024-01-01")), (k % 90).cast("int"))
+    return p.select("page_id", W.host(u).alias("host"), W.clean_source(W.host(u)).alias("source"), W.is_evergreen(u).alias("evergreen"), W.is_redirector(u).alias("redirector"),
+                    W.is_candidate(u, F.lit("example.com"), due).alias("candidate"), W.is_short_form(u).alias("short_form"), W.has_no_page(u).alias("no_page"))
 
 
 @Q.add("source_by_domain", rf"""
@@ -97,10 +109,58 @@ def document_scripts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", W.script_of(t).alias("script"), G.carries_proposition(t).alias("has_claim"), t.rlike(G.CONDITIONAL_TEXT).alias("conditional"))
 
 
-@Q.add("sentence_table")
+def _flat(x: str) -> str:
+    marks = "chr(34)"
+    for chars, plain in ((W.DOUBLE_QUOTES, marks), (W.SINGLE_QUOTES, "chr(39)")):
+        x = f"translate({x}, '{chars}', repeat({plain}, {len(chars)}))"
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+def _rx(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+_PIECES = r"string_split(regexp_replace({}, '([.!?׃۔؟])\s+', '\1' || chr(1), 'g'), chr(1))"
+_JOINS = rf"""CASE WHEN regexp_matches(s[i - 1], '{_rx(W.ABBR_MONTH)}') THEN regexp_matches(x, '^\d')
+  WHEN regexp_matches(s[i - 1], '{_rx(W.ABBR_TITLE)}') OR regexp_matches(s[i - 1], '{_rx(W.ABBR_INITIAL)}') THEN regexp_matches(x, '^\p{{Lu}}')
+  ELSE regexp_matches(s[i - 1], '{_rx(W.ABBR_INLINE)}') AND regexp_matches(x, '^[\p{{Ll}}\d]') END"""
+_GLUED = f"array_to_string(list_transform(s, lambda x, i: CASE WHEN i = 1 THEN '' WHEN {_JOINS} THEN ' ' ELSE chr(1) END || x), '')"
+
+
+@Q.add("sentence_table", f"""
+SELECT doc_id, (unnest(range(len(k))))::INT AS ix, unnest(k) AS sentence FROM (
+  SELECT doc_id, list_filter(string_split({_GLUED}, chr(1)), lambda x: length(trim(x)) >= 16) AS k FROM (
+    SELECT doc_id, {_PIECES.format(_flat('text'))} AS s FROM documents))""")
 def sentence_table(spark, sf):
+    """Every sentence of every document with its number."""
     s = table(spark, sf, "documents").select("doc_id", W.sentences(F.col("text")).alias("s"))
-    return s.select("doc_id", F.size("s").alias("sentences"), F.length(F.array_join("s", "")).alias("chars"))
+    return s.select("doc_id", F.posexplode("s").alias("ix", "sentence"))
+
+
+_CITED = """SELECT doc_id, t, CASE doc_id % 4 WHEN 0 THEN substr(t, 31, 60) WHEN 1 THEN CASE WHEN length(t) >= 200 THEN substr(t, 21, 45) || ' [...] ' || substr(t, 121, 45) ELSE t END
+  WHEN 2 THEN substr(t, 1, 400) ELSE 'never said ' || substr(t, 1, 20) END AS q0"""
+
+
+@Q.add("quote_sentences", f"""
+WITH f AS (SELECT doc_id, {_flat('text')} AS t FROM documents), c AS ({_CITED} FROM f), q AS (SELECT doc_id, t, trim(q0, '{_rx(W.QUOTE_TRIM)}') AS q FROM c),
+loc AS (SELECT *, instr(t, q) AS whole, instr(t, substr(q, 1, 40)) AS h FROM q),
+sp AS (SELECT *, CASE WHEN whole > 0 THEN whole WHEN length(q) > 80 AND h > 0 AND instr(substr(t, h + 40), right(q, 40)) > 0 THEN h END AS a,
+   CASE WHEN whole > 0 THEN whole + length(q) - 1 ELSE h + 39 + instr(substr(t, h + 40), right(q, 40)) + 39 END AS b FROM loc WHERE q <> ''),
+g AS (SELECT doc_id, a, b, {_GLUED} AS glued FROM (SELECT doc_id, a, b, {_PIECES.format('t')} AS s FROM sp)),
+k AS (SELECT doc_id, len(string_split(substr(glued, 1, a), chr(1))) AS ia, len(string_split(substr(glued, 1, b), chr(1))) AS ib, string_split(glued, chr(1)) AS p FROM g WHERE a IS NOT NULL),
+kept AS (SELECT doc_id, ia, ib, list_filter(range(1, len(p) + 1), lambda i: length(trim(p[i])) >= 16) AS o FROM k)
+SELECT d.doc_id, coalesce(array_to_string(list_transform(list_filter(range(1, len(o) + 1), lambda j: o[j] BETWEEN ia AND ib), lambda j: j - 1), ','), '') AS sentences
+FROM documents d LEFT JOIN kept USING (doc_id)""")
+def quote_sentences(spark, sf):
+    """Sentences that a document's own quote touches; the quotes are cut from the
+    text whole, with an elided middle, across many sentences, or are not in it."""
+    t, k = F.col("t"), F.col("doc_id") % 4
+    part = lambda a, n: F.substring(t, a, n)
+    cited = F.when(k == 0, part(31, 60)).when(k == 1, F.when(F.length(t) >= 200, F.concat(part(21, 45), F.lit(" [...] "), part(121, 45))).otherwise(t)).when(
+        k == 2, part(1, 400)).otherwise(F.concat(F.lit("never said "), part(1, 20)))
+    d = table(spark, sf, "documents").select("doc_id", "text", W.flat_text(F.col("text")).alias("t"))
+    found = W.quote_sentences(F.col("text"), cited)
+    return d.select("doc_id", F.coalesce(F.array_join(found.cast("array<string>"), ","), F.lit("")).alias("sentences"))
 
 
 @Q.add("search_terms")
