@@ -68,9 +68,9 @@ def window_reason(rules: PoolRules) -> Column:
         active & (day > F.col("claim_deadline")), "after_deadline")
 
 
-def vote_reason(rules: PoolRules) -> Column:
-    """Why a settlement vote does not count, or null when it does."""
-    today = F.to_date(F.lit(rules.today))
+def vote_reason(rules: PoolRules, today: Column | None = None) -> Column:
+    """Why a settlement vote does not count, or null when it does; judged on the rules' day or another."""
+    today = F.to_date(F.lit(rules.today)) if today is None else today
     ev, dl, pub = F.col("settlement_event_date"), F.col("claim_deadline"), F.col("published_date")
     occurrence = (F.col("stance") >= 0) == ~F.col("claim_direction").eqNullSafe(F.lit("survival"))
     closed = F.coalesce(dl <= today, F.lit(False))
