@@ -10,9 +10,10 @@ def series_maps(prices: DataFrame) -> DataFrame:
     return prices.groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct("date", "probability"))).alias("points"))
 
 
-def read_events(spark: SparkSession, path: str, schema: str, prices: DataFrame | None = None, require_prices: bool = False) -> DataFrame:
-    """Event catalogue of one JSON document per file, with price series attached."""
-    ev = spark.read.schema(schema).option("multiLine", True).json(path)
+def read_events(spark: SparkSession, path: str, schema: str, prices: DataFrame | None = None, require_prices: bool = False,
+                multi_line: bool = True) -> DataFrame:
+    """Event catalogue of one JSON document per file (or per line), with price series attached."""
+    ev = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     if prices is None:
         return ev
     if require_prices:
@@ -27,6 +28,12 @@ def read_entries(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return raw.select("*", F.regexp_extract(f, "([^/]+)/[^/]+/entry_[^/]*$", 1).alias("event_id"), F.regexp_extract(f, "([^/]+)/entry_[^/]*$", 1).alias("source_id"))
 
 
+def read_by_source(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Entries as JSON lines in a folder per source; the source comes from the path."""
+    return spark.read.schema(schema).option("recursiveFileLookup", True).json(path).select(
+        "*", F.regexp_extract(F.col("_metadata.file_path"), "/source_id=([^/]+)/", 1).alias("source_id"))
+
+
 def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; blank lines vanish and a line that is no JSON keeps its text in ``bad``."""
     lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
@@ -60,7 +67,7 @@ def parse_markets(raw: DataFrame, json: str) -> DataFrame:
     yes, no = F.get("quoted", F.lit(0)).try_cast("double"), F.get("quoted", F.lit(1)).try_cast("double")
     resolved = F.when(F.col("closed") & (yes >= 0.99) & (no <= 0.01), "YES").when(F.col("closed") & (no >= 0.99) & (yes <= 0.01), "NO")
     return rows.filter((F.size("names") == 2) & (F.lower(F.get("names", F.lit(0))) == "yes") & (F.lower(F.get("names", F.lit(1))) == "no")).select(
-        F.col("id").alias("market_id"), "question", "closed", valid(yes).alias("yes_price"), F.coalesce(valid(yes), valid(F.col("lastTradePrice"))).alias("current_yes"), resolved.alias("resolved_outcome"))
+        F.col("id").alias("market_id"), "question", "closed", "volume", valid(yes).alias("yes_price"), F.coalesce(valid(yes), valid(F.col("lastTradePrice"))).alias("current_yes"), resolved.alias("resolved_outcome"))
 
 
 def read_sitemap(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
@@ -84,6 +91,21 @@ def write_board(board: DataFrame, path: str, run_date: str, by: list[str] | None
     board.withColumn("run_date", F.lit(run_date)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date", *(by or [])).json(path)
 
 
-def outlet_domains(sources: DataFrame) -> DataFrame:
-    """Host -> source; the first source of a host wins."""
-    return sources.groupBy("host").agg(F.min_by("source_id", "ix").alias("source_id"))
+def outlet_domains(sources: DataFrame, known: DataFrame) -> DataFrame:
+    """Host -> source among the known sources; the first one of a host wins."""
+    named = sources.filter(F.coalesce("host", F.lit("")) != "").join(known.select("source_id"), "source_id", "left_semi")
+    return named.groupBy("host").agg(F.min_by("source_id", "ix").alias("source_id"))
+
+
+def market_summary(markets: DataFrame) -> DataFrame:
+    """Compact view: price in whole percent, rounded volume, state."""
+    state = F.when(F.col("resolved_outcome").isNotNull(), F.concat(F.lit("resolved "), "resolved_outcome")).when(F.col("closed"), "closed").otherwise("open")
+    return markets.select("market_id", F.bround(F.col("current_yes") * 100, 0).cast("int").alias("percent"), F.bround("volume", 0).cast("long").alias("volume"), state.alias("state"))
+
+
+def unnest_votes(rows: DataFrame, key: str, json: str) -> DataFrame:
+    """One row per element of a JSON array of votes; flags come as text or as booleans."""
+    votes = F.from_json(json, "array<struct<source:string, stance:double, occurred:string>>")
+    flag = F.lower(F.col("v.occurred"))
+    return rows.select(key, F.explode(votes).alias("v")).select(
+        key, F.col("v.source").alias("source"), F.col("v.stance").alias("stance"), F.when(flag == "true", True).when(flag == "false", False).alias("occurred"))
