@@ -45,6 +45,44 @@ def stream_event_windows(spark, sf):
     return out.select(F.unix_seconds("start").alias("start_s"), "event_type", "n")
 
 
+@Q.add("stream_latest_state", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
+def stream_latest_state(spark, sf):
+    """Last snapshot of each key after all batches."""
+    return J.drain(J.latest_state(claim_stream(spark, sf), ["user_id"], "event_id", ["event_id", "event_type"]), "complete")
+
+
+@Q.add("stream_retractions", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'view'")
+def stream_retractions(spark, sf):
+    """Keys whose last entry is no retraction."""
+    return J.drain(J.without_retracted(claim_stream(spark, sf), "user_id", "event_id", "event_type", "view"), "complete")
+
+
+@Q.add("stream_evidence_window", with_views("claims pools", """
+SELECT claim_ix AS event_id, market_id FROM claims JOIN pools ON pool_id = market_id WHERE coalesce(article_date <= claim_deadline, true) AND coalesce(article_date >= claim_created - 10, true)"""))
+def stream_evidence_window(spark, sf):
+    """Claims inside their question's evidence window, as they arrive."""
+    q = fx.pools(spark, sf).withColumnRenamed("pool_id", "market_id")
+    return J.drain(J.in_evidence_window(claim_stream(spark, sf), q, "market_id", "article_date", 10).select("event_id", "market_id"), "append")
+
+
+@Q.add("stream_fixed_windows", """
+SELECT epoch(ts)::BIGINT // 172800 * 172800 AS start_s, user_id, count(*) AS n FROM events GROUP BY 1, 2""")
+def stream_fixed_windows(spark, sf):
+    """Counts per user and 48-hour window."""
+    out = J.drain(J.tumbling_counts(claim_stream(spark, sf), "ts", "user_id", "1 hour"), "complete")
+    return out.select(F.unix_seconds("start").alias("start_s"), "user_id", "n")
+
+
+@Q.add("stream_cell_states", """
+SELECT user_id, event_type, arg_max(s, event_id) AS status, count(*) FILTER (WHERE s = 'failed') AS failed, arg_max(s, event_id) = 'failed' AND count(*) FILTER (WHERE s = 'failed') >= 3 AS parked
+FROM (SELECT *, CASE WHEN event_id % 10 < 4 THEN 'done' WHEN event_id % 10 < 6 THEN 'no_predictions' ELSE 'failed' END AS s FROM events) GROUP BY 1, 2""")
+def stream_cell_states(spark, sf):
+    """Status, failures and parking of each cell while its runs come in."""
+    m = F.col("event_id") % 10
+    runs = claim_stream(spark, sf).withColumn("s", F.when(m < 4, "done").when(m < 6, "no_predictions").otherwise("failed"))
+    return J.drain(J.cell_states(runs, ["user_id", "event_type"], "event_id", "s"), "complete")
+
+
 @Q.add("stream_market_decisions")
 def stream_market_decisions(spark, sf):
     e, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("int")

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from presage.functions import scalars as S
 from presage.operators.scoring import before_outcome
-from presage.session import checkpoint_dir
+from presage.session import checkpoint_dir, table
 
 
 def once_per_key(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
@@ -55,45 +55,84 @@ def append_once_sink(path: str, key: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def latest_state(stream: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
+    """Last state of every key so far, one row of state per key (``complete`` mode)."""
+    last = F.max_by(F.struct(*values), F.col(order)).alias("_last")
+    return stream.groupBy(*keys).agg(last).select(*keys, "_last.*")
+
+
+def without_retracted(stream: DataFrame, key: str, order: str, action: str, retracts: str) -> DataFrame:
+    """Ledger with retraction: a key counts while its last entry is no retraction."""
+    return latest_state(stream, [key], order, [order, action]).filter(F.col(action) != retracts)
+
+
+def in_evidence_window(stream: DataFrame, questions: DataFrame, key: str, day: str, lookback_days: int) -> DataFrame:
+    """Evidence dated from ``lookback_days`` before a question was made until its deadline; undated rows and open ends pass."""
+    d = F.col(day)
+    late, early = d > F.col("claim_deadline"), d < F.date_sub("claim_created", lookback_days)
+    return stream.join(questions.select(key, "claim_created", "claim_deadline"), key).filter(~F.coalesce(late, F.lit(False)) & ~F.coalesce(early, F.lit(False)))
+
+
+def tumbling_counts(stream: DataFrame, time: str, key: str, delay: str, size: str = "48 hours") -> DataFrame:
+    """Counts per key over fixed windows; anchored windows, which start at their first claim, are a batch report."""
+    return stream.withWatermark(time, delay).groupBy(F.window(time, size), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), key, "n")
+
+
+def cell_states(runs: DataFrame, keys: list[str], order: str, status: str, max_attempts: int = 3) -> DataFrame:
+    """Last status of each cell, its failures so far, and whether they have parked it."""
+    failed = F.count_if(F.col(status) == "failed")
+    board = runs.groupBy(*keys).agg(F.max_by(status, order).alias("status"), failed.alias("failed"))
+    return board.withColumn("parked", (F.col("status") == "failed") & (F.col("failed") >= max_attempts))
+
+
 MARKET_STATE = "asked_s double, open boolean"
 MARKET_OUT = "market_id long, seq long, ask boolean, trade string"
+MARKET_IDLE_DAYS = 90
 
 
-def market_decisions(snapshots: DataFrame, stale_hours: float = 20.0, threshold: float = 0.10) -> DataFrame:
+def market_decisions(snapshots: DataFrame, stale_hours: float = 20.0, threshold: float = 0.10, delay: str = "1 day") -> DataFrame:
     """Ask-again and one-open-position decisions with state per market.
 
     ``snapshots``: market_id, seq, ts, market_yes, model_yes, closed. State is
-    two values per market, whatever the length of its history.
+    two values per market, dropped ninety days after its last snapshot. The rows
+    of a market in one micro-batch, which the trigger bounds, are decided in order.
     """
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         asked, opened = state.get if state.exists else (None, False)
+        rows = pd.concat(list(batches)).sort_values("seq")
         out = []
-        for pdf in batches:
-            for r in pdf.sort_values("seq").itertuples():
-                now = r.ts.timestamp()
-                usable = not r.closed and pd.notna(r.market_yes)
-                ask = bool(usable and 0.02 <= r.market_yes <= 0.98 and (asked is None or now - asked >= stale_hours * 3600))
-                if ask:
-                    asked = now
-                trade = None
-                if usable and not opened and pd.notna(r.model_yes) and 0.05 <= r.market_yes <= 0.95:
-                    edge = round(r.model_yes - r.market_yes, 4)
-                    trade = "YES" if edge >= threshold else "NO" if edge <= -threshold else None
-                    opened = trade is not None
-                out.append((key[0], r.seq, ask, trade))
+        for r in rows.itertuples():
+            now = r.ts.timestamp()
+            usable = not r.closed and pd.notna(r.market_yes)
+            ask = bool(usable and 0.02 <= r.market_yes <= 0.98 and (asked is None or now - asked >= stale_hours * 3600))
+            if ask:
+                asked = now
+            trade = None
+            if usable and not opened and pd.notna(r.model_yes) and 0.05 <= r.market_yes <= 0.95:
+                edge = round(r.model_yes - r.market_yes, 4)
+                trade = "YES" if edge >= threshold else "NO" if edge <= -threshold else None
+                opened = trade is not None
+            out.append((key[0], r.seq, ask, trade))
         state.update((asked, opened))
+        idle_until = int(rows["ts"].max().timestamp() * 1000) + MARKET_IDLE_DAYS * 86_400_000
+        state.setTimeoutTimestamp(max(idle_until, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["market_id", "seq", "ask", "trade"])
 
-    return snapshots.groupBy("market_id").applyInPandasWithState(step, MARKET_OUT, MARKET_STATE, "append", GroupStateTimeout.NoTimeout)
+    return snapshots.withWatermark("ts", delay).groupBy("market_id").applyInPandasWithState(step, MARKET_OUT, MARKET_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 1) -> DataFrame:
-    """A folder's table file as a stream of new files."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    df = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(sf_dir)
-    zoneless = [c for c, t in df.dtypes if t == "timestamp_ntz"]
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
+def table_stream(spark: SparkSession, sf_dir: str, name: str, order: str = "event_id", arrivals: int = 6) -> DataFrame:
+    """A table as a stream of files that arrive in the order of a column, one file per micro-batch."""
+    rows = table(spark, sf_dir, name)
+    path = f"{checkpoint_dir(spark)}/presage-arrivals-{uuid.uuid4().hex}"
+    ends = rows.agg(F.min(order), F.max(order)).first()
+    low, width = (ends[0] or 0), max(1, ((ends[1] or 0) - (ends[0] or 0)) // arrivals + 1)
+    for i in range(arrivals):
+        rows.filter((F.col(order) >= low + i * width) & (F.col(order) < low + (i + 1) * width)).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
