@@ -110,3 +110,13 @@ def failure_reason(counts: dict[str, Column]) -> Column:
 
 def settlement_band(rate: Column, go: float = 0.05, stop: float = 0.15) -> Column:
     return F.when(rate <= go, "go").when(rate <= stop, "escalate").otherwise("no-go")
+
+
+def replay_differences(stored: DataFrame, now: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """Per field the rows where a stored run and a new one differ, null-safe; rows of one run only count in ``only_one``."""
+    pick = lambda d, p: d.select(key, F.lit(True).alias(p + "has"), *[F.col(f).alias(p + f) for f in fields])
+    both = pick(stored, "a_").join(pick(now, "b_"), key, "full")
+    paired = F.col("a_has").isNotNull() & F.col("b_has").isNotNull()
+    s = both.agg(F.count_if(paired).alias("rows"), F.count_if(~paired).alias("only_one"),
+                 *[F.count_if(paired & ~F.col("a_" + f).eqNullSafe(F.col("b_" + f))).alias(f) for f in fields])
+    return s.unpivot(["rows", "only_one"], list(fields), "field", "differ")

@@ -52,6 +52,7 @@ def layers(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
 def _states(parents: Column) -> Column:
     """(probability, weight sum) of every on/off state of at most 16 parents."""
     start = F.array(F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("z")))
+    start = F.when(F.size(parents) > MAX_PARENTS, F.raise_error(F.lit(f"a node has more than {MAX_PARENTS} parents"))).otherwise(start)
 
     def add(acc: Column, q: Column) -> Column:
         off = F.transform(acc, lambda s: F.struct((s["p"] * (1.0 - q["p"])).alias("p"), s["z"].alias("z")))

@@ -78,11 +78,25 @@ def lead_claims(spark, sf):
     return out.withColumn("worst_trap", F.when(F.col("worst_level").isNotNull(), F.coalesce("worst_trap", F.lit("~"))))
 
 
-@Q.add("antecedent_filter", with_views("pools rich_claims", """
-SELECT pool_id, source_id, count(*) AS claims, bool_or(NOT is_conditional OR coalesce(antecedent_text_en = 'if the vote passes' AND coalesce(antecedent_polarity, true), false)) AS keep
-FROM rich_claims GROUP BY 1, 2"""))
+def _bigrams(text: str) -> str:
+    w = f"regexp_extract_all(lower({text}), '[a-z0-9]+')"
+    return f"list_distinct(list_transform(range(1, greatest(len({w}), 2)), lambda i: array_to_string(({w})[i:i + 1], ' ')))"
+
+
+_ANTECEDENT = "CASE WHEN antecedent_text_en IS NOT NULL THEN claim || CASE WHEN facet IS NULL THEN ' and more words to follow' ELSE ' ' || facet END END"
+_ASKED = f"{fx._sql_list(fx.CLAIM_TEXTS)}[pool_id % {len(fx.CLAIM_TEXTS)} + 1]"
+
+
+@Q.add("antecedent_filter", with_views("pools rich_claims", f"""
+SELECT pool_id, source_id, count(*) AS claims, bool_or(NOT is_conditional OR coalesce(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y)))::DOUBLE >= 0.25 AND coalesce(antecedent_polarity, true), false)) AS keep
+FROM (SELECT *, {_bigrams(_ANTECEDENT)} AS x, {_bigrams(_ASKED)} AS y FROM rich_claims) GROUP BY 1, 2"""))
 def antecedent_filter(spark, sf):
-    return A.antecedent_keep(fx.rich_claims(spark, sf), ["pool_id", "source_id"], F.lit("the vote passes"), F.lit(True))
+    """Sources of a pool with an unconditional claim, or a condition like the one asked about."""
+    c = fx.rich_claims(spark, sf)
+    more = F.when(F.col("facet").isNull(), " and more words to follow").otherwise(F.concat(F.lit(" "), "facet"))
+    c = c.withColumn("antecedent_text_en", F.when(F.col("antecedent_text_en").isNotNull(), F.concat("claim", more)))
+    asked = F.get(F.array(*[F.lit(t) for t in fx.CLAIM_TEXTS]), (F.col("pool_id") % len(fx.CLAIM_TEXTS)).cast("int"))
+    return A.antecedent_keep(c.withColumn("asked", asked), ["pool_id", "source_id"], F.col("asked"), F.lit(True))
 
 
 @Q.add("source_credibility", with_views("claims outcomes registry", """

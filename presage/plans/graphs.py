@@ -82,9 +82,22 @@ def graph_reconcile(spark, sf):
     return v.select("scenario", "id", rounded(F.col("p")).alias("p"))
 
 
-@Q.add("graph_faults", with_views("prices", "SELECT 'unknown_node' AS fault, source AS id FROM edges WHERE source = '2-HIGH' UNION SELECT 'fan_in', 'x' WHERE false", EDGE_SQL))
+@Q.add("graph_faults", """
+WITH n AS (SELECT 'c' || c_nationkey || '-' || (c_custkey % 40) AS id, c_acctbal / 9000 AS prior FROM customer), e AS (SELECT DISTINCT 'c' || c_nationkey || '-' || (c_custkey % 43) AS source, 'c' || (c_custkey % 7) || '-1' AS target,
+  CASE WHEN c_custkey % 30 = 0 THEN 1.5 ELSE 0.6 END::DOUBLE AS p_yes FROM customer)
+SELECT 'duplicate_id' AS fault, id FROM n GROUP BY id HAVING count(*) > 1 UNION SELECT 'prior_range', id FROM n WHERE NOT coalesce(prior BETWEEN 0 AND 1, false)
+UNION SELECT 'unknown_node', x FROM (SELECT unnest([source, target]) AS x FROM e) WHERE x NOT IN (SELECT id FROM n) UNION SELECT 'edge_range', target FROM e WHERE p_yes > 1
+UNION SELECT 'fan_in', target FROM e GROUP BY target HAVING count(*) > 16""")
 def graph_faults(spark, sf):
-    return GR.findings(nodes(spark, sf).filter("id <> '2-HIGH'"), edges(spark))
+    """Structural faults of a graph made from customers: equal names, odd priors, loose ends, odd weights, too many parents."""
+    from presage.session import table
+
+    c = table(spark, sf, "customer")
+    name = lambda m: F.concat(F.lit("c"), F.col("c_nationkey").cast("string"), F.lit("-"), (F.col("c_custkey") % m).cast("string"))
+    n = c.select(name(40).alias("id"), (F.col("c_acctbal") / 9000).alias("prior"))
+    e = c.select(name(43).alias("source"), F.concat(F.lit("c"), (F.col("c_custkey") % 7).cast("string"), F.lit("-1")).alias("target"),
+                 F.when(F.col("c_custkey") % 30 == 0, 1.5).otherwise(0.6).alias("p_yes"), F.lit(0.4).alias("p_no")).distinct()
+    return GR.findings(n, e)
 
 
 @Q.add("graph_backtest")
