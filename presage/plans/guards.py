@@ -152,7 +152,7 @@ _SHAPES = (" will exceed {}% in May?", " top-{} finish?", " after {} days?", " r
 @Q.add("threshold_questions", rf"""
 SELECT doc_id, regexp_matches(t, '(?i)\btop[\s-]?\d+\b') OR CASE WHEN regexp_matches(t, '(?i){G.MAGNITUDE}') THEN regexp_matches(t, '(?i){G.THRESHOLD_CUE}') OR regexp_matches(t, '\d[\d,.]*\s?(?:%|k|m|bn|tn)?\s?\+')
   ELSE regexp_matches(t, '(?i){G.THRESHOLD_CUE}\s+(?:the\s+)?\d') END AS threshold_shaped
-FROM (SELECT doc_id, {_SAID} AS t FROM (SELECT doc_id, text || CASE doc_id % 8 {' '.join(f"WHEN {i} THEN replace('{x}', '{{}}', (doc_id % 50)::VARCHAR)" for i, x in enumerate(_SHAPES))} ELSE '' END AS said FROM documents))""")
+FROM (SELECT doc_id, {_SAID} AS t FROM (SELECT doc_id, text || CASE doc_id % 8 {' '.join(f"WHEN {i} THEN replace('{x}', '{{}}', (doc_id % 50)::VARCHAR)" for i, x in enumerate(_SHAPES))} ELSE '' END AS said FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F£€₪]', 'x', 'g') AS text FROM documents)))""")
 def threshold_questions(spark, sf):
     """Which texts ask about a level; each of seven endings meets an eighth of the documents."""
     k = F.col("doc_id")
