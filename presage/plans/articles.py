@@ -238,10 +238,10 @@ def relevance_variants(spark, sf):
 
 
 @Q.add("cell_matrix", with_views("claims", """
-SELECT market_id, count(*) FILTER (WHERE source_id = 'u0') AS u0, count(*) FILTER (WHERE source_id = 'u1') AS u1, count(*) FILTER (WHERE source_id = 'u2') AS u2 FROM claims GROUP BY 1"""))
+SELECT market_id, source_id, count(*) AS claims, round(avg(stance), 10) AS stance FROM claims GROUP BY 1, 2"""))
 def cell_matrix(spark, sf):
-    ids = ["u0", "u1", "u2"]
-    return fx.claims(spark, sf).groupBy("market_id").agg(*[F.count_if(F.col("source_id") == s).alias(s) for s in ids])
+    """Every filled cell of events by sources, in long form."""
+    return fx.claims(spark, sf).groupBy("market_id", "source_id").agg(F.count(F.lit(1)).alias("claims"), rounded(F.avg("stance")).alias("stance"))
 
 
 @Q.add("stance_timeline", with_views("claims outcomes", """

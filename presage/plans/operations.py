@@ -91,9 +91,9 @@ def facet_gate(spark, sf):
 
 @Q.add("unique_decisions", """
 SELECT question, votes, min(decision) AS first_decision, count(*) AS repeats FROM (
-  SELECT question, decision, count(*) AS votes, string_agg(v, ',' ORDER BY v) AS sig FROM (SELECT DISTINCT user_id % 6 AS question, CAST(ts AS DATE) - DATE '2024-01-01' AS decision, event_type AS v FROM events WHERE value > 60) GROUP BY 1, 2) GROUP BY question, votes, sig""")
+  SELECT question, decision, count(*) AS votes, string_agg(v, ',' ORDER BY v) AS sig FROM (SELECT DISTINCT user_id % 6 AS question, CAST(ts AS DATE) - DATE '2024-01-01' AS decision, event_type AS v FROM events) GROUP BY 1, 2) GROUP BY question, votes, sig""")
 def unique_decisions(spark, sf):
-    v = table(spark, sf, "events").filter("value > 60").select((F.col("user_id") % 6).alias("question"), F.datediff(F.to_date("ts"), F.to_date(F.lit("2024-01-01"))).cast("long").alias("decision"), F.col("event_type").alias("v"))
+    v = table(spark, sf, "events").select((F.col("user_id") % 6).alias("question"), F.datediff(F.to_date("ts"), F.to_date(F.lit("2024-01-01"))).cast("long").alias("decision"), F.col("event_type").alias("v"))
     return AU.unique_decisions(v, ["question", "decision"], "v")
 
 

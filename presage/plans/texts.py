@@ -163,8 +163,12 @@ def quote_sentences(spark, sf):
     return d.select("doc_id", F.coalesce(F.array_join(found.cast("array<string>"), ","), F.lit("")).alias("sentences"))
 
 
-@Q.add("search_terms")
+@Q.add("search_terms", rf"""
+SELECT item_id, array_to_string((list_filter(t, lambda w, i: list_position(t, w) = i))[1:8], '|') AS terms FROM (
+  SELECT item_id, list_concat(regexp_extract_all(c, '\b([A-Z][a-z]{{1,}}(?:\s+[A-Z][a-z]{{1,}})+)\b', 1), list_filter(regexp_extract_all(c, '\b([A-Z][a-z]{{3,}})\b', 1), lambda w: NOT list_contains({list(W.COMMON_NAMES)}, w))) AS t
+  FROM (SELECT item_id, regexp_replace(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '_', 'g'), '\b(?:site|after|before|domain):\S+', '', 'g'), '\b(?:OR|AND|NOT)\b', ' ', 'g') AS c FROM benchmark))""")
 def search_terms(spark, sf):
+    """Up to eight search terms per passage: capitalised phrases, then single names."""
     return table(spark, sf, "benchmark").select("item_id", F.array_join(W.query_terms(F.col("text")), "|").alias("terms"))
 
 
