@@ -27,11 +27,10 @@ def join_back(rows: DataFrame, totals: DataFrame, keys: Sequence[str], n: str, r
     never longer than HOT_SHARE and can be broadcast whatever the input size.
     """
     keys = list(keys)
-    all_rows = totals.agg(F.sum(n).alias("_all"))
+    all_rows = totals.agg(F.sum(n)).scalar()
     hot = (
         totals.select(*keys, F.col(n).alias("_hot_n"))
-        .filter(F.col("_hot_n") >= HOT_MIN_ROWS)
-        .join(F.broadcast(all_rows), F.col("_hot_n") * HOT_SHARE >= F.col("_all"), "inner")
+        .filter((F.col("_hot_n") >= HOT_MIN_ROWS) & (F.col("_hot_n") * HOT_SHARE >= all_rows))
         .select(*keys, F.ceil(F.col("_hot_n") / HOT_MIN_ROWS).cast("int").alias("_salts"))
     )
     marked = _null_safe_left(rows, F.broadcast(hot), keys)
