@@ -9,7 +9,7 @@ a crowded value is left out and another is searched wider.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -200,8 +200,8 @@ def near_duplicates(docs: DataFrame, distance: int = 2, parts: int = 3, shingle:
     return rows.join(told.hint("merge"), "fingerprint").select("doc_id", "text_key", "fingerprint", "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents that stay, whole rows: of each component the one with the smallest doc_id.
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: Callable[..., DataFrame] = near_duplicates, **how) -> DataFrame:
+    """The documents that stay, whole rows: of each component of ``near`` the one with the smallest doc_id.
 
     Of several rows with that doc_id the one with the smallest text hash stays;
     a component of null ids keeps one row.
@@ -209,7 +209,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     from pyspark.sql import Window
 
     own = docs.columns
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("lone")).agg(
+    found = near(docs, id_col=id_col, text_col=text_col, **how).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("lone")).agg(
         F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("text_key"))).alias("first"))
     stay = found.select(F.col("component_id").alias("__stay_id"), F.col("first.text_key").alias("__stay_key"))
     marked = docs.select(*[F.col(f"`{c}`") for c in own], F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("__text_key"))
