@@ -174,14 +174,30 @@ def search_terms(spark, sf):
 
 @Q.add("quote_locations", """SELECT item_id, doc_id, (instr(d.text, trim(b.text)) - 1)::INT AS at FROM benchmark b JOIN documents d ON contains(d.text, trim(b.text)) WHERE length(trim(b.text)) > 20""")
 def quote_locations(spark, sf):
-    """Quotes found in texts: joined on the quote's first words, then located exactly."""
-    q = table(spark, sf, "benchmark").select("item_id", F.trim("text").alias("quote")).filter(F.length("quote") > 20)
-    # the first word may continue a longer one in the text, so words two to four are the key
-    q = q.withColumn("key", F.array_join(F.slice(X.words(F.col("quote")), 2, 3), " "))
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    posts = d.select("doc_id", F.explode(F.array_distinct(X.ngrams(X.words(F.col("text")), 3))).alias("key"))
-    pairs = q.join(posts, "key").select("item_id", "quote", "doc_id")
-    return pairs.join(d, "doc_id").withColumn("at", F.instr("text", F.col("quote")) - 1).filter("at >= 0").select("item_id", "doc_id", "at")
+    """Quotes of over 20 characters found in texts."""
+    quotes = table(spark, sf, "benchmark").select("item_id", F.trim("text").alias("quote")).filter(F.length("quote") > 20)
+    return located(quotes, table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def located(quotes, docs):
+    """item_id, doc_id, at of each quote (over 20 characters) in each text: joined on keys from inside the quote, then located exactly.
+
+    The first and last word may go on in the text, so words two to four are the
+    key of five words or more. Quotes with fewer, of any script, have their
+    first six runs of 16 characters as keys; of a text's runs every sixth is
+    posted, and one of any six neighbours is among these.
+    """
+    q = quotes.withColumn("w", X.words(F.col("quote")))
+    worded = q.filter(F.size("w") > 4).select("item_id", "quote", F.array_join(F.slice("w", 2, 3), " ").alias("key"))
+    posts = docs.select("doc_id", F.explode(F.array_distinct(X.ngrams(X.words(F.col("text")), 3))).alias("key"))
+    pairs = worded.join(posts, "key").select("item_id", "quote", "doc_id")
+    rest = q.filter(F.size("w") <= 4).select("item_id", "quote")
+    if not rest.isEmpty():
+        keys = rest.select("quote").distinct().select("quote", F.explode(F.array_distinct(F.array(*[F.xxhash64(F.substring("quote", k, 16)) for k in range(1, 7)]))).alias("key"))
+        runs = F.transform(F.regexp_extract_all("text", F.lit("(?s)(?=(.{16})).{6}"), F.lit(1)), lambda x: F.xxhash64(x))
+        met = keys.join(docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("key")), "key").select("quote", "doc_id").distinct()
+        pairs = pairs.unionByName(rest.join(met, "quote").select("item_id", "quote", "doc_id"))
+    return pairs.join(docs, "doc_id").withColumn("at", F.instr("text", F.col("quote")) - 1).filter("at >= 0").select("item_id", "doc_id", "at")
 
 
 @Q.add("article_scan", r"""
