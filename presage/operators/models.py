@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from presage.session import cut_lineage
 
-FEATURES = ("stance", "certainty", "specificity", "days_before", "source_brier")
+FEATURES = ("stance", "certainty", "specificity", "hedge_ratio", "conditionality", "magnitude", "source_authority", "sentiment", "days_before", "source_brier", "prediction_count")
+#: Where the claims do not state a feature.
+UNSTATED = {"specificity": 0.5, "hedge_ratio": 0.5, "conditionality": 0.0, "magnitude": 0.5, "source_authority": 0.5, "sentiment": 0.5}
 
 
 def boosted_by_fold(rows: DataFrame, event: str, folds: int, iterations: int = 100, depth: int = 4, step: float = 0.05) -> DataFrame:

@@ -140,13 +140,17 @@ def pruned_edges(spark, sf):
 
 @Q.add("boosted_backtest")
 def boosted_backtest(spark, sf):
-    entries = SC.usable_claims(fx.claims(spark, sf)).groupBy("market_id", "source_id", "article_date").agg(
-        F.avg("stance").alias("stance"), F.avg("certainty").alias("certainty"), F.coalesce(F.avg("specificity"), F.lit(0.5)).alias("specificity"))
+    """Boosted trees over ten folds of whole events; every feature of an entry is the mean of its claims."""
+    claims = SC.usable_claims(fx.claims(spark, sf))
+    stated = lambda c, other: F.avg(F.coalesce(F.col(c).cast("double"), F.lit(other))) if c in claims.columns else F.lit(other)
+    entries = claims.groupBy("market_id", "source_id", "article_date").agg(
+        F.avg("stance").alias("stance"), F.avg("certainty").alias("certainty"), F.count(F.lit(1)).cast("double").alias("prediction_count"),
+        *[stated(c, other).alias(c) for c, other in M.UNSTATED.items()])
     known = SC.board(SC.source_market_cells(scored(spark, sf)), ["source_id"]).select("source_id", F.col("brier_score").alias("source_brier"))
     rows = entries.join(fx.outcomes(spark, sf).select("market_id", "outcome", "outcome_date"), "market_id").filter(
         F.col("article_date").between(F.date_sub("outcome_date", 30), F.date_sub("outcome_date", 3))).join(known, "source_id", "left")
     rows = rows.withColumn("days_before", F.datediff("outcome_date", "article_date").cast("double")).fillna({"source_brier": 0.25})
-    return M.boosted_by_fold(rows, "market_id", folds=2, iterations=5).select("market_id", "outcome", rounded(F.col("p")).alias("p"))
+    return M.boosted_by_fold(rows, "market_id", folds=10).select("market_id", "outcome", rounded(F.col("p")).alias("p"))
 
 
 @Q.add("isotonic_calibration")
