@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from presage.llm import chat, exact_dedup, html_blocks, language, packing, phrase_index, revisits, simhash, substrings, token_counts
+from presage.llm import chat, exact_dedup, fill_middle, html_blocks, language, packing, phrase_index, revisits, simhash, substrings, token_counts
 from presage.plans.registry import Registry
 from presage.session import table
 
@@ -107,3 +107,20 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     found = revisits.resolve(revisits.capture_log(table(spark, sf, "pages")))
     lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
     return found.select("record_id", "url_key", "status", "response_id", F.when(F.col("headers").isNotNull(), F.array_join(lines, "; ")).alias("headers"))
+
+
+@Q.add("op13_fill_in_middle", sql=r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS x, sha256('7:' || doc_id) AS s FROM documents),
+    h AS (
+        SELECT doc_id, x, regexp_extract_all(x, '[^\n]*\n|[^\n]+') AS u, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3,
+            ('0x' || s[25:32])::BIGINT AS h4 FROM d),
+    c AS (
+        SELECT doc_id, x, u, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+            CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+    p AS (SELECT doc_id, x, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+        sha256(x) AS restored_sha256
+    FROM p""")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.transform(table(spark, sf, "documents"), seed=7, rate=100, spm=50))
