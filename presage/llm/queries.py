@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from presage.llm import chat, exact_dedup, fill_middle, html_blocks, language, packing, phrase_index, revisits, simhash, substrings, token_counts
+from presage.llm import chat, exact_dedup, fill_middle, html_blocks, language, maxscore, packing, phrase_index, revisits, simhash, substrings, token_counts
 from presage.plans.registry import Registry
 from presage.session import table
 
@@ -124,3 +124,15 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     FROM p""")
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return fill_middle.digests(fill_middle.transform(table(spark, sf, "documents"), seed=7, rate=100, spm=50))
+
+
+@Q.add("op12_exact_top_k", sql="""
+    WITH v AS (
+        SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.r, q.vec_id AS query_id, v.vec_id, list_dot_product(q.w, v.w)::BIGINT AS score FROM v q JOIN v ON q.r <> v.r WHERE q.vec_id % 50 = 0),
+    k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5""")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    index = maxscore.indexed(table(spark, sf, "embeddings"))
+    return maxscore.top_k(index, index.filter("vec_id % 50 = 0"), 5).select("query_id", "rank", "vec_id", "score")
