@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from presage.llm import chat, exact_dedup, fill_middle, html_blocks, language, maxscore, packing, phrase_index, revisits, simhash, substrings, token_counts
+from presage.llm import chat, exact_dedup, fill_middle, html_blocks, language, maxscore, packing, phrase_index, prefix_trie, revisits, simhash, substrings, token_counts
 from presage.plans.registry import Registry
 from presage.session import table
 
@@ -136,3 +136,28 @@ def op13(spark: SparkSession, sf: str) -> DataFrame:
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     index = maxscore.indexed(table(spark, sf, "embeddings"))
     return maxscore.top_k(index, index.filter("vec_id % 50 = 0"), 5).select("query_id", "rank", "vec_id", "score")
+
+
+@Q.add("op11_conversation_prefix_trie", sql=r"""
+    WITH t AS (
+        SELECT conv_id, turn, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))[1:32] AS k,
+            len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM conversations),
+    p AS (SELECT conv_id, list({'k': k, 'w': w} ORDER BY turn NULLS FIRST, k) AS own FROM t GROUP BY conv_id),
+    h AS (
+        SELECT conv_id, own, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+            lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 4 AS h FROM p),
+    q AS (SELECT h.conv_id, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS path FROM h LEFT JOIN p b ON b.conv_id = h.conv_id - h.conv_id % 20),
+    m AS (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS depth FROM q),
+    x AS (
+        SELECT conv_id, depth, array_to_string(list_transform(path[1:depth], lambda s: s.k), '') AS key, coalesce(path[depth].w, 0) AS w, len(path) = depth AS last FROM m),
+    g AS (
+        SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+            sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM x GROUP BY key, depth),
+    c AS (SELECT key[1:length(key) - 32] AS key, count(*) AS kids FROM g WHERE depth > 0 GROUP BY 1),
+    n AS (SELECT g.*, coalesce(c.kids, 0) AS n_children FROM g LEFT JOIN c ON c.key = g.key),
+    u AS (SELECT key[1:32 * up] AS top, CASE WHEN n_children = 0 THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * w AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM n)),
+    s AS (SELECT top, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM u GROUP BY top)
+    SELECT n.conv_id, n.depth, o.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+    FROM n JOIN s ON s.top = n.key LEFT JOIN n o ON n.depth > 0 AND o.key = n.key[1:length(n.key) - 32]""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.with_shared_heads(prefix_trie.turn_lists(table(spark, sf, "conversations"))))
