@@ -66,9 +66,8 @@ def presence(texts: list[np.ndarray], column: np.ndarray, width: int) -> tuple[n
 class Model:
     """n-gram number to row (-1: unknown), the folded matrix (n-grams x languages), and the languages."""
 
-    def __init__(self, texts: list[str], labels: list[str], landmarks: int, ridge: float) -> None:
-        keep = [(present(t), y) for t, y in zip(texts, labels)]
-        keep = [(g, y) for g, y in keep if len(g)]
+    def __init__(self, texts: list[np.ndarray], labels: list[str], landmarks: int, ridge: float) -> None:
+        keep = [(g, y) for g, y in zip(texts, labels) if len(g)]
         self.languages = sorted({y for _, y in keep})
         self.column = np.full(SPACE, -1, np.int64)
         if not keep:
@@ -110,22 +109,49 @@ class Model:
         return names, scores
 
 
+def packed(grams: np.ndarray) -> bytes:
+    """The n-gram numbers as 32-bit integers or, if that is shorter, as one bit for each possible one."""
+    if len(grams) * 32 < SPACE:
+        return b"n" + grams.astype("<i4").tobytes()
+    seen = np.zeros(SPACE, bool)
+    seen[grams] = True
+    return b"b" + np.packbits(seen).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    rest = data[1:]
+    return np.frombuffer(rest, "<i4").astype(np.int64) if data[:1] == b"n" else np.flatnonzero(np.unpackbits(np.frombuffer(rest, np.uint8), count=SPACE))
+
+
 def train(labelled: DataFrame, sample: int = 2000, landmarks: int = 200, ridge: float = 1e-2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on at most ``sample`` rows, about as many of each language, chosen by a hash of the id.
+    """Fit on at most ``sample`` rows, as many of each language or all it has, chosen by a hash of the id.
 
-    The sample and the model are all that reach the driver; a text counts with
-    its first million characters there. Rows with null text or language are no use.
+    Every language has at least one row, if they are more than ``sample`` too.
+    Executors take the n-grams from whole texts; of a text only its n-gram
+    numbers (34 KB at most) reach the driver, and the model. Rows with null
+    text or language are no use.
     """
-    rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()
+    rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
     if not counts:
         return Model([], [], landmarks, ridge)
     share = max(1, sample // len(counts))
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.2 * share / r["n"]))])
+    # some more than the share are drawn, the luckiest of them stay
+    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (1.2 * share + 20) / r["n"]))])
     luck = (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    picked = rows.withColumn("luck", luck).filter(F.col("luck") <= rate[F.col("lang")]).withColumn("order", F.col("luck") / rate[F.col("lang")])
-    got = picked.select("order", "id", "lang", F.substring("text", 1, 1_000_000).alias("text")).orderBy("order", "id").limit(sample).collect()
-    return Model([r["text"] for r in got], [r["lang"] for r in got], landmarks, ridge)
+    drawn = rows.withColumn("luck", luck).filter(F.col("luck") <= rate[F.col("lang")]).filter("text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, "text", 4 << 20):
+            grams = [packed(present(t)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("luck"), b.column("id"), b.column("lang"), pa.array(grams, pa.binary())], ["luck", "id", "lang", "grams"])
+
+    from pyspark.sql import Window
+
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("luck", "id", "grams"))  # over the drawn rows, a few thousand at any size
+    made = drawn.select("luck", "id", "lang", "text").mapInArrow(run, "luck double, id string, lang string, grams binary")
+    got = made.withColumn("nth", nth).filter(F.col("nth") <= share).orderBy("nth", "lang").select("lang", "grams").collect()
+    return Model([unpacked(r["grams"]) for r in got], [r["lang"] for r in got], landmarks, ridge)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,7 +176,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, text_col, 4 << 20):
             names, _ = shared.value.predict(b.column(at).cast(pa.string()).to_pylist())
             yield b.filter(pa.array([n != UNKNOWN for n in names]))
 

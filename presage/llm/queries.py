@@ -46,7 +46,7 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
     SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM d JOIN g USING (h)""")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
-    return exact_dedup.deduplicate(table(spark, sf, "documents"), exact_dedup.open_fresh(spark))
+    return exact_dedup.deduplicate_largest(table(spark, sf, "documents"), exact_dedup.open_fresh(spark))
 
 
 @Q.add("op7_substring_dedup")

@@ -64,6 +64,29 @@ def test_exact_dedup_index_goes_on(spark, docs, rows):
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
 
 
+def test_exact_dedup_run_again(spark, docs, rows):
+    """A batch whose job died after the append comes out the same when run again; the bucket count stays with the path."""
+    names = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    index = exact_dedup.open_fresh(spark)
+    for _ in range(2):
+        assert collected(exact_dedup.deduplicate(docs, index, batch="monday"), *names) == sorted(brute.exact(rows), key=repr)
+    assert index.rows().count() == len({brute.lower(t) for _, t in rows})
+    assert exact_dedup.deduplicate(docs, index, batch="tuesday").filter("kept").count() == 0
+    path = f"{exact_dedup.checkpoint_dir(spark)}/digests-kept"
+    assert exact_dedup.DigestIndex(spark, path, 5).buckets == 5 == exact_dedup.DigestIndex(spark, path, 9).buckets
+
+
+def test_exact_dedup_in_batches(spark, odd, none):
+    """Copies in several parts: the largest doc_id stays wherever it is; null ids and repeats too."""
+    names = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    for parts in (1, 2, 5):
+        index = exact_dedup.open_fresh(spark)
+        assert collected(exact_dedup.deduplicate_largest(odd, index, parts), *names) == sorted(brute.exact(rows), key=repr)
+        assert index.rows().count() >= len({brute.lower(t) for _, t in rows})
+    assert exact_dedup.deduplicate_largest(none, exact_dedup.open_fresh(spark)).count() == 0
+
+
 def test_packing(docs, odd, none, rows):
     pieces = [r.asDict() for r in packing.pack(docs, queries.TOKENIZER).withColumn("ids_crc32", F.crc32("ids")).collect()]
     assert brute.check_pieces(rows, pieces)[0] == 0
@@ -178,6 +201,20 @@ def test_language(spark, docs, none):
     assert {r["lang_pred"] for r in language.identify(docs, language.train(none)).collect()} == {"und"}
 
 
+def test_rare_languages_and_whole_texts_teach(spark):
+    """A language of two rows stays in the sample however many others have; a long text's end teaches too."""
+    rows = [(i, "the of and " * 5, "en") for i in range(400)] + [(1000 + i, "der und nicht " * 5, "de") for i in range(400)]
+    rows += [(2000, "qaqe qiqo quqy", "xx"), (2001, "qaqe qiqo", "xx"), (3000, " . " * 400_000 + "zzvz wzw", "yy"), (3001, None, "yy"), (3002, "x", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(table, sample=40, landmarks=30)
+    assert model.languages == ["de", "en", "xx", "yy"]
+    assert model.predict(["qiqo qaqe", "zzvz", "nicht der", "of the"])[0] == ["xx", "yy", "de", "en"]
+    for text in ("a", "the of and", "".join(map(chr, range(97, 123))) * 50):
+        grams = language.present(text)
+        assert np.array_equal(language.unpacked(language.packed(grams)), grams)
+    assert np.array_equal(language.unpacked(language.packed(np.arange(1, language.SPACE))), np.arange(1, language.SPACE))
+
+
 def test_chat(spark):
     hard = ["\\### assistant: </turn> x", None, "", "####", "\\", "\\</turn>", "a\n### user: b</turn>\n", "é" * 5000]
     rows = [(1, i, "assistant" if i % 2 else "u:\\s", t) for i, t in enumerate(hard)] + [(2, 0, None, "x"), (2, 0, None, "x"), (None, 0, "assistant", "lone")]
