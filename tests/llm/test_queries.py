@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from presage.llm import language
 from presage.session import table
+from test_similar_texts import grouped
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
@@ -55,8 +56,8 @@ def test_pipeline(spark, docs):
     model = language.train(table(spark, SF, "documents").filter(~language.held_out()))
     left = [(d, t) for d, t in left if model.predict([t])[0][0] != "und"]
     left = [(d, t) for (d, t), x in zip(left, brute.exact(left)) if x[3]]
-    first = brute.linked([d for d, _ in left], [brute.simhash(t) for _, t in left])
-    left = [(d, t) for (d, t), c in zip(left, first) if c == d]
+    first = grouped(left)
+    left = [(d, t) for d, t in left if first[d] == d]
     items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]
     left = [(d, t) for (d, t), x in zip(left, brute.contaminated(left, items)) if not x[5]]
     from pyspark.sql import functions as F

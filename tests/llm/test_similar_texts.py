@@ -70,6 +70,21 @@ def test_crowd_of_unequal_copies(spark):
     assert found(spark, rows) == want
 
 
+def test_texts_around_one_passage(spark, monkeypatch):
+    """Most of every text is one passage; only few are near copies, and only these are compared."""
+    import random
+
+    dice = random.Random(5)
+    base = [f"w{i}" for i in range(110)]
+    rows = [(i, " ".join(base + [f"x{dice.random()}" for _ in range(dice.randint(8, 60))])) for i in range(400)]
+    compared, alike = [], similar_texts.alike
+    monkeypatch.setattr(similar_texts, "alike", lambda pairs, sets, threshold: compared.append(pairs.count()) or alike(pairs, sets, threshold))
+    want = grouped(rows)
+    assert 50 < len(set(want.values())) < 390
+    assert found(spark, rows) == want
+    assert compared[1] < 400 * 399 / 2 / 8
+
+
 def test_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = spark.createDataFrame([(None, text), (4, text + " end"), (None, "only nulls here"), (None, "only  nulls here")], "doc_id long, text string")
