@@ -19,7 +19,10 @@ def ascii_lower(text: Column) -> Column:
 
 
 def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in runs of about ``limit`` bytes of ``column``, so a task's memory follows the longest text, not the batch."""
+    """The same rows in runs of about ``limit`` bytes of ``column``, so a task's memory follows the longest text, not the batch.
+
+    In the end what Arrow holds in reserve goes back, since the worker stays for other stages' tasks.
+    """
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         run = (np.cumsum(size) - size) // limit
@@ -27,6 +30,7 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iter
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
             if b > a:
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(a, b - a)]) for c in batch.columns], schema=batch.schema)
+    pa.default_memory_pool().release_unused()
 
 
 def strings(column: pa.Array) -> pa.Array:

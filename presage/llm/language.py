@@ -20,7 +20,7 @@ from presage.llm.common import by_bytes
 
 CLASSES, GRAMS = 64, 3
 SPACE = sum(CLASSES ** n for n in range(1, GRAMS + 1))
-SCORED_AT_ONCE = 256
+SCORED_AT_ONCE = 64
 UNKNOWN = "und"
 
 
@@ -142,7 +142,7 @@ def train(labelled: DataFrame, sample: int = 2000, landmarks: int = 200, ridge:
     drawn = rows.withColumn("luck", luck).filter(F.col("luck") <= rate[F.col("lang")]).filter("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, "text", 4 << 20):
+        for b in by_bytes(batches, "text", 2 << 20):
             grams = [packed(present(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("luck"), b.column("id"), b.column("lang"), pa.array(grams, pa.binary())], ["luck", "id", "lang", "grams"])
 
@@ -163,7 +163,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)  # n-grams x languages, bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, "text", 4 << 20):
+        for b in by_bytes(batches, "text", 2 << 20):
             names, scores = shared.value.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
@@ -176,7 +176,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, text_col, 4 << 20):
+        for b in by_bytes(batches, text_col, 2 << 20):
             names, _ = shared.value.predict(b.column(at).cast(pa.string()).to_pylist())
             yield b.filter(pa.array([n != UNKNOWN for n in names]))
 
