@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from presage.operators.skew import fork
 
 
 def gate_matrix(candidates: DataFrame, flags: list[Column], bad: Column) -> DataFrame:
@@ -44,32 +46,32 @@ def pair_nearest(shadows: DataFrame, verdicts: DataFrame, seconds: int = 120) ->
     """One-to-one pairs of a question's lines: each shadow line in order takes the
     nearest free verdict within the window; leftovers of both sides stay.
 
-    A question's log falls apart wherever nothing is logged for a whole window;
-    each such run is paired by itself.
+    Taking turns in order is the one stable matching in which every verdict
+    prefers the earlier shadow line. So all shadow lines propose at once to the
+    nearest verdict that is still open to them, a verdict holds the earliest
+    proposer, and every pair whose shadow line is later than the one held is
+    out. Rounds end when nobody is turned down. A line meets only the lines
+    within the window: its cost follows the log's rate, not its length. Equal
+    distances go to the earlier verdict; a null question or time pairs with nothing.
     """
-    both = shadows.select("question", "id", "t", F.lit(True).alias("shadow")).unionByName(verdicts.select("question", "id", "t", F.lit(False).alias("shadow")))
-    both = both.withColumn("_b", F.floor(F.col("t") / seconds))
-    cells = both.select("question", "_b").distinct()
-    order = Window.partitionBy("question").orderBy("_b")  # one row per window of clock time
-    fresh = (F.col("_b") - F.lag("_b").over(order) > 1).cast("int")
-    runs = cells.withColumn("_new", F.coalesce(fresh, F.lit(0))).withColumn("run", F.sum("_new").over(order)).drop("_new")
-
-    def greedy(pdf):
-        import pandas as pd
-
-        s = pdf[pdf.shadow].sort_values(["t", "id"])
-        v = pdf[~pdf.shadow].sort_values(["t", "id"])
-        free = dict(zip(v.id, v.t))
-        rows = []
-        for sid, st in zip(s.id, s.t):
-            best = min(((abs(t - st), k, i) for k, (i, t) in enumerate(free.items()) if abs(t - st) <= seconds), default=None)
-            if best is not None:
-                free.pop(best[2])
-            rows.append((pdf.question.iloc[0], sid, None if best is None else best[2]))
-        rows += [(pdf.question.iloc[0], None, i) for i in free]
-        return pd.DataFrame(rows, columns=["question", "shadow_id", "verdict_id"]).astype({"shadow_id": "Int64", "verdict_id": "Int64"})
-
-    return both.join(runs, ["question", "_b"]).groupBy("question", "run").applyInPandas(greedy, "question string, shadow_id long, verdict_id long")
+    s = fork(shadows.select("question", F.col("id").alias("shadow_id"), F.col("t").alias("ts")))
+    v = fork(verdicts.select("question", F.col("id").alias("verdict_id"), F.col("t").alias("tv")))
+    near = F.explode(F.array(*[F.floor(F.col("ts") / seconds) + i for i in (-1, 0, 1)])).alias("_b")
+    met = s.select("question", "shadow_id", "ts", near).join(v.withColumn("_b", F.floor(F.col("tv") / seconds)), ["question", "_b"]).filter(F.abs(F.col("ts") - F.col("tv")) <= seconds)
+    turn, wish = F.struct("ts", "shadow_id"), F.struct(F.abs(F.col("ts") - F.col("tv")), F.col("tv"), F.col("verdict_id"))
+    open_ = fork(met.select("question", "shadow_id", "verdict_id", turn.alias("turn"), wish.alias("wish")))
+    while True:
+        asked = open_.groupBy("question", "shadow_id").agg(F.min_by("verdict_id", "wish").alias("verdict_id"), F.first("turn").alias("turn"))
+        held = asked.groupBy("question", "verdict_id").agg(F.min("turn").alias("_held"), F.count(F.lit(1)).alias("_n"))
+        held = fork(held)
+        if held.filter("_n > 1").isEmpty():
+            break
+        still = open_.join(held, ["question", "verdict_id"], "left").filter(F.col("_held").isNull() | (F.col("turn") <= F.col("_held")))
+        open_ = fork(still.drop("_held", "_n"))
+    pairs = held.select("question", F.col("_held.shadow_id").alias("shadow_id"), "verdict_id")
+    lone_s = s.join(pairs, ["question", "shadow_id"], "left_anti").select("question", "shadow_id", F.lit(None).cast("long").alias("verdict_id"))
+    lone_v = v.join(pairs, ["question", "verdict_id"], "left_anti").select("question", F.lit(None).cast("long").alias("shadow_id"), "verdict_id")
+    return pairs.unionByName(lone_s).unionByName(lone_v)
 
 
 def facet_gate(runs: DataFrame, expected: DataFrame) -> DataFrame:

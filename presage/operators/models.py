@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, functions as F
 
 from presage.session import cut_lineage
@@ -30,11 +30,63 @@ def boosted_by_fold(rows: DataFrame, event: str, folds: int, iterations: int = 1
     return out
 
 
+FAN = 32
+
+
+def _pooled(hits: np.ndarray, n: np.ndarray) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """Pool adjacent violators of blocks in order: for each its pooled block, and the pooled blocks (number, hits, rows)."""
+    stack: list[list[int]] = []  # first block, hits, rows
+    for i, (h, k) in enumerate(zip(hits.tolist(), n.tolist())):
+        stack.append([i, h, k])
+        while len(stack) > 1 and stack[-2][1] * stack[-1][2] >= stack[-1][1] * stack[-2][2]:
+            _, h2, k2 = stack.pop()
+            stack[-1][1] += h2
+            stack[-1][2] += k2
+    ends = [b[0] for b in stack[1:]] + [len(hits)]
+    return [j for j, (b, e) in enumerate(zip(stack, ends)) for _ in range(e - b[0])], [(j, b[1], b[2]) for j, b in enumerate(stack)]
+
+
 def isotonic(pairs: DataFrame, p: str, outcome: str) -> DataFrame:
-    """Calibrated value per row; equal inputs are merged first, with their weight."""
-    merged = pairs.groupBy(F.col(p).alias("features")).agg(F.avg(F.col(outcome).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
-    model = IsotonicRegression(weightCol="weight").fit(merged)
-    return model.transform(pairs.withColumn("features", F.col(p))).withColumnRenamed("prediction", "calibrated").drop("features")
+    """Calibrated value per row: the least-squares rising fit of the 0/1 outcomes over ``p``.
+
+    Equal inputs are merged first. Each range of inputs pools its violators,
+    then neighbouring ranges' blocks are pooled in groups until one is left. A
+    task sees pooled blocks alone: their means are distinct fractions that rise,
+    so n rows leave no more than about n^(2/3) of them. A null ``p`` or outcome
+    takes no part and gets null.
+    """
+    pairs = cut_lineage(pairs)
+    merged = pairs.filter(F.col(p).isNotNull() & F.col(outcome).isNotNull()).groupBy(F.col(p).cast("double").alias("_p")).agg(
+        F.sum(F.col(outcome).cast("long")).alias("hits"), F.count(F.lit(1)).alias("n"))
+
+    def ranges(frames):
+        pid = TaskContext.get().partitionId()
+        got = [f for f in frames if len(f)]
+        if got:
+            rows = pd.concat(got)  # one range of distinct inputs
+            place, blocks = _pooled(rows["hits"].to_numpy(), rows["n"].to_numpy())
+            made = pd.DataFrame(blocks, columns=["to", "h", "k"])
+            yield pd.DataFrame({"part": 0, "block": 0, "p": rows["_p"].to_numpy(), "to_part": pid, "to": place, "h": made["h"].to_numpy()[place], "k": made["k"].to_numpy()[place]})
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["part", "block"])
+        place, blocks = _pooled(rows["h"].to_numpy(), rows["k"].to_numpy())
+        made = pd.DataFrame(blocks, columns=["to", "h", "k"])
+        return pd.DataFrame({"part": rows["part"].to_numpy(), "block": rows["block"].to_numpy(), "to_part": rows["part"].to_numpy() // FAN, "to": place,
+                             "h": made["h"].to_numpy()[place], "k": made["k"].to_numpy()[place]})
+
+    level = cut_lineage(merged.repartitionByRange("_p").sortWithinPartitions("_p").mapInPandas(ranges, "part long, block long, p double, to_part long, to long, h long, k long"))
+    told = level.select("p", "to_part", "to", "h", "k")
+    parts = (level.agg(F.max("to_part").alias("m")).first()["m"] or 0) + 1
+    while parts > 1:
+        blocks = level.groupBy(F.col("to_part").alias("part"), F.col("to").alias("block")).agg(F.first("h").alias("h"), F.first("k").alias("k"))
+        level = cut_lineage(blocks.groupBy(F.floor(F.col("part") / FAN).alias("g")).applyInPandas(merge, "part long, block long, to_part long, to long, h long, k long"))
+        up = level.select(F.col("part").alias("_part"), F.col("block").alias("_block"), F.col("to_part").alias("_to_part"), F.col("to").alias("_to"), F.col("h").alias("_h"), F.col("k").alias("_k"))
+        told = told.join(up, (F.col("to_part") == F.col("_part")) & (F.col("to") == F.col("_block"))).select(
+            "p", F.col("_to_part").alias("to_part"), F.col("_to").alias("to"), F.col("_h").alias("h"), F.col("_k").alias("k"))
+        parts = -(-parts // FAN)
+    fitted = told.select(F.col("p").alias("_p"), (F.col("h") / F.col("k")).alias("calibrated"))
+    return pairs.join(fitted, F.col(p).cast("double") == F.col("_p"), "left").withColumn("calibrated", F.when(F.col(outcome).isNotNull(), F.col("calibrated"))).drop("_p")
 
 
 def _predict(P: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:

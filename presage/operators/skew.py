@@ -117,51 +117,61 @@ def _pick(rows, keys, order, columns, fn):
     return picked.select(*keys, *[F.col(f"_pick.{c}").alias(c) for c in cols])
 
 
-def exact_quantiles(
-    rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], grid: int = 4096
-) -> DataFrame:
+#: Cells a group is cut into at a time, and distinct values of one cell that are looked at one by one.
+SPLITS, CELL_VALUES = 256, 100_000
+
+
+def values_reaching(dist: DataFrame, keys: Sequence[str], wanted: DataFrame, tol: float = 0.0) -> DataFrame:
+    """First value of each group whose running measure reaches ``_t``: keys, ``_id``, ``_v``.
+
+    ``dist``: keys, ``_v`` (distinct in a group), ``_m`` (count or weight);
+    ``wanted``: keys, ``_id``, ``_t``. A group with many values is cut at
+    equally deep splitters (``percentile_approx``, merged map-side), so a far
+    value does not empty the cells; only the cell in which the measure is
+    reached is kept and cut again until it is small.
+    """
+    scope = list(keys)
+    dist, wanted = cut_lineage(dist), cut_lineage(wanted.withColumnRenamed("_t", "_left"))
+    while (dist.groupBy(*scope).count().agg(F.max("count").alias("n")).first()["n"] or 0) > CELL_VALUES:
+        cell = f"_cell{len(scope)}"
+        ends = dist.groupBy(*scope).agg(F.percentile_approx("_v", [i / SPLITS for i in range(1, SPLITS)], 40 * SPLITS).alias("_ends"), F.count(F.lit(1)).alias("_n_group"))
+        # the cell is how many splitters lie below: sixteen steps of sixteen first, then the rest
+        step = 16
+        coarse = F.size(F.filter(F.transform(F.sequence(F.lit(step), F.lit(SPLITS - 1), F.lit(step)), lambda i: F.element_at("_ends", i)), lambda x: x < F.col("_v")))
+        within = join_back(dist, ends, scope, "_n_group", F.col("_v")).drop("_n_group").withColumn("_coarse", coarse)
+        fine = F.size(F.filter(F.slice("_ends", F.col("_coarse") * step + 1, F.lit(step)), lambda x: x < F.col("_v")))
+        dist = cut_lineage(within.withColumn(cell, F.col("_coarse") * step + fine).drop("_ends", "_coarse"))
+        cells = dist.groupBy(*scope, cell).agg(F.sum("_m").alias("_cm"))
+        upto = Window.partitionBy(*scope).orderBy(cell).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # SPLITS rows at most
+        cells = cells.withColumn("_end", F.sum("_cm").over(upto)).withColumn("_start", F.col("_end") - F.col("_cm")).drop("_cm")
+        found = wanted.join(cells, scope).filter(F.col("_end") + tol >= F.col("_left")).groupBy(*scope, "_id", "_left").agg(F.min_by(F.struct(cell, "_start"), cell).alias("_x"))
+        wanted = cut_lineage(found.select(*scope, "_id", (F.col("_left") - F.col("_x._start")).alias("_left"), F.col(f"_x.{cell}").alias(cell)))
+        scope.append(cell)
+        dist = cut_lineage(dist.join(wanted.select(*scope).distinct(), scope, "left_semi"))
+    run = Window.partitionBy(*scope).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = dist.withColumn("_cum", F.sum("_m").over(run))
+    reached = wanted.join(inside, scope).filter(F.col("_cum") + tol >= F.col("_left"))
+    return reached.groupBy(*scope, "_id").agg(F.min("_v").alias("_v")).select(*keys, "_id", "_v")
+
+
+def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Exact linear-interpolation quantiles per key without gathering a group.
 
-    Values are merged to (value, count) first, then counted on a fixed grid
-    between the group's extremes; only the grid cells that hold a wanted order
-    statistic are looked at value by value. Output: keys, ``prob``, ``q``, ``n``.
+    Values are merged to (value, count) first, then the wanted order statistics
+    are narrowed down. Output: keys, ``prob``, ``q``, ``n``.
     """
     keys = list(keys)
     rows = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    dist = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    span = {"_lo": F.min("_v"), "_hi": F.max("_v"), "n": F.sum("_c")}
-    dist = with_totals(dist, keys, span, F.col("_v")).withColumn(
-        "_g",
-        F.when(F.col("_hi") > F.col("_lo"),
-               F.least(F.lit(grid - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * grid)))
-        .otherwise(F.lit(0)).cast("int"),
-    )
-    cells = dist.groupBy(*keys, "_g").agg(F.sum("_c").alias("_gc"), F.first("n").alias("n"))
-    upto = Window.partitionBy(*keys).orderBy("_g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = cells.withColumn("_end", F.sum("_gc").over(upto)).withColumn("_start", F.col("_end") - F.col("_gc"))
-    prob_array = F.array(*[F.lit(float(p)) for p in probs])
-    wanted = (
-        cells.withColumn("prob", F.explode(prob_array))
-        .withColumn("_pos", F.col("prob") * (F.col("n") - 1))
-        .withColumn("_k", F.explode(F.array(F.floor("_pos"), F.least(F.floor("_pos") + 1, F.col("n") - 1))))
-        .filter((F.col("_k") >= F.col("_start")) & (F.col("_k") < F.col("_end")))
-        .select(*keys, "_g", "_start", "prob", "_pos", "_k", "n")
-        .dropDuplicates([*keys, "prob", "_k"])
-    )
-    need = wanted.select(*keys, "_g").distinct()
-    inside = dist.select(*keys, "_g", "_v", "_c").join(need, [*keys, "_g"], "left_semi")
-    run = Window.partitionBy(*keys, "_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = inside.withColumn("_cum", F.sum("_c").over(run))
-    hit = wanted.join(inside, [*keys, "_g"]).filter(
-        (F.col("_k") >= F.col("_start") + F.col("_cum") - F.col("_c")) & (F.col("_k") < F.col("_start") + F.col("_cum"))
-    )
-    frac = F.col("_pos") - F.floor("_pos")
-    return hit.groupBy(*keys, "prob").agg(
-        (F.min("_v") + (F.max("_v") - F.min("_v")) * F.max(frac)).alias("q"), F.max("n").alias("n")
-    )
+    dist = cut_lineage(rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_m")))
+    sizes = dist.groupBy(*keys).agg(F.sum("_m").alias("n"))
+    asked = sizes.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumn("_pos", F.col("prob") * (F.col("n") - 1))
+    asked = cut_lineage(asked.select(*keys, "prob", "n", (F.col("_pos") - F.floor("_pos")).alias("_frac"), F.explode(F.array(F.floor("_pos"), F.least(F.floor("_pos") + 1, F.col("n") - 1))).alias("_id")))
+    found = values_reaching(dist, keys, asked.select(*keys, "_id", (F.col("_id") + 1).alias("_t")).distinct())
+    return asked.join(found, [*keys, "_id"]).groupBy(*keys, "prob").agg(
+        (F.min("_v") + (F.max("_v") - F.min("_v")) * F.max("_frac")).alias("q"), F.max("n").alias("n"))
 
 
-def weighted_medians(rows: DataFrame, keys: Sequence[str], value: str, weight: str, grid: int = 4096) -> DataFrame:
+def weighted_medians(rows: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
     """First value whose cumulative weight reaches half of the group's total.
 
     Zero total weight falls back to the plain middle value(s) of the group.
@@ -169,24 +179,8 @@ def weighted_medians(rows: DataFrame, keys: Sequence[str], value: str, weight: s
     keys = list(keys)
     rows = rows.filter(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double").alias("_v"), F.col(weight).cast("double").alias("_w"))
-    dist = rows.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"))
-    span = {"_lo": F.min("_v"), "_hi": F.max("_v"), "_tw": F.sum("_w")}
-    dist = cut_lineage(with_totals(dist, keys, span, F.col("_v")))
-    plain = exact_quantiles(rows.join(dist.filter("_tw = 0").select(*keys).distinct(), keys, "left_semi"), keys, "_v", [0.5]).select(*keys, F.col("q").alias("median"))
-    dist = dist.filter(F.col("_tw") > 0).withColumn(
-        "_g",
-        F.when(F.col("_hi") > F.col("_lo"),
-               F.least(F.lit(grid - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * grid)))
-        .otherwise(F.lit(0)).cast("int"),
-    )
-    cells = dist.groupBy(*keys, "_g").agg(F.sum("_w").alias("_gw"), F.first("_tw").alias("_tw"))
-    upto = Window.partitionBy(*keys).orderBy("_g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = cells.withColumn("_end", F.sum("_gw").over(upto)).withColumn("_start", F.col("_end") - F.col("_gw"))
-    tol = F.lit(1e-12)
-    crossing = cells.filter(F.col("_end") + tol >= F.col("_tw") / 2).groupBy(*keys).agg(
-        F.min_by(F.struct("_g", "_start", "_tw"), F.col("_g")).alias("_x")
-    ).select(*keys, "_x.*")
-    run = Window.partitionBy(*keys, "_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = dist.select(*keys, "_g", "_v", "_w").join(crossing, [*keys, "_g"]).withColumn("_cum", F.col("_start") + F.sum("_w").over(run))
-    weighted = inside.filter(F.col("_cum") + tol >= F.col("_tw") / 2).groupBy(*keys).agg(F.min("_v").alias("median"))
-    return weighted.unionByName(plain)
+    dist = cut_lineage(rows.groupBy(*keys, "_v").agg(F.sum("_w").alias("_m")))
+    totals = cut_lineage(dist.groupBy(*keys).agg(F.sum("_m").alias("_tw")))
+    plain = exact_quantiles(rows.join(totals.filter("_tw = 0").select(*keys), keys, "left_semi"), keys, "_v", [0.5]).select(*keys, F.col("q").alias("median"))
+    half = totals.filter("_tw > 0").select(*keys, F.lit(0).alias("_id"), (F.col("_tw") / 2).alias("_t"))
+    return values_reaching(dist, keys, half, 1e-12).select(*keys, F.col("_v").alias("median")).unionByName(plain)
