@@ -204,6 +204,72 @@ def near_duplicates(rows: DataFrame, text: str, distance: int = 8) -> DataFrame:
     return attach(fp, owner, ["fp"], "_n", F.col("id")).select("id", "fp", "canonical")
 
 
+def first_leaders(posts: DataFrame, distance: int) -> DataFrame:
+    """Ids that lead: in id order, one leads unless an earlier leader is within ``distance`` bits.
+
+    ``posts``: bucket, seq (the order), id (fingerprint). An item that is first
+    among the undecided in all its buckets leads for certain and claims what is
+    near it there, so a crowd of copies is decided against one head at the cost
+    of its members. Only when that decides too little are the few items left
+    held against each other, in rounds over pairs that are near.
+    """
+    near = lambda a, b: hamming(F.col(a), F.col(b)) <= distance
+    open_ = cut_lineage(posts)
+    items = cut_lineage(open_.select("seq", "id").distinct())
+    leaders, left = None, items.count()
+    while left:
+        head = open_.groupBy("bucket").agg(F.min(F.struct("seq", "id")).alias("_h"))
+        met = cut_lineage(open_.join(head, "bucket").select("seq", "id", F.col("_h.seq").alias("lead"), F.col("_h.id").alias("lead_id")))
+        sure = cut_lineage(met.groupBy("seq", "id").agg(F.bool_and(F.col("seq") == F.col("lead")).alias("_s")).filter("_s").select("seq", "id"))
+        lost = met.filter((F.col("seq") != F.col("lead")) & near("id", "lead_id")).join(sure.select(F.col("seq").alias("lead")), "lead", "left_semi").select("seq").distinct()
+        leaders = sure if leaders is None else leaders.unionByName(sure)
+        items = cut_lineage(items.join(sure.select("seq").unionByName(lost), "seq", "left_anti"))
+        now = items.count()
+        open_ = cut_lineage(open_.join(items.select("seq"), "seq", "left_semi"))
+        if now * 2 > left:
+            break
+        left = now
+    if leaders is None:
+        return posts.select("seq", "id").limit(0)
+    other = open_.select("bucket", F.col("seq").alias("later"), F.col("id").alias("later_id"))
+    pairs = cut_lineage(open_.join(other, "bucket").filter((F.col("seq") < F.col("later")) & near("id", "later_id")).select("seq", "later").distinct())
+    while not items.isEmpty():
+        blocked = pairs.join(items.select("seq"), "seq", "left_semi").select(F.col("later").alias("seq")).distinct()
+        free = cut_lineage(items.join(blocked, "seq", "left_anti"))
+        leaders = leaders.unionByName(free)
+        beaten = pairs.join(free.select("seq"), "seq", "left_semi").select(F.col("later").alias("seq")).distinct()
+        items = cut_lineage(items.join(free, "seq", "left_anti").join(beaten, "seq", "left_anti"))
+    return cut_lineage(leaders)
+
+
+def first_match(posts: DataFrame, lead_posts: DataFrame, distance: int) -> DataFrame:
+    """seq, canonical: the earliest of ``lead_posts`` within ``distance`` bits that is not later, for those that have one."""
+    lead = lead_posts.select("bucket", F.col("seq").alias("lead"), F.col("id").alias("lead_id"))
+    met = posts.join(lead, "bucket").filter((F.col("lead") <= F.col("seq")) & (hamming(F.col("id"), F.col("lead_id")) <= distance))
+    return met.groupBy("seq").agg(F.min("lead").alias("canonical"))
+
+
+def fingerprint_items(fp: DataFrame) -> DataFrame:
+    """seq (smallest id), id (fingerprint) of every distinct fingerprint; copies follow the first of them."""
+    return fp.groupBy(F.col("fp").alias("id")).agg(F.min("id").alias("seq"))
+
+
+def sequenced_postings(items: DataFrame, distance: int) -> DataFrame:
+    """bucket, seq, id of every item."""
+    return fingerprint_postings(items, distance).join(items, "id")
+
+
+def first_match_duplicates(rows: DataFrame, text: str, distance: int = 8) -> DataFrame:
+    """id, fp, canonical of each row: in id order a text belongs to the first kept text within ``distance`` bits, or is kept itself."""
+    fp = cut_lineage(simhash(rows, text))
+    items = cut_lineage(fingerprint_items(fp))
+    posts = cut_lineage(sequenced_postings(items, distance))
+    leaders = first_leaders(posts, distance)
+    found = first_match(posts, posts.join(leaders.select("seq"), "seq", "left_semi"), distance)
+    owner = items.join(found, "seq").join(fp.groupBy(F.col("fp").alias("id")).agg(F.count(F.lit(1)).alias("_n")), "id").select(F.col("id").alias("fp"), "canonical", "_n")
+    return attach(fp, cut_lineage(owner), ["fp"], "_n", F.col("id")).select("id", "fp", "canonical")
+
+
 def dedupe_titles(rows: DataFrame, scope: Sequence[str], title: str, url: str, priority: str, threshold: float = 0.8, min_tokens: int = 4) -> DataFrame:
     """Syndicated copies: each row's cluster leader (``leader``) in its scope.
 

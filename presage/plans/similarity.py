@@ -45,6 +45,12 @@ def near_duplicate_documents(spark, sf):
     return SM.near_duplicates(documents(spark, sf), "text").select(F.col("id").alias("doc_id"), "canonical")
 
 
+@Q.add("first_match_documents")
+def first_match_documents(spark, sf):
+    """The first kept text within eight bits, in doc_id order, instead of transitive components."""
+    return SM.first_match_duplicates(documents(spark, sf), "text").select(F.col("id").alias("doc_id"), "canonical")
+
+
 SHINGLE_SQL = """
 toks AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
 sh AS (SELECT DISTINCT doc_id, source, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM toks WHERE len(w) > 0)),

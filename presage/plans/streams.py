@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from presage.functions.scalars import clamp
 from presage.plans.registry import Registry
-from presage.session import rounded
+from presage.session import checkpoint_dir, rounded
 from presage.sources import fixtures as fx
 from presage.sources.fixtures import with_views
-from presage.streaming import jobs as J
+from presage.streaming import arrivals as AR, jobs as J
 
 Q = Registry()
 
@@ -90,3 +92,20 @@ def stream_market_decisions(spark, sf):
         (F.col("user_id") * 4 + e % 4).alias("market_id"), e.alias("seq"), "ts", F.when(F.col("event_type") != "error", F.round(clamp(F.col("value") / 100, 0.01, 0.99), 4)).alias("market_yes"),
         F.when(k % 3 == 0, k / 100.0).alias("model_yes"), (F.col("ts") >= F.to_timestamp(F.lit("2024-01-20"))).alias("closed"))
     return J.drain(J.market_decisions(s), "append")
+
+
+def first_matches(spark, sf, arrivals=6):
+    """Runs the documents through as a stream of arrivals: the folder of results, the band table, the writer."""
+    base = f"{checkpoint_dir(spark)}/presage-near-{uuid.uuid4().hex}"
+    bands, out = AR.BandTable(spark, f"{base}/bands", 8), f"{base}/out"
+    write = AR.keep_first(bands, out, "text")
+    docs = J.table_stream(spark, sf, "documents", "doc_id", arrivals).select(F.col("doc_id").alias("id"), "text")
+    docs.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return out, bands, write
+
+
+@Q.add("stream_first_matches")
+def stream_first_matches(spark, sf):
+    """Each document's first kept near-duplicate, as documents arrive; equals ``first_match_documents``."""
+    found = spark.read.schema("id long, fp long, canonical long, epoch int").parquet(first_matches(spark, sf)[0])
+    return found.select(F.col("id").alias("doc_id"), "canonical")
