@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -50,32 +51,44 @@ def _verified(pairs: DataFrame, items: DataFrame, payload: Sequence[str], simila
     return pairs.select("a", "b").distinct().join(left, "a").join(right, "b").filter(similar("a_", "b_")).select("a", "b")
 
 
-def similar_components(items: DataFrame, postings: DataFrame, payload: Sequence[str], similar: Similar) -> DataFrame:
+def similar_components(items: DataFrame, postings: DataFrame, payload: Sequence[str], similar: Similar, fits: Similar | None = None) -> DataFrame:
     """Components of the graph whose edges are bucket mates that pass ``similar``.
 
-    ``items``: id and payload; ``postings``: (bucket, id). Exact: any similar
-    pair must share a bucket, and every cross-component pair of a bucket is
-    checked.
+    ``items``: id and payload; ``postings``: bucket, id and what ``fits`` looks
+    at. Exact: any similar pair must share a bucket in which it passes ``fits``,
+    and every such cross-component pair of a bucket is checked. ``fits`` is part
+    of the bucket join, so what it turns down never becomes a row; without a
+    payload it is the whole test.
     """
     postings = cut_lineage(postings)
-    heads = postings.groupBy("bucket").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    star = attach(postings, heads.select("bucket", "b", "_n"), ["bucket"], "_n", F.col("id")).filter("b is not null and b <> id")
-    first = cut_lineage(_verified(star.select(F.col("id").alias("a"), "b"), items, payload, similar))
-    comp = components(items, first)
+    extra = [c for c in postings.columns if c != "bucket"]
+    fits = fits or (lambda a, b: F.lit(True))
+    check = (lambda pairs: _verified(pairs, items, payload, similar)) if payload else (lambda pairs: pairs.distinct())
+    heads = postings.groupBy("bucket").agg(F.min(F.struct("id", *[c for c in extra if c != "id"])).alias("_h"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    heads = heads.select("bucket", "_n", *[F.col(f"_h.{c}").alias(f"h_{c}") for c in extra])
+    named = postings.select("bucket", *[F.col(c).alias(f"x_{c}") for c in extra])
+    star = attach(named, heads, ["bucket"], "_n", F.col("x_id")).filter((F.col("h_id") != F.col("x_id")) & fits("x_", "h_"))
+    first = cut_lineage(check(star.select(F.col("x_id").alias("a"), F.col("h_id").alias("b"))))
+    comp = cut_lineage(components(items, first))
     placed = fork(postings.join(heads.select("bucket"), "bucket", "left_semi").join(comp, "id"))
     sizes = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("_c"))
     main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("_c", -F.col("comp"))).alias("_main"), F.count(F.lit(1)).alias("_k"), F.sum("_c").alias("_n"))
     mixed = attach(placed, main.filter("_k > 1").select("bucket", "_main", "_n"), ["bucket"], "_n", F.col("id")).filter("_main is not null")
-    minor = mixed.filter("comp <> _main").select("bucket", F.col("id").alias("a"), F.col("comp").alias("_ca"))
-    every = mixed.select("bucket", F.col("id").alias("b"), F.col("comp").alias("_cb"))
-    cross = minor.join(every, "bucket").filter("_ca <> _cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = _verified(cross, items, payload, similar)
-    return components(items, first.union(rest))
+    side = lambda rows, name: rows.select("bucket", F.col("comp").alias(f"_c{name}"), *[F.col(c).alias(f"{name}_{c}") for c in extra])
+    mixed = cut_lineage(mixed)
+    cross = side(mixed.filter("comp <> _main"), "x").join(side(mixed, "y"), "bucket").filter((F.col("_cx") != F.col("_cy")) & fits("x_", "y_"))
+    rest = check(cross.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")))
+    # what is still to be joined is few components, not their members
+    of = lambda side: comp.select(F.col("id").alias(side), F.col("comp").alias(f"c{side}"))
+    bridges = cut_lineage(rest.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    top = components(bridges.select(F.col("a").alias("id")).union(bridges.select("b")).distinct(), bridges)
+    return comp.withColumnRenamed("comp", "_own").join(top.select(F.col("id").alias("_own"), "comp"), "_own", "left").select("id", F.coalesce("comp", "_own").alias("comp"))
 
 
 def prefix_postings(sets: DataFrame, threshold: float, scope: Sequence[str] = ()) -> DataFrame:
     """Rarest-first prefix of each token set: two sets at or over the Jaccard
-    threshold always share a prefix token. ``sets``: id, tokens and scope columns."""
+    threshold always share a prefix token. ``sets``: id, tokens and scope columns.
+    ``len``: size of the set, ``after``: how many of its tokens follow in this order, the posted one included."""
     tok = sets.select("id", *scope, F.size("tokens").alias("_len"), F.explode("tokens").alias("tok"))
     freq = tok.groupBy(*scope, "tok").agg(F.count(F.lit(1)).alias("_df"))
     ranked = attach(fork(tok), freq.withColumn("_n", F.col("_df")), [*scope, "tok"], "_n", F.col("id"))
@@ -83,8 +96,17 @@ def prefix_postings(sets: DataFrame, threshold: float, scope: Sequence[str] = ()
     keep = F.col("_len") - F.ceil(F.col("_len") * threshold - 1e-9) + 1
     # the list is one item's own tokens, so an item's length bounds it
     head = ranked.groupBy("id", *scope, "_len").agg(order.alias("_o")).select(
-        "id", *scope, F.explode(F.slice("_o", F.lit(1), keep.cast("int"))).alias("_p"))
-    return head.select("id", F.xxhash64(*scope, F.col("_p.tok")).alias("bucket"))
+        "id", *scope, "_len", F.posexplode(F.slice("_o", F.lit(1), keep.cast("int"))).alias("_at", "_p")).filter("_p._df > 1")
+    return head.select("id", F.xxhash64(*scope, F.col("_p.tok")).alias("bucket"), F.col("_len").alias("len"), (F.col("_len") - F.col("_at")).alias("after"))
+
+
+def may_reach(threshold: float) -> Similar:
+    """Whether two sets may be at the threshold if the posted token is the first they share: by their sizes and by what follows it."""
+    def fits(a: str, b: str) -> Column:
+        n, m = F.col(f"{a}len"), F.col(f"{b}len")
+        return (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (F.least(f"{a}after", f"{b}after") * (1 + threshold) >= threshold * (n + m) - 1e-9)
+
+    return fits
 
 
 def token_jaccard(a: str, b: str, name: str = "tokens") -> Column:
@@ -112,7 +134,7 @@ def text_clusters(rows: DataFrame, text: str, threshold: float = 0.4, size: int
     sets = fork(shingle_sets(rows.select("id", *scope, text), text, size))
     reps, mapping = collapse_equal(sets, scope)
     reps = cut_lineage(reps)
-    comp = similar_components(reps, prefix_postings(reps, threshold, scope), ["tokens"], lambda a, b: token_jaccard(a, b) >= threshold)
+    comp = similar_components(reps, prefix_postings(reps, threshold, scope), ["tokens"], lambda a, b: token_jaccard(a, b) >= threshold, may_reach(threshold))
     found = mapping.join(comp.withColumnRenamed("id", "rep"), "rep").select("id", F.col("comp").alias("cluster_id"))
     return rows.select("id", *scope).join(found, "id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "id"))
 
@@ -130,7 +152,8 @@ def similarity_bands(rows: DataFrame, text: str, scope: Sequence[str], size: int
     reps, _ = collapse_equal(sets, scope)
     reps = cut_lineage(reps)
     posts = cut_lineage(prefix_postings(reps, 1.0 / bands, scope))
-    pairs = posts.withColumnRenamed("id", "a").join(posts.withColumnRenamed("id", "b"), "bucket").filter("a < b").select("a", "b").distinct()
+    side = lambda name: posts.select("bucket", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "len", "after")])
+    pairs = side("a").join(side("b"), "bucket").filter((F.col("a_id") < F.col("b_id")) & may_reach(1.0 / bands)("a_", "b_")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
     left = reps.select(*scope, F.col("id").alias("a"), F.col("copies").alias("ca"), F.col("tokens").alias("ta"))
     right = reps.select(F.col("id").alias("b"), F.col("copies").alias("cb"), F.col("tokens").alias("tb"))
     scored = pairs.join(left, "a").join(right, "b").select(*scope, (F.col("ca") * F.col("cb")).alias("m"), X.jaccard(F.col("ta"), F.col("tb")).alias("j"))
@@ -185,20 +208,29 @@ def fingerprint_postings(fps: DataFrame, distance: int = 8, agree: int = 3) -> D
 
     def key(blocks: Column, pick: Column) -> Column:
         value = reduce(lambda acc, j: F.shiftleft(acc, wide).bitwiseOR(F.get(blocks, pick[j])), range(2, agree + 1), F.get(blocks, pick[1]))
-        return F.shiftleft(value, 10).bitwiseOR(pick[0])
+        return F.shiftleft(value, 12).bitwiseOR(pick[0])
 
     keys = let(F.array(*[block(i) for i in range(n)]), lambda blocks: F.transform(picks, lambda pick: key(blocks, pick)))
     return fps.select("id", F.explode(keys).alias("bucket"))
 
 
+def blocks_to_agree(items: int, distance: int) -> int:
+    """How many equal blocks make a bucket key, so that postings and expected bucket mates together are fewest."""
+    def cost(agree: int) -> float:
+        return comb(distance + agree, agree) * (1 + items / 2 ** (64 * agree / (distance + agree)))
+
+    return min(range(1, 6), key=cost)
+
+
 def near_duplicates(rows: DataFrame, text: str, distance: int = 8) -> DataFrame:
     """Canonical id of each row: lowest id of its component within ``distance`` bits."""
     fp = cut_lineage(simhash(rows, text))
     # fingerprints themselves are the nodes, so equal texts are one node
     distinct = fp.groupBy(F.col("fp").alias("id")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
     distinct = cut_lineage(distinct)
-    comp = similar_components(distinct.select("id"), fingerprint_postings(distinct.select("id"), distance), ["id"],
-                              lambda a, b: hamming(F.col(f"{a}id"), F.col(f"{b}id")) <= distance)
+    near = lambda a, b: hamming(F.col(f"{a}id"), F.col(f"{b}id")) <= distance
+    posts = fingerprint_postings(distinct.select("id"), distance, blocks_to_agree(distinct.count(), distance))
+    comp = similar_components(distinct.select("id"), posts, [], near, near)
     heads = comp.join(distinct, "id").groupBy("comp").agg(F.min("first").alias("canonical"), F.count(F.lit(1)).alias("_k"))
     owner = comp.join(heads, "comp").join(distinct.select("id", "copies"), "id").select(F.col("id").alias("fp"), "canonical", F.col("copies").alias("_n"))
     return attach(fp, owner, ["fp"], "_n", F.col("id")).select("id", "fp", "canonical")
