@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,10 +19,18 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def give_back() -> None:
+    """Freed memory to the system, as far as the platform can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The same rows in runs of about ``limit`` bytes of ``column``, so a task's memory follows the longest text, not the batch.
 
-    In the end what Arrow holds in reserve goes back, since the worker stays for other stages' tasks.
+    In the end what Arrow and the allocator hold in reserve goes back, since the worker stays for other stages' tasks.
     """
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -30,7 +39,7 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iter
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
             if b > a:
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(a, b - a)]) for c in batch.columns], schema=batch.schema)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def strings(column: pa.Array) -> pa.Array:
