@@ -6,59 +6,117 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from presage.functions.scalars import literal_map
 
-# Month, weekday and day words in English, German, French and Spanish.
-MONTH_WORDS = {
-    "january": 1, "jan": 1, "januar": 1, "janvier": 1, "enero": 1, "february": 2, "feb": 2, "februar": 2, "février": 2, "febrero": 2,
-    "march": 3, "mar": 3, "märz": 3, "mars": 3, "marzo": 3, "april": 4, "apr": 4, "avril": 4, "abril": 4, "may": 5, "mai": 5, "mayo": 5,
-    "june": 6, "jun": 6, "juni": 6, "juin": 6, "junio": 6, "july": 7, "jul": 7, "juli": 7, "juillet": 7, "julio": 7,
-    "august": 8, "aug": 8, "août": 8, "agosto": 8, "september": 9, "sep": 9, "sept": 9, "septembre": 9, "septiembre": 9,
-    "october": 10, "oct": 10, "oktober": 10, "octobre": 10, "octubre": 10, "november": 11, "nov": 11, "novembre": 11, "noviembre": 11,
-    "december": 12, "dec": 12, "dez": 12, "dezember": 12, "décembre": 12, "diciembre": 12,
-}
-WEEKDAY_WORDS = {
-    "monday": 0, "montag": 0, "lundi": 0, "lunes": 0, "tuesday": 1, "dienstag": 1, "mardi": 1, "martes": 1, "wednesday": 2, "mittwoch": 2,
-    "mercredi": 2, "miércoles": 2, "thursday": 3, "donnerstag": 3, "jeudi": 3, "jueves": 3, "friday": 4, "freitag": 4, "vendredi": 4, "viernes": 4,
-    "saturday": 5, "samstag": 5, "samedi": 5, "sábado": 5, "sunday": 6, "sonntag": 6, "dimanche": 6, "domingo": 6,
-}
-DAY_WORDS = {"today": 0, "tonight": 0, "heute": 0, "aujourd'hui": 0, "hoy": 0, "yesterday": -1, "gestern": -1, "ayer": -1, "tomorrow": 1, "demain": 1, "mañana": 1}
-WEEK_WORDS = {"last week": -1, "letzte woche": -1, "letzter woche": -1, "this week": 0, "diese woche": 0, "dieser woche": 0, "next week": 1, "nächste woche": 1, "nächster woche": 1}
+# Month, weekday and day words; "_" joins a name of two words.
+MONTH_NAMES = (
+    "january jan januar janvier enero январь января ינואר يناير كانون_الثاني",
+    "february feb februar février febrero февраль февраля פברואר فبراير شباط",
+    "march mar märz mars marzo март марта מרץ مارس آذار",
+    "april apr avril abril апрель апреля אפריל أبريل نيسان",
+    "may mai mayo май мая מאי مايو أيار",
+    "june jun juni juin junio июнь июня יוני يونيو حزيران",
+    "july jul juli juillet julio июль июля יולי يوليو تموز",
+    "august aug août agosto август августа אוגוסט أغسطس آب",
+    "september sep sept septembre septiembre сентябрь сентября ספטמבר سبتمبر أيلول",
+    "october oct oktober octobre octubre октябрь октября אוקטובר أكتوبر تشرين_الأول",
+    "november nov novembre noviembre ноябрь ноября נובמבר نوفمبر تشرين_الثاني",
+    "december dec dez dezember décembre diciembre декабрь декабря דצמבר ديسمبر كانون_الأول")
+MONTHS_IN_LOWER_CASE_ARE_WORDS = ("may", "mar", "jan", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec")
+WEEKDAY_NAMES = (
+    "monday montag lundi lunes понедельник שני الاثنين الإثنين",
+    "tuesday dienstag mardi martes вторник שלישי الثلاثاء",
+    "wednesday mittwoch mercredi miércoles среда среду רביעי الأربعاء الاربعاء",
+    "thursday donnerstag jeudi jueves четверг חמישי الخميس",
+    "friday freitag vendredi viernes пятница пятницу שישי الجمعة",
+    "saturday samstag samedi sábado суббота субботу שבת السبت",
+    "sunday sonntag dimanche domingo воскресенье ראשון الأحد الاحد")
+WEEKDAYS_AFTER_DAY = ("שני", "ראשון", "שבת")
+DAY_WORDS = {
+    "today": 0, "tonight": 0, "heute": 0, "aujourd'hui": 0, "hoy": 0, "сегодня": 0, "היום": 0, "הלילה": 0, "اليوم": 0,
+    "yesterday": -1, "gestern": -1, "ayer": -1, "вчера": -1, "אתמול": -1, "أمس": -1, "امس": -1, "البارحة": -1,
+    "tomorrow": 1, "morgen": 1, "demain": 1, "mañana": 1, "завтра": 1, "מחר": 1, "غدا": 1, "غداً": 1}
+HEBREW_PREFIXES = "ובלכהמש"
+WEEK_PATTERNS = (
+    (-1, r"\blast week\b|\bletzte[rn]? woche\b|на прошлой неделе|בשבוע שעבר|השבוע שעבר|الأسبوع الماضي"),
+    (0, r"\bthis week\b|\bdiese[rn]? woche\b|на этой неделе|השבוע(?! הבא| שעבר)|هذا الأسبوع"),
+    (1, r"\bnext week\b|\bnächste[rn]? woche\b|на следующей неделе|בשבוע הבא|الأسبوع (?:المقبل|القادم)"))
+LAST_CUE = r"\b(?:last|previous|prior|letzte[nrms]?|dernier|dernière|pasad[oa]|прошл\w+|предыдущ\w+)\b|שעבר|הקודם|الماضي|السابق"
+MONTH_PART = r"(?:(?:end|beginning|start|early|late|mid)[- ](?:of )?)?"
+YEAR_END = r"\b(?:end|close) of (20\d\d)\b|סוף (20\d\d)|конц[ае] (20\d\d)"
 
+MONTH_WORDS = {n.replace("_", " "): i for i, names in reversed(list(enumerate(MONTH_NAMES, 1))) for n in names.split()}
+WEEKDAY_WORDS = {n: i for i, names in enumerate(WEEKDAY_NAMES) for n in names.split()}
 
-def _longest_first(words) -> str:
-    return "|".join(sorted(words, key=lambda w: (-len(w), w)))
+
+def _any(words) -> str:
+    return "|".join(sorted((w.replace(" ", "\\s+") for w in words), key=lambda w: (-len(w), w)))
 
 
 def date_mentions(rows: DataFrame, key: str, text: str, published: str) -> DataFrame:
-    """Distinct (start, end) per text. A day without year counts in the years
-    within 366 days of publication; a weekday is the previous and the coming one."""
-    pub = F.col(published)
-    names, t = _longest_first(MONTH_WORDS), F.col(text)
-    word = lambda pat: f"(?i)(?<![\\p{{L}}\\d])(?:{pat})(?![\\p{{L}}\\d])"
-    every = lambda pat: F.regexp_extract_all(t, F.lit(pat), F.lit(0))
-    month_first = f"(?i)(?<![\\p{{L}}\\d])({names})\\.?\\s+(\\d{{1,2}})(?:st|nd|rd|th)?(?:,?\\s+(\\d{{4}}))?(?!\\d)"
-    day_first = f"(?i)(?<!\\d)(\\d{{1,2}})(?:st|nd|rd|th|\\.)?\\s*(?:of\\s+|de\\s+)?({names})(?!\\p{{L}})(?:,?\\s+(\\d{{4}}))?"
-    iso, numeric = "(?<!\\d)(20\\d\\d)-(\\d\\d)-(\\d\\d)(?!\\d)", "(?<![\\d.])(\\d{1,2})[./](\\d{1,2})[./](20\\d\\d|\\d\\d)(?![\\d.])"
-    tag = lambda kind, pat: F.transform(every(pat), lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("m")))
-    found = F.concat(tag("md", month_first), tag("dm", day_first), tag("iso", iso), tag("num", numeric), tag("day", word(_longest_first(DAY_WORDS))),
-                     tag("wd", word(_longest_first(WEEKDAY_WORDS))), tag("week", word(_longest_first(WEEK_WORDS))))
-    hits = rows.filter(pub.isNotNull()).select(key, pub.alias("pub"), F.explode(found).alias("f")).select(key, "pub", "f.kind", F.lower("f.m").alias("m"))
-    g = lambda pat, i: F.regexp_extract("m", pat, i)
-    look = lambda table, x: F.try_element_at(literal_map(table), x)
-    ymd = lambda y, mo, d: F.try_to_date(F.format_string("%04d-%02d-%02d", y, mo, d), "yyyy-MM-dd")
-    num = lambda x: x.try_cast("int")
-    mon = F.when(F.col("kind") == "md", look(MONTH_WORDS, g(month_first, 1))).otherwise(look(MONTH_WORDS, g(day_first, 2)))
-    day = F.when(F.col("kind") == "md", num(g(month_first, 2))).otherwise(num(g(day_first, 1)))
-    year = F.when(F.col("kind") == "md", num(g(month_first, 3))).otherwise(num(g(day_first, 3)))
-    near = F.filter(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: ymd(F.year("pub") + k, mon, day)), lambda d: F.abs(F.datediff(d, F.col("pub"))) <= 366)
-    far_ok = lambda d: F.filter(F.array(d), lambda x: x.isNotNull() & (F.abs(F.datediff(x, F.col("pub"))) < 3660))
+    """Distinct (start, end) per text, of dates within ten years of publication.
+
+    A day without year, or before a number that is no year, counts in the years
+    within 366 days of publication; a weekday is the previous and the coming
+    one, and the day a week before where it is that day and a word like "last"
+    is near. Months, weeks and year ends are ranges. Lower-case "may" and its
+    like are words, as is capital "Morgen". Hebrew words may carry up to two
+    prefix letters; three weekdays that are also other words need "day" before
+    them. A null text or publication day has no mentions.
+    """
+    pub, names = F.col(published), _any(MONTH_WORDS)
+    no_word, end = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+    month_first = rf"(?iu){no_word}({names}){end}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?(?:,?\s+(\d{{4}}))?(?!\d)"
+    day_first = rf"(?iu)(?<!\d)(\d{{1,2}})(?:st|nd|rd|th|\.|-?ה?ב?)?\s*(?:of\s+|de\s+|ב-?|ב)?({names}){end}(?:,?\s+(\d{{4}}))?"
+    iso, numeric = r"(?<!\d)(20\d\d)-(\d\d)-(\d\d)(?!\d)", r"(?<![\d.])(\d{1,2})[./](\d{1,2})[./](20\d\d|\d\d)(?![\d.])"
+    month_only = rf"(?iu){no_word}({MONTH_PART})({names}){end}\.?(?:\s+(20\d\d))?(?!\.?\s*\d)"
+    word = lambda words, before="": rf"(?iu)(?<![\p{{L}}\p{{N}}_'׳״-]){before}({_any(words)})(?:'s)?(?![\p{{L}}\p{{N}}_'׳״-])"
+    hebrew = lambda words: [w for w in words if "א" <= w[0] <= "ת"]
+    other = lambda words: [w for w in words if not "א" <= w[0] <= "ת"]
+    prefix = f"[{HEBREW_PREFIXES}]{{0,2}}"
+    free = [w for w in hebrew(WEEKDAY_WORDS) if w not in WEEKDAYS_AFTER_DAY]
+    kinds = [("md", month_first), ("dm", day_first), ("iso", iso), ("num", numeric), ("month", month_only), ("year", f"(?iu){YEAR_END}"), ("day", word(other(DAY_WORDS))), ("day", word(hebrew(DAY_WORDS), prefix)),
+             ("wd", word(other(WEEKDAY_WORDS))), ("wd", word(free, prefix)), ("wd", rf"(?<=ביום\s{{1,3}})({_any(WEEKDAYS_AFTER_DAY)}){end}"), ("wd", rf"{no_word}ב(שבת){end}"),
+             *[(f"week{k}", f"(?iu){p}") for k, p in WEEK_PATTERNS]]
+    tag = lambda kind, pat: F.transform(F.regexp_extract_all(F.col(text), F.lit(pat), F.lit(0)), lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("m")))
+    hits = rows.filter(pub.isNotNull()).select(key, pub.alias("pub"), F.col(text).alias("t"), F.explode(F.concat(*[tag(k, p) for k, p in kinds])).alias("f")).select(key, "pub", "t", "f.kind", "f.m")
+    g = lambda pat, i: F.regexp_extract("m", pat, i)
+    look = lambda table, x: F.try_element_at(literal_map(table), F.regexp_replace(F.lower(x), r"\s+", " "))
+    ymd = lambda y, mo, d: F.try_to_date(F.format_string("%04d-%02d-%02d", y, mo, d), "yyyy-MM-dd")
+    num = lambda x: x.try_cast("int")
+    is_md = F.col("kind") == "md"
+    name = F.when(is_md, g(month_first, 1)).otherwise(g(day_first, 2))
+    mon, day = look(MONTH_WORDS, name), F.when(is_md, num(g(month_first, 2))).otherwise(num(g(day_first, 1)))
+    year = F.when(is_md, num(g(month_first, 3))).otherwise(num(g(day_first, 3)))
+    near_year = lambda d: d.isNotNull() & (F.abs(F.datediff(d, F.col("pub"))) < 3660)
+    span = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    point = lambda d: F.filter(F.array(span(d, d)), lambda x: near_year(x["start"]))
+    years = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    around_pub = F.filter(F.transform(F.transform(years, lambda k: ymd(F.year("pub") + k, mon, day)), lambda d: span(d, d)), lambda x: F.abs(F.datediff(x["start"], F.col("pub"))) <= 366)
+    dated = ymd(year, mon, day)
     short = num(g(numeric, 3))
-    target = look(WEEKDAY_WORDS, F.col("m"))
-    monday = F.date_add(F.date_sub("pub", F.weekday("pub")), look(WEEK_WORDS, F.col("m")) * 7)
-    days = (F.when(F.col("kind").isin("md", "dm"), F.when(year.isNotNull(), far_ok(ymd(year, mon, day))).otherwise(near))
-            .when(F.col("kind") == "iso", far_ok(F.try_to_date("m", "yyyy-MM-dd")))
-            .when(F.col("kind") == "num", far_ok(ymd(F.when(short < 100, short + 2000).otherwise(short), num(g(numeric, 2)), num(g(numeric, 1)))))
-            .when(F.col("kind") == "day", F.array(F.date_add("pub", look(DAY_WORDS, F.col("m")))))
-            .when(F.col("kind") == "wd", F.array(F.date_sub("pub", F.pmod(F.weekday("pub") - target, F.lit(7))), F.date_add("pub", F.pmod(target - F.weekday("pub"), F.lit(7)))))
-            .when(F.col("kind") == "week", F.array(monday)))
-    out = hits.select(key, "kind", F.explode(days).alias("start")).filter("start is not null")
-    return out.select(key, "start", F.when(F.col("kind") == "week", F.date_add("start", 6)).otherwise(F.col("start")).alias("end")).distinct()
+    only = look(MONTH_WORDS, g(month_only, 2))
+    whole = lambda y: F.transform(F.array(ymd(y, only, F.lit(1))), lambda d: span(d, F.last_day(d)))
+    months = F.filter(F.flatten(F.transform(years, lambda k: whole(F.year("pub") + k))),
+                      lambda x: (x["end"] >= F.date_sub("pub", 366)) & (x["start"] <= F.date_add("pub", 366)))
+    stated, part = num(g(month_only, 3)), g(month_only, 1)
+    lone = F.lower(g(month_only, 2)).isin(*MONTHS_IN_LOWER_CASE_ARE_WORDS, "mai") & stated.isNull() & (part == "") & (F.lower(F.substring(g(month_only, 2), 1, 1)) == F.substring(g(month_only, 2), 1, 1))
+    end_year = num(F.regexp_extract("m", r"(20\d\d)", 1))
+    bare = F.regexp_replace(F.lower("m"), "'s$", "")
+    base = lambda table: F.coalesce(look(table, bare), look(table, F.substring(bare, 2, 99)), look(table, F.substring(bare, 3, 99)))
+    target = base(WEEKDAY_WORDS)
+    back = F.pmod(F.weekday("pub") - target, F.lit(7))
+    near_cue = F.exists(F.regexp_extract_all("t", F.concat(F.lit(r"(?s).{0,16}\Q"), F.col("m"), F.lit(r"\E.{0,16}")), F.lit(0)), lambda x: F.regexp_like(x, F.lit(f"(?iu){LAST_CUE}")))
+    day_of = lambda n: span(F.date_add("pub", n), F.date_add("pub", n))
+    weekdays = F.concat(F.array(day_of(-back), day_of(F.pmod(target - F.weekday("pub"), F.lit(7)))), F.when((back == 0) & near_cue, F.array(day_of(F.lit(-7)))).otherwise(F.array().cast("array<struct<start:date,end:date>>")))
+    monday = F.date_sub("pub", F.weekday("pub"))
+    week = lambda k: F.array(span(F.date_add(monday, 7 * k), F.date_add(monday, 7 * k + 6)))
+    none = F.array().cast("array<struct<start:date,end:date>>")
+    days = (F.when(F.col("kind").isin("md", "dm"), F.when(name.isin(*MONTHS_IN_LOWER_CASE_ARE_WORDS), none).when(year.isNotNull() & near_year(dated), point(dated)).otherwise(around_pub))
+            .when(F.col("kind") == "iso", point(F.try_to_date("m", "yyyy-MM-dd")))
+            .when(F.col("kind") == "num", point(ymd(F.when(short < 100, short + 2000).otherwise(short), num(g(numeric, 2)), num(g(numeric, 1)))))
+            .when(F.col("kind") == "month", F.when(lone, none).when(stated.isNotNull(), F.filter(whole(stated), lambda x: near_year(x["start"]))).otherwise(months))
+            .when(F.col("kind") == "year", F.filter(F.array(span(ymd(end_year, F.lit(12), F.lit(1)), ymd(end_year, F.lit(12), F.lit(31)))), lambda x: near_year(x["start"])))
+            .when(F.col("kind") == "day", F.when(F.col("m").startswith("Morgen") | F.col("m").startswith("MORGEN"), none).otherwise(F.array(day_of(base(DAY_WORDS)))))
+            .when(F.col("kind") == "wd", weekdays))
+    for k, _ in WEEK_PATTERNS:
+        days = days.when(F.col("kind") == f"week{k}", week(k))
+    return hits.select(key, F.explode(days).alias("d")).select(key, "d.start", "d.end").filter("start is not null").distinct()
