@@ -28,11 +28,11 @@ def lines(n, seed, rate, questions):
 
 
 @pytest.mark.parametrize("shadows, verdicts", [
-    (lines(300, 1, 1.0, "q"), lines(300, 2, 1.0, "q")),  # one question that logs every second
-    (lines(300, 3, 0.02, "pq"), lines(250, 4, 0.02, "pq")),
-    (lines(60, 5, 4.0, "pqr"), lines(15, 6, 1.0, "pqr")),  # many want few
-    ([("q", i, i) for i in range(4000)], [("q", 5000 + i, i) for i in range(4000)]),
-    ([("q", i, 0) for i in range(9)], [("q", 5000 + i, i) for i in range(6)]),
+    (lines(700, 1, 1.0, "q"), lines(700, 2, 1.0, "q")),  # one question that logs every second
+    (lines(600, 3, 0.02, "pq"), lines(500, 4, 0.02, "pq")),
+    (lines(300, 5, 4.0, "pqr"), lines(60, 6, 1.0, "pqr")),  # many want few
+    ([("q", i, i) for i in range(900)], [("q", 5000 + i, i) for i in range(900)]),
+    ([("q", i, 0) for i in range(40)], [("q", 5000 + i, i) for i in range(30)]),
     ([], [("q", 1, 1)]), ([("q", 1, 1)], []),
 ])
 def test_pairs_equal_taking_turns(spark, shadows, verdicts):
