@@ -201,6 +201,16 @@ def rich_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(q, "pool_id")
 
 
+VOICES = ("The Ministry ", "the  ministry", "a spokesman", None, "officials", "")
+
+
+def reported_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pool rows with the text they are clustered on and the voice they quote; some have neither."""
+    k, e, u = F.col("k"), F.col("row_ix"), F.col("user_id")
+    return pool_rows(spark, sf_dir).withColumns({
+        "report_text": F.when(k % 13 != 0, F.concat(_pick(CLAIM_TEXTS, e), F.lit(" "), _pick(QUOTES, u))), "attributed_to": _pick(VOICES, k)})
+
+
 def _sql_list(values) -> str:
     return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
 
@@ -254,6 +264,9 @@ SQL: dict[str, str] = {
                k, user_id, event_type
         FROM (SELECT *, CASE WHEN k % 17 <> 0 THEN CAST(ts AS DATE) - (k % 28) END AS pub
               FROM (SELECT *, CAST(props->>'$.k' AS INTEGER) AS k FROM events))) r JOIN pools p USING (pool_id)""",
+    "reported_rows": f"""
+      SELECT *, CASE WHEN k % 13 <> 0 THEN {_sql_pick(CLAIM_TEXTS, 'row_ix')} || ' ' || {_sql_pick(QUOTES, 'user_id')} END AS report_text,
+             {_sql_pick(VOICES, 'k')} AS attributed_to FROM pool_rows""",
     "claims": """
       SELECT event_id AS claim_ix, event_id // 40 AS market_id, 'u' || (user_id % 25) AS source_id,
              greatest(-1.0, least(1.0, (value - 50) / 50)) AS stance,
