@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from presage.functions import text as X, web as W
-from presage.operators import guards as G
+from presage.operators import guards as G, search as SE
 from presage.plans.registry import Registry
 from presage.session import table
 
@@ -200,22 +200,38 @@ def located(quotes, docs):
     return pairs.join(docs, "doc_id").withColumn("at", F.instr("text", F.col("quote")) - 1).filter("at >= 0").select("item_id", "doc_id", "at")
 
 
-@Q.add("article_scan", r"""
-SELECT doc_id, source FROM documents WHERE n_chars >= 500 AND NOT regexp_matches(lower(substr(text, 1, 120)), 'access denied|subscribe to|are you a robot|page not found') AND doc_id % 31 >= 5""")
+def dated_articles(spark, sf):
+    """Pages as stored articles: body, host, registered domain, and the day of the order of the same number as stored date (none without it)."""
+    stored = table(spark, sf, "orders").select(F.col("o_orderkey").alias("page_id"), F.to_date("o_orderdate").alias("published"))
+    host = W.host(F.col("url"))
+    return table(spark, sf, "pages").select("page_id", "url", host.alias("host"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"),
+                                            X.squash_spaces(W.page_text(F.col("html"))).alias("body")).join(stored, "page_id", "left")
+
+
+_DATED = rf"""art AS ({Q.sql["page_articles"]}),
+dated AS (SELECT p.page_id, p.url, a.host, regexp_extract(a.host, '([^.]+\.[^.]+)$', 1) AS domain, a.body, CAST(o.o_orderdate AS DATE) AS published
+  FROM pages p JOIN art a USING (page_id) LEFT JOIN orders o ON o.o_orderkey = p.page_id)"""
+
+
+@Q.add("article_scan", f"""
+WITH {_DATED} SELECT page_id, host, published FROM dated WHERE length(body) >= 500 AND NOT contains(lower(url), 'liveblog')
+  AND NOT regexp_matches(lower(substr(body, 1, 120)), '{'|'.join(W.STUB_TITLES)}') AND coalesce(published BETWEEN DATE '1993-07-01' AND DATE '1997-06-30', true)""")
 def article_scan(spark, sf):
-    """Long enough, no stub page, and dated inside the window (undated rows would pass)."""
-    stub = F.lower(F.substring("text", 1, 120)).rlike("access denied|subscribe to|are you a robot|page not found")
-    day = F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 31).cast("int"))
-    window = F.coalesce(day.between("2024-01-06", "2024-01-31"), F.lit(True))
-    return table(spark, sf, "documents").filter((F.col("n_chars") >= 500) & ~stub & window).select("doc_id", "source")
+    """Stored articles of a window: long enough, no liveblog, no stub page; undated ones pass."""
+    return SE.article_scan(dated_articles(spark, sf), "body", "url", "published", "1993-07-01", "1997-06-30").select("page_id", "host", "published")
 
 
-@Q.add("entity_search", r"""
-SELECT source, doc_id, rank FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS rank FROM documents WHERE lang IN ('en', 'de') AND (regexp_matches(text, '(?i)there') OR regexp_matches(text, '(?i)über'))) WHERE rank <= 20""")
-def entity_search(spark, sf):
-    """Newest hits per outlet for any of several terms, a capped report."""
-    from presage.operators.skew import with_rank
+ENTITY_QUERY = "Will Eriner or Anon Tion win? site:news.example.org AND That"
+
 
-    pats = F.array(F.lit("(?i)there"), F.lit("(?i)über"))
-    hits = table(spark, sf, "documents").filter(F.col("lang").isin("en", "de")).filter(F.exists(pats, lambda p: F.rlike(F.col("text"), p))).select("source", "doc_id")
-    return with_rank(hits, ["source"], [-F.floor(F.col("doc_id") / 1_000_000)], [F.desc("doc_id")], "rank").filter("rank <= 20")
+@Q.add("entity_search", f"""
+WITH {_DATED}, hits AS (SELECT page_id, url, domain, published FROM dated
+  WHERE published BETWEEN DATE '1993-07-01' AND DATE '1997-06-30' AND domain IN ('example.com', 'example.net') AND url <> ''
+    AND len(list_filter(['will eriner', 'anon tion', 'will', 'eriner', 'anon', 'tion', 'that'], lambda t: contains(lower(body), t) OR contains(lower(url), t))) > 0
+  ORDER BY published DESC, page_id LIMIT 100)
+SELECT * FROM (SELECT arg_min(page_id, (-epoch(published), page_id)) AS page_id, url, arg_min(domain, (-epoch(published), page_id)) AS domain, max(published) AS published FROM hits GROUP BY url)
+ORDER BY published DESC, page_id LIMIT 25""")
+def entity_search(spark, sf):
+    """Newest articles of two outlets and a window that name an entity of a question."""
+    return SE.entity_search(dated_articles(spark, sf), ENTITY_QUERY, ["body", "url"], "page_id", "url", "published", "1993-07-01", "1997-06-30",
+                            "domain", ["https://www.example.com/news", "Example.net"], limit=25).select("page_id", "url", "domain", "published")
