@@ -11,6 +11,7 @@ edge. Windows of branching edges are compared one by one.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ from presage.session import cut_lineage
 
 SLICE_BYTES = 4 << 20
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+READ = ["doc_id", "text_key", "start", "one", "two", "edge", "digest"]
 EDGES = "edge long, content long, next_edge long, gap int, doc_id long, text_key long, place int, before int, until int"
 
 
@@ -107,45 +109,70 @@ def edges_of(docs: DataFrame, window: int, k: int) -> DataFrame:
 
 
 def paths_of(nodes: DataFrame, window: int) -> DataFrame:
-    """Compacts non-branching edges: head edge, source document, and the words a path's windows cover, from the head's place on.
+    """Compacts non-branching edges: head edge, source document and text, the words a path's windows cover from the head's place on, and in the source.
 
-    ``nodes``: edge, n (occurrences), source (smallest doc_id), place (first in
-    the source), before, until, next_edge, gap (null unless all occurrences agree).
+    ``nodes``: edge, n (occurrences), source (smallest doc_id), source_key (its
+    text), place (first there), before, until, next_edge, gap (null unless all
+    occurrences agree).
     """
     after = nodes.select(F.col("edge").alias("edge2"), F.col("n").alias("n2"))
     held = nodes.filter("next_edge is not null").join(after, (F.col("next_edge") == F.col("edge2")) & (F.col("n") == F.col("n2")))
     inner = held.select(F.col("edge2").alias("edge"), F.lit(True).alias("inner"))
     marked = nodes.join(inner.hint("merge"), "edge", "left")
-    in_source = Window.partitionBy("source").orderBy("place")
+    in_source = Window.partitionBy("source", "source_key").orderBy("place")
     numbered = marked.withColumn("path", F.sum(F.when(F.col("inner"), 0).otherwise(1)).over(in_source))
-    ends = numbered.groupBy("source", "path").agg(
+    ends = numbered.groupBy("source", "source_key", "path").agg(
         F.min("place").alias("start"), F.max(F.when(F.col("inner").isNull(), F.col("edge"))).alias("edge"),
         F.max(F.when(F.col("inner").isNull(), F.col("before"))).alias("before"), F.max(F.col("place") - F.col("until")).alias("last"))
-    return ends.select("edge", "source", (-F.col("before")).alias("from"), (F.col("last") - F.col("start") + window).alias("to"))
+    return ends.select(
+        "edge", "source", "source_key", (-F.col("before")).alias("from"), (F.col("last") - F.col("start") + window).alias("to"),
+        (F.col("start") - F.col("before")).alias("first"), (F.col("last") + window).alias("last"))
 
 
-def windows_of(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """Two hashes of each wanted window: doc_id, text_key, start, one, two. ``wanted``: doc_id, text_key, runs (first and last start)."""
+def read_again(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """Digests of words at given places, of the words themselves, joined by one space.
+
+    ``wanted``: doc_id, text_key, runs of (edge, first, last). Without an edge
+    every window from start first to start last gives a row: doc_id, text_key,
+    start, and two halves of 128 bits of SHA-256. With an edge the words first to
+    last (exclusive) give one: edge and digest, their whole SHA-256.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "text", SLICE_BYTES):
-            _, counts, one, two = slice_hashes(b.column("text"))
+            words, counts = words_of(strings(b.column("text")))
             starts = np.cumsum(counts) - counts
+            words = words.cast(pa.binary()).to_pylist()
+            at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+            text = memoryview(b" ".join(words))
+            del words
+            digest = lambda i, j: hashlib.sha256(text[i:j - 1]).digest()
             runs = b.column("runs")
-            doc = np.repeat(np.arange(len(counts)), np.diff(runs.offsets.to_numpy()))
+            owner = np.repeat(np.arange(len(counts)), np.diff(runs.offsets.to_numpy()))
             flat = runs.flatten()
-            first, last = (flat.field(x).to_numpy().astype(np.int64) for x in ("first", "last"))
-            at = ranges(first + starts[doc], last - first + 1)
-            doc = np.repeat(doc, last - first + 1)
+            first, last = (flat.field(x).to_numpy().astype(np.int64) + starts[owner] for x in ("first", "last"))
+            whole = flat.field("edge").is_valid().to_numpy(zero_copy_only=False)
+            place = ranges(first[~whole], (last - first + 1)[~whole])
+            doc = np.repeat(owner[~whole], (last - first + 1)[~whole])
+            halves = np.frombuffer(b"".join([digest(i, j)[:16] for i, j in zip(at[place].tolist(), at[place + window].tolist())]), np.int64).reshape(-1, 2)
+            none = lambda n, t: pa.nulls(n, t)
+            yield pa.RecordBatch.from_arrays([
+                b.column("doc_id").take(pa.array(doc)), b.column("text_key").take(pa.array(doc)), pa.array((place - starts[doc]).astype(np.int32)),
+                pa.array(halves[:, 0]), pa.array(halves[:, 1]), none(len(doc), pa.int64()), none(len(doc), pa.binary())], READ)
+            own, n = owner[whole], int(whole.sum())
             yield pa.RecordBatch.from_arrays([
-                b.column("doc_id").take(pa.array(doc)), b.column("text_key").take(pa.array(doc)), pa.array((at - starts[doc]).astype(np.int32)),
-                pa.array(one.of(at, at + window).view(np.int64)), pa.array(two.of(at, at + window).view(np.int64))], ["doc_id", "text_key", "start", "one", "two"])
+                b.column("doc_id").take(pa.array(own)), b.column("text_key").take(pa.array(own)), none(n, pa.int32()), none(n, pa.int64()), none(n, pa.int64()),
+                flat.field("edge").filter(pa.array(whole)), pa.array([digest(i, j) for i, j in zip(at[first[whole]].tolist(), at[last[whole]].tolist())], pa.binary())], READ)
 
     return docs.join(wanted.hint("merge"), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "runs").mapInArrow(
-        run, "doc_id long, text_key long, start int, one long, two long")
+        run, "doc_id long, text_key long, start int, one long, two long, edge long, digest binary")
 
 
 def repeated_spans(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """doc_id, text_key, from, to: word spans that windows also found in a smaller doc_id cover; spans may overlap."""
+    """doc_id, text_key, from, to, digest: word spans that windows also found in a smaller doc_id cover; spans may overlap.
+
+    ``digest`` is the SHA-256 of the words at the source's coordinates; null where
+    it has been compared already.
+    """
     edges = cut_lineage(edges_of(docs, window, k))
     agreed = lambda c: F.when(F.min(c) == F.max(c), F.min(c))
     shared = edges.groupBy("edge").agg(
@@ -153,17 +180,24 @@ def repeated_spans(docs: DataFrame, window: int, k: int) -> DataFrame:
         agreed("next_edge").alias("next_edge"), agreed("gap").alias("gap")).filter("source < other").drop("other")
     shared = cut_lineage(shared)
     occurs = cut_lineage(edges.select("edge", "doc_id", "text_key", "place", "before", "until").join(shared.select("edge", "source", "branches").hint("merge"), "edge"))
-    plain = occurs.filter("not branches and doc_id = source").groupBy("edge").agg(F.min("place").alias("place"), F.min("before").alias("before"), F.min("until").alias("until"))
+    first = F.min(F.struct("text_key", "place", "before", "until"))
+    plain = occurs.filter("not branches and doc_id = source").groupBy("edge").agg(first.alias("at")).select(
+        "edge", F.col("at.text_key").alias("source_key"), "at.place", "at.before", "at.until")
     nodes = cut_lineage(plain.join(shared.filter("not branches").select("edge", "n", "source", F.when(F.col("gap") > 0, F.col("next_edge")).alias("next_edge")), "edge"))
     heads = cut_lineage(paths_of(nodes, window))
-    sure = occurs.filter("not branches and doc_id > source").select("edge", "doc_id", "text_key", "place").join(heads.hint("merge"), "edge").select(
-        "doc_id", "text_key", (F.col("place") + F.col("from")).alias("from"), (F.col("place") + F.col("to")).alias("to"))
-    wanted = occurs.filter("branches").groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct((F.col("place") - F.col("before")).alias("first"), (F.col("place") - F.col("until")).alias("last"))).alias("runs"))
-    single = cut_lineage(windows_of(docs, wanted, window))
+    branching = occurs.filter("branches").select(
+        "doc_id", "text_key", F.lit(None).cast("long").alias("edge"), (F.col("place") - F.col("before")).alias("first"), (F.col("place") - F.col("until")).alias("last"))
+    sources = heads.select(F.col("source").alias("doc_id"), F.col("source_key").alias("text_key"), "edge", "first", "last")
+    wanted = branching.unionByName(sources).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("edge", "first", "last")).alias("runs"))
+    read = cut_lineage(read_again(docs, wanted, window))
+    digests = read.filter("edge is not null").groupBy("edge").agg(F.min("digest").alias("digest"))
+    sure = occurs.filter("not branches and doc_id > source").select("edge", "doc_id", "text_key", "place").join(
+        heads.select("edge", "from", "to").join(digests.hint("merge"), "edge").hint("merge"), "edge").select(
+        "doc_id", "text_key", (F.col("place") + F.col("from")).alias("from"), (F.col("place") + F.col("to")).alias("to"), "digest")
+    single = read.filter("edge is null")
     firsts = cut_lineage(single.groupBy("one", "two").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("other")).filter("source < other").drop("other"))
     found = single.join(firsts.hint("merge"), ["one", "two"]).filter("doc_id > source").select(
-        "doc_id", "text_key", F.col("start").alias("from"), (F.col("start") + window).alias("to"))
+        "doc_id", "text_key", F.col("start").alias("from"), (F.col("start") + window).alias("to"), F.lit(None).cast("binary").alias("digest"))
     return sure.unionByName(found)
 
 
@@ -174,11 +208,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, k: int = 10, id_col: str =
     starts in a document with a smaller doc_id; judged on the input. Words are
     runs of anything but 0x20 and 0x09-0x0D, unchanged. Null text: no words.
     A row with a null doc_id takes no part and keeps all its words. Rows with
-    one doc_id never remove each other's words. An empty table: no rows.
+    one doc_id never remove each other's words. An empty table: no rows. A span
+    whose words are not its source's (hashes that met by chance) is not removed.
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text"))
-    spans = repeated_spans(rows, window, k).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(F.col("from").cast("long").alias("start"), F.col("to").cast("long").alias("stop"))).alias("found"))
+    spans = repeated_spans(rows, window, k).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(F.col("from").cast("long").alias("start"), F.col("to").cast("long").alias("stop"), "digest")).alias("found"))
     named = spans.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "found")
     met = rows.join(named.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("text_key") == F.col("t")), "left").select("doc_id", "text", "found")
 
@@ -187,7 +222,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, k: int = 10, id_col: str =
             counts, kept, gone = [], [], []
             for text, found in zip(b.column("text").cast(pa.binary()), b.column("found")):
                 words = text.as_buffer().to_pybytes().split() if text.is_valid else []
-                merged = merge(found.values) if found.is_valid else []
+                merged = merge(verified(words, found.values)) if found.is_valid else []
                 left, at = [], 0
                 for start, stop in merged:
                     left += words[at:start]
@@ -201,10 +236,16 @@ def remove_repeats(docs: DataFrame, window: int = 50, k: int = 10, id_col: str =
     return met.mapInArrow(run, "doc_id long, n_words long, spans array<struct<start: long, stop: long>>, kept_text string")
 
 
-def merge(found: pa.StructArray) -> list[tuple[int, int]]:
+def verified(words: list[bytes], found: pa.StructArray) -> list[tuple[int, int]]:
+    """Spans (start, stop) whose words have the digest of their source's words; those without one were compared before."""
+    spans = zip(found.field("start").to_pylist(), found.field("stop").to_pylist(), found.field("digest").to_pylist())
+    return [(a, b) for a, b, digest in spans if digest is None or hashlib.sha256(b" ".join(words[a:b])).digest() == digest]
+
+
+def merge(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Sorted spans with overlapping and touching ones joined."""
     out: list[list[int]] = []
-    for start, stop in sorted(zip(found.field("start").to_pylist(), found.field("stop").to_pylist())):
+    for start, stop in sorted(found):
         if out and start <= out[-1][1]:
             out[-1][1] = max(out[-1][1], stop)
         else:

@@ -1,10 +1,12 @@
 """Operators against plain Python, on odd rows: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
+import hashlib
 import random
 
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,6 +253,21 @@ def test_token_counts(docs, none, rows):
     assert token_counts.count_tokens(none, path).count() == 0
 
 
+def test_substrings_verified(spark):
+    words = [b"w%d" % i for i in range(20)]
+    sha = lambda a, b: hashlib.sha256(b" ".join(words[a:b])).digest()
+    found = pa.array([{"start": 2, "stop": 9, "digest": sha(2, 9)}, {"start": 10, "stop": 15, "digest": sha(9, 14)}, {"start": 16, "stop": 18, "digest": None}],
+                     pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("digest", pa.binary())]))
+    assert substrings.verified(words, found) == [(2, 9), (16, 18)]
+    # one doc_id with two texts: places of both must not mix in a path
+    rng = np.random.default_rng(4)
+    run = lambda n: " ".join(f"x{i}" for i in rng.integers(0, 5000, n))
+    a, b = run(300), run(300)
+    rows = [(1, a), (1, run(7) + " " + b), (2, run(3) + " " + a + " " + run(60)), (3, b + " " + run(20)), (4, run(100))]
+    got = queries_like_op7(substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [(d, gone) for d, _, gone, _ in got] == [(1, 0), (1, 0), (2, 300), (3, 300), (4, 0)]
+
+
 def test_pages(spark):
     filler = "Some longer text of an article that goes on for a good while, as such texts do."
     page = "<html><head><title>T</title><script>var t='</p>'</script></head><body><nav><ul><li><a href=x>Home</a></li></ul></nav><article><h1>Title {i}</h1><p>A &amp; b&nbsp;c  d<br>e. " + filler + "<p><b>{i} " + filler + "</article><footer>&copy; me</footer></body></html>"
