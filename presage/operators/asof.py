@@ -93,6 +93,18 @@ def first_difference(pred: DataFrame, keys: list[str], order: str, model: str, a
         F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("_dm") - F.col("_da"), 2)).alias("mse_model"), F.avg(F.pow("_da", F.lit(2))).alias("mse_zero"))
 
 
+def other_half_lines(pairs: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Each pair (x, y) predicted from x by the line through the other half of its group's days: ``half``, ``model``.
+
+    The halves meet in the middle of the group's range of days. No line (null) where
+    the other half's x does not vary.
+    """
+    ends = pairs.groupBy(*keys).agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
+    cut = pairs.join(ends, keys).withColumn("half", (2 * F.datediff(order, "_first") > F.datediff("_last", "_first")).cast("int")).drop("_first", "_last")
+    lines = cut.groupBy(*keys, (1 - F.col("half")).alias("half")).agg(F.regr_slope("y", "x").alias("_slope"), F.regr_intercept("y", "x").alias("_base"))
+    return cut.join(lines, [*keys, "half"], "left").withColumn("model", F.col("_base") + F.col("_slope") * F.col("x")).drop("_slope", "_base")
+
+
 def coverage_dates(prices: DataFrame, share: float) -> DataFrame:
     """Dates on which at least ``share`` of all series have started."""
     starts = prices.groupBy("series_id").agg(F.min("date").alias("date")).groupBy("date").agg(F.count(F.lit(1)).alias("_starts"))

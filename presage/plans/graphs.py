@@ -53,6 +53,23 @@ def blended_edges(spark, sf):
     return e.select("source", "target", p.alias("py"), lo.alias("py_lo"), hi.alias("py_hi"))
 
 
+@Q.add("first_differences", with_views("prices", """
+, mm AS (SELECT source, target, min(date) AS a, max(date) AS z FROM pairs GROUP BY 1, 2),
+hv AS (SELECT pairs.*, (2 * (date - a) > z - a)::INT AS half FROM pairs JOIN mm USING (source, target)),
+ln AS (SELECT source, target, 1 - half AS half, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM hv GROUP BY 1, 2, half),
+pr AS (SELECT hv.*, i + s * x AS model FROM hv LEFT JOIN ln USING (source, target, half)),
+df AS (SELECT source, target, half, model - lag(model) OVER w AS dm, y - lag(y) OVER w AS da FROM pr WINDOW w AS (PARTITION BY source, target, half ORDER BY date))
+SELECT source, target, half, count(*) AS n, round(avg((dm - da) * (dm - da)), 9) AS mse_model, round(avg(da * da), 9) AS mse_zero FROM df WHERE da IS NOT NULL GROUP BY 1, 2, 3""", EDGE_SQL + """,
+pairs AS (SELECT source, target, a.date, a.probability AS x, b.probability AS y FROM edges e JOIN prices a ON a.series_id = source JOIN prices b ON b.series_id = target AND a.date = b.date)"""))
+def first_differences(spark, sf):
+    """Day-to-day changes of an edge's child told from its parent by the line of the other half, against no change.
+
+    A series has one row per calendar day, which bounds its window."""
+    lines = AS.other_half_lines(AS.align(fx.prices(spark, sf), edges(spark)), ["source", "target"], "date")
+    d = AS.first_difference(lines, ["source", "target", "half"], "date", "model", "y")
+    return d.select("source", "target", "half", "n", F.round("mse_model", 9).alias("mse_model"), F.round("mse_zero", 9).alias("mse_zero"))
+
+
 def observations(spark, sf):
     """Root prices on every fourteenth date: one scenario per date."""
     pr = fx.prices(spark, sf)
