@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from presage.functions.web import SLUG_SMALL_WORDS, slug_title, title_slug
 from presage.operators import pooling as PL, reports as R, rules as RU, scoring as SC
 from presage.operators.skew import with_rank
 from presage.plans.registry import Registry
@@ -138,6 +139,21 @@ def same_slug(spark, sf):
     return R.best_slug(c.join(wanted, "p_brand"), "p_brand", "slug", "wanted", "p_partkey")
 
 
+@Q.add("title_slugs", rf"""
+WITH t AS (SELECT p_partkey, 'Prices of the ' || p_name || ': ' || p_brand || ' & co., ' || p_type || ' - 3rd' AS title FROM part),
+s AS (SELECT *, regexp_replace(regexp_replace(trim(regexp_replace(lower(title), '[^a-z0-9\s-]', '', 'g')), '\s+', '-', 'g'), '-+', '-', 'g') AS slug FROM t),
+u AS (SELECT *, 'https://www.example.com/news/' || CASE WHEN p_partkey % 2 = 0 THEN p_partkey || '-' ELSE '' END || slug || CASE WHEN p_partkey % 3 = 0 THEN '/' ELSE '' END || '?ref=a/b' AS url FROM s)
+SELECT p_partkey, slug, url, array_to_string(list_transform(string_split(slug, '-'), lambda w: CASE WHEN w IN ({', '.join(f"'{w}'" for w in SLUG_SMALL_WORDS)}) THEN w ELSE upper(w[1]) || w[2:] END), ' ') AS headline FROM u""")
+def title_slugs(spark, sf):
+    """Addresses built from titles, and titles read back from addresses."""
+    key = F.col("p_partkey")
+    title = F.concat(F.lit("Prices of the "), "p_name", F.lit(": "), "p_brand", F.lit(" & co., "), "p_type", F.lit(" - 3rd"))
+    slug = table(spark, sf, "part").select(key, title_slug(title).alias("slug"))
+    number, end = F.when(key % 2 == 0, F.concat(key.cast("string"), F.lit("-"))).otherwise(""), F.when(key % 3 == 0, "/").otherwise("")
+    made = slug.withColumn("url", F.concat(F.lit("https://www.example.com/news/"), number, "slug", end, F.lit("?ref=a/b")))
+    return made.withColumn("headline", slug_title(F.col("url")))
+
+
 _ARCHIVE_HOST = r"regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)), '^www\.', '')"
 
 
