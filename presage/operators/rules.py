@@ -17,7 +17,7 @@ SHORT_CRITERIA = 35
 HARD_THRESHOLD = r"(?i)\d[\d,.]*\s*%|\bby\b.*\d{4}\b|\$\d|\bat least\b\s*\d|\bmore than\b\s*\d"
 BOUND_VERB = r"(?:topp(?:ed|ing)|breach(?:ed|ing)|cross(?:ed|ing)|exceed(?:ed|ing)|surpass(?:ed|ing)|pass(?:ed|ing))"
 BOUND_NUMBER = r"\s+(?:about\s+|around\s+|roughly\s+)?[$€£]?\s*(\d[\d,]*(?:\.\d+)?)\s*(thousand|million|billion|trillion|k|m|bn|b)?\b"
-BOUND_NEGATION = r"(?:\bnot\b|n't\b|\bnever\b|\bfail(?:ed|s)?\s+to\b|\bwithout\b|\bshort of\b)[^.;]{0,25}?"
+BOUND_NEGATION = r"(?:\bnot\b|n't\b|\bnever\b|\bfail(?:ed|s)?\s+to\b|\bwithout\b|\bshort of\b)[^.;]{0,25}$"
 SCALE = {"thousand": 1e3, "k": 1e3, "million": 1e6, "m": 1e6, "billion": 1e9, "bn": 1e9, "b": 1e9, "trillion": 1e12}
 STANCE_VALUES = (-1.0, -0.7, -0.3, 0.0, 0.3, 0.7, 1.0)
 QUERY_STOP_WORDS = (
@@ -130,13 +130,22 @@ def score_gate(best: Column, threshold: float) -> Column:
 def asserts_lower_bound(quote: Column, value: Column) -> Column:
     """Whether a verb of passing a bound stands right before this number, not negated.
 
-    Negated verbs are taken out of the quote first; what is left counts."""
-    positive = F.regexp_replace(quote, f"(?i)({BOUND_NEGATION}){BOUND_VERB}", "$1")
-    pattern = F.lit(f"(?i){BOUND_VERB}{BOUND_NUMBER}")
+    Each verb with its number is judged by the words in front of it."""
+    found = f"(?i){BOUND_VERB}{BOUND_NUMBER}"
     scale = F.create_map(*[F.lit(x) for pair in SCALE.items() for x in pair])
-    numbers = F.zip_with(F.regexp_extract_all(positive, pattern, F.lit(1)), F.regexp_extract_all(positive, pattern, F.lit(2)),
-                         lambda n, s: F.replace(n, F.lit(",")).cast("double") * F.coalesce(F.try_element_at(scale, F.lower(s)), F.lit(1.0)))
-    return F.coalesce(F.exists(numbers, lambda n: F.abs(n - value) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(value))), F.lit(False))
+    marked = F.regexp_replace(F.translate(quote, "\x01", " "), found, "\x01$0")
+    near = lambda n: F.abs(n - value) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(value))
+
+    def asserted(pieces: Column) -> Column:
+        def says(piece: Column, i: Column) -> Column:
+            number = F.replace(F.regexp_extract(piece, found, 1), F.lit(",")).cast("double")
+            unit = F.coalesce(F.try_element_at(scale, F.lower(F.regexp_extract(piece, found, 2))), F.lit(1.0))
+            before = F.array_join(F.slice(pieces, F.lit(1), i + 1), "")
+            return near(number * unit) & ~F.regexp_like(before, F.lit(f"(?i){BOUND_NEGATION}"))
+
+        return F.exists(F.transform(F.slice(pieces, 2, F.size(pieces)), says), lambda x: x)
+
+    return F.coalesce(let(F.split(marked, "\x01"), asserted), F.lit(False))
 
 
 def comparator(stated: Column, quote: Column, value: Column) -> Column:

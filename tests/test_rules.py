@@ -51,7 +51,8 @@ def test_sentences_and_quotes(spark):
 
 
 def test_bound_verbs(spark):
-    cases = [("Prices topped 90,000 yuan", 90000.0, ">"), ("It failed to top, never passing 5 million", 5e6, "="), ("reached 7", 7.0, "="), ("crossed about $1.5bn today", 1.5e9, ">"), ("It did not. Later exceeding 3", 3.0, ">"), (None, 1.0, "=")]
+    cases = [("Prices topped 90,000 yuan", 90000.0, ">"), ("It failed to top, never passing 5 million", 5e6, "="), ("reached 7", 7.0, "="), ("crossed about $1.5bn today", 1.5e9, ">"), ("It did not. Later exceeding 3", 3.0, ">"),
+             ("not topping or breaching 5,000", 5e3, "="), ("never passing 4, it later topped a record, breached 4", 4.0, ">"), ("topped 3 and not exceeding 4", 3.0, ">"), ("topped 3 and not exceeding 4", 4.0, "="), ("", 1.0, "="), (None, 1.0, "=")]
     rows = spark.createDataFrame(cases, "q string, v double, want string")
     for r in rows.select("*", R.comparator(F.lit("="), F.col("q"), F.col("v")).alias("got")).collect():
         assert r.got == r.want, r.q
