@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from math import inf
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from presage.operators.skew import fork
@@ -42,35 +46,87 @@ def flag_status(flags: DataFrame, counts: DataFrame) -> DataFrame:
         F.coalesce("n", F.lit(0)) > 0, "PASS").otherwise("SILENT").alias("status"))
 
 
+BLOCK_ROWS = 20_000
+
+
+def _take_turns(shadows: list[tuple], verdicts: list[tuple], seconds: float) -> list[tuple]:
+    """(shadow id, verdict id, verdict time): each (time, id) of the shadows in order takes the nearest verdict left within the window."""
+    queues: dict = {}
+    for t, i in sorted(verdicts, reverse=True):
+        queues.setdefault(t, []).append(i)  # the smallest id of a time is last, and goes first
+    times = sorted(queues)
+    # nearest time with verdicts left, at or below a place and at or above it: paths are halved as they are walked
+    down, up, out = list(range(len(times) + 1)), list(range(len(times) + 1)), []
+
+    def root(to: list[int], i: int) -> int:
+        while to[i] != i:
+            to[i] = to[to[i]]
+            i = to[i]
+        return i
+
+    for t, i in sorted(shadows):
+        at = bisect_right(times, t)
+        low, high = root(down, at) - 1, root(up, at)
+        far = [t - times[low] if low >= 0 else inf, times[high] - t if high < len(times) else inf]
+        if min(far) > seconds:
+            continue
+        k = low if far[0] <= far[1] else high
+        out.append((i, queues[times[k]].pop(), times[k]))
+        if not queues[times[k]]:
+            down[k + 1], up[k] = k, k + 1
+    return out
+
+
 def pair_nearest(shadows: DataFrame, verdicts: DataFrame, seconds: int = 120) -> DataFrame:
     """One-to-one pairs of a question's lines: each shadow line in order takes the
     nearest free verdict within the window; leftovers of both sides stay.
 
-    Taking turns in order is the one stable matching in which every verdict
-    prefers the earlier shadow line. So all shadow lines propose at once to the
-    nearest verdict that is still open to them, a verdict holds the earliest
-    proposer, and every pair whose shadow line is later than the one held is
-    out. Rounds end when nobody is turned down. A line meets only the lines
-    within the window: its cost follows the log's rate, not its length. Equal
-    distances go to the earlier verdict; a null question or time pairs with nothing.
+    A question's time is cut into blocks of about ``BLOCK_ROWS`` lines and of
+    twenty windows at least. A block takes its turns alone but for the verdicts
+    about its start, which the block before may have taken. So all blocks are
+    settled at once as if none were taken, and those settled again whose
+    verdicts so taken have changed, until none has; what a block hands on mostly
+    stays the same. No two lines are paired up to be compared, however dense
+    the log is. Equal distances go to the earlier verdict; a null question or
+    time pairs with nothing.
     """
     s = fork(shadows.select("question", F.col("id").alias("shadow_id"), F.col("t").alias("ts")))
     v = fork(verdicts.select("question", F.col("id").alias("verdict_id"), F.col("t").alias("tv")))
-    near = F.explode(F.array(*[F.floor(F.col("ts") / seconds) + i for i in (-1, 0, 1)])).alias("_b")
-    met = s.select("question", "shadow_id", "ts", near).join(v.withColumn("_b", F.floor(F.col("tv") / seconds)), ["question", "_b"]).filter(F.abs(F.col("ts") - F.col("tv")) <= seconds)
-    turn, wish = F.struct("ts", "shadow_id"), F.struct(F.abs(F.col("ts") - F.col("tv")), F.col("tv"), F.col("verdict_id"))
-    open_ = fork(met.select("question", "shadow_id", "verdict_id", turn.alias("turn"), wish.alias("wish")))
+    lines = s.select("question", F.col("ts").alias("t"), F.col("shadow_id").alias("id"), F.lit(True).alias("asks")).unionByName(
+        v.select("question", F.col("tv").alias("t"), F.col("verdict_id").alias("id"), F.lit(False).alias("asks"))).filter("question is not null and t is not null")
+    busiest = lines.groupBy("question").agg(F.count(F.lit(1)).alias("n"), (F.max("t") - F.min("t")).alias("d")).agg(F.min(BLOCK_ROWS * F.col("d") / F.col("n"))).first()[0]
+    size = max(20 * seconds, int(busiest or 0))
+    block = F.floor(F.col("t") / size)
+    # a verdict within the window of a block's end is also within reach of the next block
+    reach = F.array_distinct(F.array(F.floor((F.col("t") - seconds) / size), block, F.floor((F.col("t") + seconds) / size)))
+    lines = fork(lines.withColumn("block", F.explode(F.when(F.col("asks"), F.array(block)).otherwise(reach))))
+    asked = fork(lines.filter("asks").select("question", "block").distinct())
+
+    def settle(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        free = rows[~rows.asks & rows.free]
+        asks = rows[rows.asks]
+        got = _take_turns(list(zip(asks.t.tolist(), asks.id.tolist())), list(zip(free.t.tolist(), free.id.tolist())), seconds)
+        return pd.DataFrame([(*key, *x) for x in got], columns=["question", "block", "shadow_id", "verdict_id", "tv"])
+
+    kinds = dict([*s.dtypes, *v.dtypes])
+    schema = f"question {kinds['question']}, block long, shadow_id {kinds['shadow_id']}, verdict_id {kinds['verdict_id']}, tv {kinds['tv']}"
+    taken = lambda pairs: pairs.filter(F.col("tv") >= (F.col("block") + 1) * size - seconds).select("question", (F.col("block") + 1).alias("block"), F.col("verdict_id").alias("id"))
+    mark = lambda rows, name: rows.groupBy("question", "block").agg(F.count(F.lit(1)).alias(f"{name}n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias(name))
+    pairs, due = s.sparkSession.createDataFrame([], schema), asked
     while True:
-        asked = open_.groupBy("question", "shadow_id").agg(F.min_by("verdict_id", "wish").alias("verdict_id"), F.first("turn").alias("turn"))
-        held = asked.groupBy("question", "verdict_id").agg(F.min("turn").alias("_held"), F.count(F.lit(1)).alias("_n"))
-        held = fork(held)
-        if held.filter("_n > 1").isEmpty():
+        gone = taken(pairs).withColumn("asks", F.lit(False)).withColumn("_gone", F.lit(True))
+        work = lines.join(due, ["question", "block"], "left_semi").join(gone, ["question", "block", "id", "asks"], "left")
+        work = work.select("question", "block", "t", "id", "asks", F.col("_gone").isNull().alias("free"))
+        again = work.groupBy("question", "block").applyInPandas(settle, schema)
+        now = fork(pairs.join(due, ["question", "block"], "left_anti").unionByName(again))
+        marks = mark(taken(pairs), "was").join(mark(taken(now), "is"), ["question", "block"], "full")
+        changed = marks.filter(~F.col("was").eqNullSafe(F.col("is")) | ~F.col("wasn").eqNullSafe(F.col("isn"))).select("question", "block")
+        pairs, due = now, fork(changed.join(asked, ["question", "block"], "left_semi"))
+        if due.isEmpty():
             break
-        still = open_.join(held, ["question", "verdict_id"], "left").filter(F.col("_held").isNull() | (F.col("turn") <= F.col("_held")))
-        open_ = fork(still.drop("_held", "_n"))
-    pairs = held.select("question", F.col("_held.shadow_id").alias("shadow_id"), "verdict_id")
-    lone_s = s.join(pairs, ["question", "shadow_id"], "left_anti").select("question", "shadow_id", F.lit(None).cast("long").alias("verdict_id"))
-    lone_v = v.join(pairs, ["question", "verdict_id"], "left_anti").select("question", F.lit(None).cast("long").alias("shadow_id"), "verdict_id")
+    pairs = pairs.select("question", "shadow_id", "verdict_id")
+    lone_s = s.join(pairs, ["question", "shadow_id"], "left_anti").select("question", "shadow_id", F.lit(None).cast(kinds["verdict_id"]).alias("verdict_id"))
+    lone_v = v.join(pairs, ["question", "verdict_id"], "left_anti").select("question", F.lit(None).cast(kinds["shadow_id"]).alias("shadow_id"), "verdict_id")
     return pairs.unionByName(lone_s).unionByName(lone_v)
 
 

@@ -130,3 +130,27 @@ def test_quantiles_behind_a_far_value(spark, monkeypatch):
             assert medians[k] == v
         else:
             assert medians[k] == 3.0
+
+
+@pytest.mark.parametrize("shadows, verdicts", [(lines(4000, 7, 0.2, "q"), lines(4000, 8, 0.2, "q")), (lines(3000, 9, 0.1, "qr"), lines(2000, 10, 0.1, "qr"))])
+def test_pairs_across_blocks(spark, monkeypatch, shadows, verdicts):
+    """Several blocks a question, whose ends hand on what they took."""
+    monkeypatch.setattr(AU, "BLOCK_ROWS", 1)
+    table = lambda rows: spark.createDataFrame(rows, "question string, id long, t long")
+    assert {(r.shadow_id, r.verdict_id) for r in AU.pair_nearest(table(shadows), table(verdicts)).collect()} == paired(shadows, verdicts)
+
+
+def test_dense_log_makes_no_pairs_of_all_lines(spark, monkeypatch):
+    """Two thousand lines of each side within one window: no step holds more rows than a few times the lines."""
+    seen, fork = [], AU.fork
+
+    def watched(rows):
+        out = fork(rows)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(AU, "fork", watched)
+    shadows, verdicts = lines(2000, 11, 40.0, "q"), lines(2000, 12, 40.0, "q")
+    table = lambda rows: spark.createDataFrame(rows, "question string, id long, t long")
+    assert {(r.shadow_id, r.verdict_id) for r in AU.pair_nearest(table(shadows), table(verdicts)).collect()} == paired(shadows, verdicts)
+    assert max(seen) <= 4 * 4000
