@@ -102,37 +102,49 @@ def market_decisions(snapshots: DataFrame, stale_hours: float = 20.0, threshold:
             state.remove()
             return
         asked, opened = state.get if state.exists else (None, False)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for r in rows.itertuples():
-            now = r.ts.timestamp()
-            usable = not r.closed and pd.notna(r.market_yes)
-            ask = bool(usable and 0.02 <= r.market_yes <= 0.98 and (asked is None or now - asked >= stale_hours * 3600))
+        # plain lists: a market has a few rows, so the cost of a frame would be most of the work
+        columns = [[b[c].to_numpy() for c in ("seq", "ts", "market_yes", "model_yes", "closed")] for b in batches]
+        rows = sorted(r for seq, ts, *rest in columns for r in zip(seq.tolist(), ts.astype("datetime64[us]").astype("int64").tolist(), *[x.tolist() for x in rest]))
+        asks, trades = [], []
+        for _, micros, market_yes, model_yes, closed in rows:
+            now = micros / 1e6
+            usable = not closed and pd.notna(market_yes)
+            ask = usable and 0.02 <= market_yes <= 0.98 and (asked is None or now - asked >= stale_hours * 3600)
             if ask:
                 asked = now
             trade = None
-            if usable and not opened and pd.notna(r.model_yes) and 0.05 <= r.market_yes <= 0.95:
-                edge = round(r.model_yes - r.market_yes, 4)
+            if usable and not opened and pd.notna(model_yes) and 0.05 <= market_yes <= 0.95:
+                edge = round(model_yes - market_yes, 4)
                 trade = "YES" if edge >= threshold else "NO" if edge <= -threshold else None
                 opened = trade is not None
-            out.append((key[0], r.seq, ask, trade))
+            asks.append(ask)
+            trades.append(trade)
         state.update((asked, opened))
-        idle_until = int(rows["ts"].max().timestamp() * 1000) + MARKET_IDLE_DAYS * 86_400_000
+        idle_until = max(r[1] for r in rows) // 1000 + MARKET_IDLE_DAYS * 86_400_000
         state.setTimeoutTimestamp(max(idle_until, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["market_id", "seq", "ask", "trade"])
+        yield pd.DataFrame({"market_id": [key[0]] * len(rows), "seq": [r[0] for r in rows], "ask": asks, "trade": trades})
 
     return snapshots.withWatermark("ts", delay).groupBy("market_id").applyInPandasWithState(step, MARKET_OUT, MARKET_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, order: str = "event_id", arrivals: int = 6) -> DataFrame:
-    """A table as a stream of files that arrive in the order of a column, one file per micro-batch."""
+    """A table as a stream of arrivals in the order of a column, one arrival per micro-batch.
+
+    An arrival has as many files as its share of the table's splits, empty ones
+    among them where rows are too few, and a micro-batch takes so many: a large
+    table comes in as many micro-batches as a small one.
+    """
     rows = table(spark, sf_dir, name)
     path = f"{checkpoint_dir(spark)}/presage-arrivals-{uuid.uuid4().hex}"
     ends = rows.agg(F.min(order), F.max(order)).first()
     low, width = (ends[0] or 0), max(1, ((ends[1] or 0) - (ends[0] or 0)) // arrivals + 1)
+    files = max(1, -(-rows.rdd.getNumPartitions() // arrivals))
     for i in range(arrivals):
-        rows.filter((F.col(order) >= low + i * width) & (F.col(order) < low + (i + 1) * width)).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part = rows.filter((F.col(order) >= low + i * width) & (F.col(order) < low + (i + 1) * width))
+        part.repartition(files).write.mode("append").parquet(path)
+        for _ in range(files * (i + 1) - len(spark.read.schema(rows.schema).parquet(path).inputFiles())):
+            rows.limit(0).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:

@@ -52,3 +52,21 @@ def test_ledger_sink_repeats_a_replayed_batch(spark, tmp_path):
     sink(mk([("b", 9), ("c", 3)]), 1)
     sink(mk([("b", 9), ("c", 3)]), 1)
     assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "led")).select("k", "v").collect()) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_a_table_of_many_splits_comes_in_as_many_batches(spark):
+    """One micro-batch an arrival, in order, though the table has more splits than arrivals."""
+    seen = []
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        stream = J.table_stream(spark, "/root/testdata/sf0.001", "events")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert spark.read.parquet("/root/testdata/sf0.001/events.parquet").count() >= 60
+
+    def write(batch, epoch):
+        seen.append(batch.agg(F.min("event_id"), F.max("event_id"), F.count("event_id")).first())
+
+    stream.writeStream.trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    assert len(seen) == 6 and sum(x[2] for x in seen) == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert all(a[1] < b[0] for a, b in zip(seen, seen[1:]))
