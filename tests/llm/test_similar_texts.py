@@ -90,3 +90,18 @@ def test_null_ids(spark):
     rows = spark.createDataFrame([(None, text), (4, text + " end"), (None, "only nulls here"), (None, "only  nulls here")], "doc_id long, text string")
     got = Counter((r["doc_id"], r["component_id"]) for r in similar_texts.near_duplicates(rows).collect())
     assert got == {(None, 4): 1, (4, 4): 1, (None, None): 2}
+
+
+def test_linked_fingerprints_propose(spark, monkeypatch):
+    """SimHash links alone find copies that no band brings together, and the whole sets decide on them."""
+    import numpy as np
+
+    from presage.llm import simhash
+
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(base[:400 - i])) for i in range(4)] + [(9, " ".join(f"v{i}" for i in range(300)))]
+    monkeypatch.setattr(similar_texts, "sketches", lambda docs, size, plain=similar_texts.sketches: plain(docs, size).withColumn("bands", similar_texts.F.array(similar_texts.F.col("set_key"))))
+    prints = [np.frombuffer(simhash.fingerprint_bytes(t.encode(), 3), ">u8")[0] for _, t in rows]
+    near = {d for (d, _), p in zip(rows, prints) if int(p ^ prints[0]).bit_count() <= 2}
+    got = found(spark, rows)
+    assert len(near) > 1 and all(got[d] == 0 for d in near) and got[9] == 9
