@@ -51,6 +51,25 @@ def _any(words) -> str:
     return "|".join(sorted((w.replace(" ", "\\s+") for w in words), key=lambda w: (-len(w), w)))
 
 
+#: One-letter forms that case-blind patterns take for a letter of the names, and that letter.
+ODD_FORMS = ("ſıİᲀᲁᲂᲃᲄᲅᲆ", "siiвдосттъ")
+EASTERN = "[\u0400-\u06ff]"
+
+
+def _latin(words) -> str:
+    """A word in Latin letters as a whole word of a lower-case text; a day's ending may stand before it."""
+    each = _any(w for w in words if w[0] < "\u0400")
+    return rf"(?<![a-z])(?=[{''.join(sorted({w[0] for w in words if w[0] < chr(0x400)}))}])(?:{each})(?![a-z])|\d(?:st|nd|rd|th)(?:{each})(?![a-z])"
+
+
+def may_hold(text: Column) -> dict[str, Column]:
+    """Plain tests of a text; each kind of date needs one of them, and costs far more than the test."""
+    low = F.lower(F.translate(text, *ODD_FORMS))
+    east = F.regexp_like(low, F.lit(EASTERN))
+    return {"_east": east, "_month": east | F.regexp_like(low, F.lit(_latin(MONTH_WORDS))), "_day": F.regexp_like(low, F.lit(_latin([*DAY_WORDS, *WEEKDAY_WORDS]))),
+            "_week": east | low.contains("week") | low.contains("woche"), "_year": east | low.contains(" of 20")}
+
+
 def date_mentions(rows: DataFrame, key: str, text: str, published: str) -> DataFrame:
     """Distinct (start, end) per text, of dates within ten years of publication.
 
@@ -73,11 +92,14 @@ def date_mentions(rows: DataFrame, key: str, text: str, published: str) -> DataF
     other = lambda words: [w for w in words if not "א" <= w[0] <= "ת"]
     prefix = f"[{HEBREW_PREFIXES}]{{0,2}}"
     free = [w for w in hebrew(WEEKDAY_WORDS) if w not in WEEKDAYS_AFTER_DAY]
-    kinds = [("md", month_first), ("dm", day_first), ("iso", iso), ("num", numeric), ("month", month_only), ("year", f"(?iu){YEAR_END}"), ("day", word(other(DAY_WORDS))), ("day", word(hebrew(DAY_WORDS), prefix)),
-             ("wd", word(other(WEEKDAY_WORDS))), ("wd", word(free, prefix)), ("wd", rf"(?<=ביום\s{{1,3}})({_any(WEEKDAYS_AFTER_DAY)}){end}"), ("wd", rf"{no_word}ב(שבת){end}"),
-             *[(f"week{k}", f"(?iu){p}") for k, p in WEEK_PATTERNS]]
-    tag = lambda kind, pat: F.transform(F.regexp_extract_all(F.col(text), F.lit(pat), F.lit(0)), lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("m")))
-    hits = rows.filter(pub.isNotNull()).select(key, pub.alias("pub"), F.col(text).alias("t"), F.explode(F.concat(*[tag(k, p) for k, p in kinds])).alias("f")).select(key, "pub", "t", "f.kind", "f.m")
+    east, day_or_east, always = F.col("_east"), F.col("_day") | F.col("_east"), F.lit(True)
+    kinds = [("md", month_first, F.col("_month")), ("dm", day_first, F.col("_month")), ("iso", iso, always), ("num", numeric, always), ("month", month_only, F.col("_month")), ("year", f"(?iu){YEAR_END}", F.col("_year")),
+             ("day", word(other(DAY_WORDS)), day_or_east), ("day", word(hebrew(DAY_WORDS), prefix), east), ("wd", word(other(WEEKDAY_WORDS)), day_or_east), ("wd", word(free, prefix), east),
+             ("wd", rf"(?<=ביום\s{{1,3}})({_any(WEEKDAYS_AFTER_DAY)}){end}", east), ("wd", rf"{no_word}ב(שבת){end}", east), *[(f"week{k}", f"(?iu){p}", F.col("_week")) for k, p in WEEK_PATTERNS]]
+    found = lambda pat, may: F.when(may, F.regexp_extract_all("t", F.lit(pat), F.lit(0))).when(F.col("t").isNotNull(), F.array().cast("array<string>"))
+    tag = lambda kind, pat, may: F.transform(found(pat, may), lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("m")))
+    tested = rows.filter(pub.isNotNull()).select(key, pub.alias("pub"), F.col(text).alias("t"), *[test.alias(name) for name, test in may_hold(F.col(text)).items()])
+    hits = tested.select(key, "pub", "t", F.explode(F.concat(*[tag(*k) for k in kinds])).alias("f")).select(key, "pub", "t", "f.kind", "f.m")
     g = lambda pat, i: F.regexp_extract("m", pat, i)
     look = lambda table, x: F.try_element_at(literal_map(table), F.regexp_replace(F.lower(x), r"\s+", " "))
     ymd = lambda y, mo, d: F.try_to_date(F.format_string("%04d-%02d-%02d", y, mo, d), "yyyy-MM-dd")

@@ -43,3 +43,15 @@ def test_every_script(spark):
 def test_no_publication_day(spark):
     rows = spark.createDataFrame([(1, "today", None)], "id int, t string, pub date")
     assert date_mentions(rows, "id", "t", "pub").count() == 0
+
+
+def test_costly_patterns_only_where_a_plain_test_allows_them(spark):
+    """What the plain tests turn down holds no date; case forms, day endings and joined words pass."""
+    from presage.functions.mentions import may_hold
+
+    texts = {"grammar and calamar seemed mayor": set(), "on 3may": {"_month"}, "5stmay": {"_month"}, "MARſ": {"_month"}, "MÄRZ 3": {"_month"}, "Auguſt 5, 2023": {"_month"}, "FRİDAY": {"_day"},
+             "last WEEK": {"_week"}, "end of 2024": {"_year"}, "5 מאי": {"_east", "_month", "_week", "_year"}, "": set()}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    tests = may_hold(F.col("t"))
+    for r in rows.select("t", *[c.alias(n) for n, c in tests.items()]).collect():
+        assert {n for n in tests if r[n]} == texts[r.t], r
