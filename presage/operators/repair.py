@@ -24,44 +24,33 @@ ALLOWED = {
 
 def kind(v: Column) -> Column:
     """OBJECT, ARRAY, STRING, ... of a VARIANT; null for a missing or null value."""
-    return F.nullif(F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0), F.lit("VOID"))
+    return F.nullif(F.substring_index(F.schema_of_variant(v), "<", 1), F.lit("VOID"))
 
 
 def part(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", "variant")
 
 
-def unwrapped(v: Column) -> Column:
-    """The inner object of a lone "properties" object; any other value as it is."""
-    alone = (kind(v) == "OBJECT") & (F.size(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))) == 1)
-    return F.when(alone & (kind(part(v, "properties")) == "OBJECT"), part(v, "properties")).otherwise(v)
+def mended(rows: DataFrame, source: str, target: str, unwrap: bool = True) -> DataFrame:
+    """``target``: the value read from JSON text inside a string, if that is an object, and the inner object of a lone "properties" object; any other value as it is."""
+    text = F.when(kind(F.col(source)) == "STRING", F.try_parse_json(F.try_variant_get(source, "$", "string")))
+    rows = rows.withColumn("_text", text).withColumn("_plain", F.when(kind(F.col("_text")) == "OBJECT", F.col("_text")).otherwise(F.col(source)))
+    if not unwrap:
+        return rows.withColumn(target, F.col("_plain")).drop("_text", "_plain")
+    alone = (kind(F.col("_plain")) == "OBJECT") & (F.size(F.map_keys(F.try_variant_get("_plain", "$", "map<string,variant>"))) == 1)
+    rows = rows.withColumn("_inner", F.when(alone, part(F.col("_plain"), "properties")))
+    return rows.withColumn(target, F.when(kind(F.col("_inner")) == "OBJECT", F.col("_inner")).otherwise(F.col("_plain"))).drop("_text", "_plain", "_inner")
 
 
-def reparsed(v: Column) -> Column:
-    """A value written as JSON text inside a string, if that text is an object; any other value as it is."""
-    inner = F.when(kind(v) == "STRING", F.try_parse_json(F.try_variant_get(v, "$", "string")))
-    return F.when(kind(inner) == "OBJECT", inner).otherwise(v)
+def word(v: Column, k: Column, allowed: Sequence[str]) -> Column:
+    """One of the allowed words, or null; ``k`` is the value's kind."""
+    text = F.when(k == "STRING", F.try_variant_get(v, "$", "string"))
+    return F.when(text.isin(*allowed), text)
 
 
-def word(v: Column, allowed: Sequence[str]) -> tuple[Column, Column]:
-    """(value, fault): one of the allowed words or null; a fault is any other value that is there."""
-    text = F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
-    good = F.coalesce(text.isin(*allowed), F.lit(False))
-    return F.when(good, text), kind(v).isNotNull() & ~good
-
-
-def number(v: Column) -> tuple[Column, Column]:
-    """(value, fault): a number, or a string that reads as one."""
-    value = F.when(~kind(v).isin("OBJECT", "ARRAY"), F.try_variant_get(v, "$", "double"))
-    return value, kind(v).isNotNull() & value.isNull()
-
-
-def confidence(v: Column) -> tuple[Column, Column]:
-    """(struct of level and trap, fault): an unknown level or trap costs the whole object."""
-    level, bad_level = word(part(v, "level"), ALLOWED["level"])
-    trap, bad_trap = word(part(v, "trap"), ALLOWED["trap"])
-    good = (F.coalesce(kind(v), F.lit("")) == "OBJECT") & level.isNotNull() & ~bad_level & ~bad_trap
-    return F.when(good, F.struct(level.alias("level"), trap.alias("trap"))), kind(v).isNotNull() & ~good
+def number(v: Column, k: Column) -> Column:
+    """A number, or a string that reads as one; else null."""
+    return F.when(~k.isin("OBJECT", "ARRAY"), F.try_variant_get(v, "$", "double"))
 
 
 def repaired_predictions(rows: DataFrame, key: str, raw: str, numbers: Sequence[str] = ("stance", "certainty"),
@@ -73,22 +62,31 @@ def repaired_predictions(rows: DataFrame, key: str, raw: str, numbers: Sequence[
     list gives none. A prediction that is no object keeps its row with the
     fault "prediction". JSON with a repeated key counts as no JSON.
     """
-    v = rows.select(key, F.try_parse_json(raw).alias("_raw")).withColumn("_v", unwrapped(reparsed(F.col("_raw"))))
-    listed = F.try_variant_get("_v", "$.predictions", "array<variant>")
-    v = v.select(key, "_raw", "_v", F.posexplode_outer(F.when(kind(part(F.col("_v"), "predictions")) == "ARRAY", listed).otherwise(
-        F.array(F.lit(None).cast("variant")))).alias("_pos", "_p"))
-    record = F.coalesce(kind(F.col("_v")), F.lit("")) == "OBJECT"
-    has_list = F.coalesce(kind(part(F.col("_v"), "predictions")), F.lit("")) == "ARRAY"
-    v = v.filter(~has_list | F.col("_pos").isNotNull()).withColumn("_q", unwrapped(reparsed(F.col("_p"))))
-    p, is_object = F.col("_q"), F.coalesce(kind(F.col("_q")), F.lit("")) == "OBJECT"
-    nested = part(p, "reader_confidence")
-    read: dict[str, tuple[Column, Column]] = {"consensus_view": word(part(F.col("_v"), "consensus_view"), ALLOWED["consensus_view"])}
-    read |= {n: number(part(p, n)) for n in numbers} | {n: word(part(p, n), ALLOWED[n]) for n in words} | {"reader_confidence": confidence(reparsed(nested))}
+    v = mended(rows.select(key, F.try_parse_json(raw).alias("_raw")), "_raw", "_v")
+    v = v.withColumn("_list", part(F.col("_v"), "predictions")).withColumns({
+        "_record": F.coalesce(kind(F.col("_v")) == "OBJECT", F.lit(False)), "_listed": F.coalesce(kind(F.col("_list")) == "ARRAY", F.lit(False))})
+    each = F.when(F.col("_listed"), F.try_variant_get("_v", "$.predictions", "array<variant>")).otherwise(F.array(F.lit(None).cast("variant")))
+    v = v.select(key, "_raw", "_v", "_record", "_listed", F.posexplode_outer(each).alias("_pos", "_p")).filter("not _listed or _pos is not null")
+    v = mended(v, "_p", "_q")
+    p, record, has_list = F.col("_q"), F.col("_record"), F.col("_listed")
+    # every value and its kind is a column before it is looked at, as each is looked at many times
+    names = [*numbers, *words]
+    v = v.withColumns({"_f_consensus_view": part(F.col("_v"), "consensus_view"), "_nested": part(p, "reader_confidence"), **{f"_f_{n}": part(p, n) for n in names}})
+    v = mended(v, "_nested", "_c", unwrap=False)
+    v = v.withColumns({f"_f_{n}": part(F.col("_c"), n) for n in ("level", "trap")})
+    v = v.withColumns({"_object": F.coalesce(kind(p) == "OBJECT", F.lit(False)), "_k_c": kind(F.col("_c")), "_k_nested": kind(F.col("_nested")),
+                       **{f"_k_{n}": kind(F.col(f"_f_{n}")) for n in ("consensus_view", "level", "trap", *names)}})
+    of = lambda n: (F.col(f"_f_{n}"), F.col(f"_k_{n}"))
+    v = v.withColumns({f"_w_{n}": word(*of(n), ALLOWED[n]) for n in ("consensus_view", "level", "trap", *words)} | {f"_w_{n}": number(*of(n)) for n in numbers})
+    fault: Callable[[str], Column] = lambda n: F.col(f"_k_{n}").isNotNull() & F.col(f"_w_{n}").isNull()
+    v = v.withColumn("_sure", F.coalesce(F.col("_k_c") == "OBJECT", F.lit(False)) & F.col("_w_level").isNotNull() & ~fault("trap"))
     named: Callable[[Mapping[str, Column]], Column] = lambda tests: F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]))
-    faults = {"record": ~record, "predictions": record & ~has_list, "prediction": has_list & ~is_object} | {n: bad for n, (_, bad) in read.items()}
+    faults = {"record": ~record, "predictions": record & ~has_list, "prediction": has_list & ~F.col("_object")}
+    faults |= {n: fault(n) for n in ("consensus_view", *names)} | {"reader_confidence": F.col("_k_c").isNotNull() & ~F.col("_sure")}
     changed: Callable[[Column, Column], Column] = lambda a, b: F.coalesce(F.to_json(a) != F.to_json(b), F.lit(False))
-    mended = {"record": record & changed(F.col("_raw"), F.col("_v")), "prediction": is_object & changed(F.col("_p"), p)}
-    mended |= {n: (kind(part(p, n)) == "STRING") & read[n][0].isNotNull() for n in numbers}
-    mended["reader_confidence"] = (kind(nested) == "STRING") & read["reader_confidence"][0].isNotNull()
-    return v.select(key, F.when(has_list, F.col("_pos")).alias("pos"), *[value.alias(n) for n, (value, _) in read.items()],
-                    named(faults).alias("faults"), named(mended).alias("mended"))
+    amended = {"record": record & changed(F.col("_raw"), F.col("_v")), "prediction": F.col("_object") & changed(F.col("_p"), p)}
+    amended |= {n: (F.col(f"_k_{n}") == "STRING") & F.col(f"_w_{n}").isNotNull() for n in numbers}
+    amended["reader_confidence"] = (F.col("_k_nested") == "STRING") & F.col("_sure")
+    confidence = F.when(F.col("_sure"), F.struct(F.col("_w_level").alias("level"), F.col("_w_trap").alias("trap")))
+    return v.select(key, F.when(has_list, F.col("_pos")).alias("pos"), F.col("_w_consensus_view").alias("consensus_view"), *[F.col(f"_w_{n}").alias(n) for n in names],
+                    confidence.alias("reader_confidence"), named(faults).alias("faults"), named(amended).alias("mended"))

@@ -94,3 +94,10 @@ def test_repaired_predictions(spark):
 
 def test_no_records(spark):
     assert R.repaired_predictions(spark.createDataFrame([], "id long, raw string"), "id", "raw").count() == 0
+
+
+def test_text_is_parsed_once_per_level(spark):
+    """Record, text in the record, in the prediction and in the nested object: each is parsed at one place of the plan, not once per field."""
+    rows = spark.range(3).selectExpr("id", "concat('{\"predictions\":[{\"stance\":', id, '}]}') AS raw")
+    plan = R.repaired_predictions(rows, "id", "raw")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parsejson") == 4
