@@ -196,3 +196,13 @@ def test_alias_matching(spark):
             ("\u05d4\u05e9\u05d9\u05de\u05e8\u05d9\u05d6 \u05d0\u05de\u05e8", "\u05e9\u05de\u05e8\u05d9\u05d6", True)]
     df = spark.createDataFrame(rows, "t string, a string, want boolean")
     assert all(r.got == r.want for r in df.select("want", X.contains_alias(X.match_key(F.col("t")), X.match_key(F.col("a"))).alias("got")).collect())
+
+
+def test_sentences_join_at_abbreviations_of_any_place(spark):
+    """A pattern sees the last eight characters only: the same joins as over the whole piece."""
+    cases = {"approx. 12 boats were seen there.": 1, "It was approx. 12 boats they saw.": 1, "The word xapprox. 12 is no short form at all.": 2,
+             "We met Prof. Miller in the old harbour.": 1, "We met a sprof. Miller in the old harbour.": 2, "Nothing came of it until Sept. 12 that year.": 1,
+             "It was said by J. Smith to the others there.": 1, "He said (Inc. is meant) that this is all.": 1, "They saw all of the boats. Then they went home.": 2}
+    rows = spark.createDataFrame(list(cases.items()), "t string, n int")
+    got = {r.t: r.s for r in rows.select("t", W.sentences(F.col("t"), 1).alias("s")).collect()}
+    assert {t: len(s) for t, s in got.items()} == cases
