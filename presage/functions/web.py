@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from presage.functions.scalars import let, literal_map
@@ -153,10 +153,12 @@ def _selects(rule: str, tag: str, classes: str) -> bool:
     return rule[1:] in classes.split() if rule.startswith(".") else rule == tag
 
 
-@F.pandas_udf(T.StringType())
-def page_text(html: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def page_text(html: pa.Array) -> pa.Array:
     """Visible text without boilerplate: that of the first selector whose first
-    element has more than 300 characters, else of the whole page; null stays null."""
+    element has more than 300 characters, else of the whole page; null stays null.
+
+    One page at a time becomes a Python string, never a whole batch."""
     def one(page: str | None) -> str | None:
         if page is None:
             return None
@@ -166,7 +168,10 @@ def page_text(html: pd.Series) -> pd.Series:
         texts = (" ".join(body.found[i]) for i in sorted(body.found))
         return next((t for t in texts if len(t) > MIN_BODY_CHARS), " ".join(body.page))
 
-    return html.map(one, na_action="ignore")
+    # a run of pages at a time, so that texts do not wait as Python strings either
+    runs = [pa.array((one(x.as_py()) for x in html[i:i + 256]), pa.string()) for i in range(0, len(html), 256)]
+    pa.default_memory_pool().release_unused()
+    return pa.concat_arrays(runs) if runs else pa.array([], pa.string())
 
 
 def is_redirector(url: Column) -> Column:

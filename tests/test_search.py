@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 
+from presage.functions import web as W
 from presage.operators import search as SE
 
 LONG = "w " * 300
@@ -34,3 +35,13 @@ def test_entity_search(spark):
     assert search(spark, [], "Norway") == []
     with pytest.raises(Exception, match="no entity terms"):
         search(spark, rows, "will it rain?")
+
+
+def test_pages_are_read_one_at_a_time(spark):
+    """As Arrow arrays, longer than one run; a null page stays null. It took whole batches as Python strings before."""
+    from pyspark.util import PythonEvalType
+
+    pages = [(i, None if i % 7 == 0 else f"<html><body><p>page {i}</p></body></html>") for i in range(600)]
+    got = spark.createDataFrame(pages, "i int, html string").coalesce(1).select("i", W.page_text("html").alias("t")).collect()
+    assert {r.i: r.t for r in got} == {i: None if h is None else f"page {i}" for i, h in pages}
+    assert W.page_text.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
