@@ -1,8 +1,9 @@
 """Pooling of signed evidence rows into one probability per question.
 
-A pool may hold a handful of rows or a third of the table, so every group-wise
-step is a partial aggregate joined back on a salted key, and the result is
-folded from (pool, source) cells. Nothing gathers a pool in one task.
+A pool may hold a handful of rows or a third of the table. Pools that one task
+may hold are dealt out whole, once, and every group-wise step is a window there.
+For larger ones it is a partial aggregate joined back on a salted key, and the
+result is folded from (pool, source) cells; nothing gathers those in one task.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from presage.functions import scalars as S
-from presage.operators.skew import attach, fork, with_rank, with_totals
+from presage.operators.skew import attach, by_size, fork, with_rank, with_totals
 
 Z95 = 1.96
 
@@ -102,30 +103,30 @@ def _spread(group: str) -> Column:
     return F.coalesce(F.col(group).cast("string"), F.concat(F.lit("\x00"), F.col("row_ix").cast("string")))
 
 
-def collapse_events(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+def collapse_events(rows: DataFrame, keys: Sequence[str], whole: bool = False) -> DataFrame:
     """Rows that report one event share the weight of the strongest of them."""
     totals = {"_mx": F.max("weight"), "_sm": F.sum("weight"), "_cnt": F.count(F.lit(1))}
-    out = with_totals(rows.withColumn("_g", _spread("event_key")), [*keys, "_g"], totals, F.col("row_ix"))
+    out = with_totals(rows.withColumn("_g", _spread("event_key")), [*keys, "_g"], totals, F.col("row_ix"), whole)
     factor = F.when((F.col("_cnt") >= 2) & (F.col("_sm") > 0), F.col("_mx") / F.col("_sm")).otherwise(1.0)
     return out.withColumn("weight", F.col("weight") * factor).drop("_g", *totals)
 
 
-def downweight_clusters(rows: DataFrame, keys: Sequence[str], exponent: float) -> DataFrame:
-    out = with_totals(rows.withColumn("_g", _spread("cluster_id")), [*keys, "_g"], {"_cnt": F.count(F.lit(1))}, F.col("row_ix"))
+def downweight_clusters(rows: DataFrame, keys: Sequence[str], exponent: float, whole: bool = False) -> DataFrame:
+    out = with_totals(rows.withColumn("_g", _spread("cluster_id")), [*keys, "_g"], {"_cnt": F.count(F.lit(1))}, F.col("row_ix"), whole)
     return out.withColumn("weight", F.col("weight") * F.pow(F.col("_cnt"), F.lit(-exponent))).drop("_g", "_cnt")
 
 
-def harmonic_discount(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+def harmonic_discount(rows: DataFrame, keys: Sequence[str], whole: bool = False) -> DataFrame:
     """1/rank inside an outlet, newest first, undated last; rows without outlet stay."""
     day = F.coalesce(-F.unix_date("published_date"), F.lit(2**31 - 1))
     ranked = with_rank(
         rows.withColumn("_src", F.coalesce("source_id", F.concat(F.lit("\x00"), F.col("row_ix").cast("string")))),
         [*keys, "_src"], [day, F.floor(F.col("row_ix") / 1_000_000)],
-        [F.desc_nulls_last("published_date"), F.col("row_ix")], "_rank")
+        [F.desc_nulls_last("published_date"), F.col("row_ix")], "_rank", whole)
     return ranked.withColumn("weight", F.col("weight") / F.col("_rank")).drop("_rank", "_src")
 
 
-def cap_sources(rows: DataFrame, keys: Sequence[str], max_share: float) -> DataFrame:
+def cap_sources(rows: DataFrame, keys: Sequence[str], max_share: float, whole: bool = False) -> DataFrame:
     """No outlet keeps more than ``max_share`` of a pool's weight.
 
     Offenders are cut to the cap and the freed weight goes to the others pro
@@ -137,15 +138,7 @@ def cap_sources(rows: DataFrame, keys: Sequence[str], max_share: float) -> DataF
         return rows
     top = int(1.0 / max_share) + 1
     keys = list(keys)
-    keyed = with_totals(rows.withColumn("_src", _spread("source_id")), [*keys, "_src"], {"_m": F.sum("weight")}, F.col("row_ix"))
-    keyed = fork(keyed)
-    mass = keyed.groupBy(*keys, "_src").agg(F.first("_m").alias("_m"), F.count(F.lit(1)).alias("_rows"))
-    pool = mass.groupBy(*keys).agg(F.sum("_m").alias("_t"), F.sum("_rows").alias("_all"), F.count(F.lit(1)).alias("_groups"), F.min("_m").alias("_least"))
-    biggest = (
-        mass.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_m"), "_src")))
-        .filter(F.col("_r") <= top)
-        .groupBy(*keys).agg(F.sort_array(F.collect_list("_m"), asc=False).alias("_top"))
-    )
+    keyed = with_totals(rows.withColumn("_src", _spread("source_id")), [*keys, "_src"], {"_m": F.sum("weight")}, F.col("row_ix"), whole)
     cap = F.col("_t") * max_share
     start = F.struct(F.lit(0).alias("k"), F.lit(1.0).alias("scale"), F.lit(False).alias("done"))
 
@@ -158,46 +151,72 @@ def cap_sources(rows: DataFrame, keys: Sequence[str], max_share: float) -> DataF
         return F.struct(F.when(stop, st["k"]).otherwise(over).alias("k"), F.when(stop, st["scale"]).otherwise(nxt).alias("scale"),
                         stop.alias("done"))
 
-    state = F.aggregate(F.sequence(F.lit(1), F.lit(top + 1)), start, round_)
-    factors = pool.join(biggest, keys).withColumn("_st", F.when(F.col("_t") > 0, state)).select(
-        *keys, "_all", cap.alias("_cap"), F.col("_st.scale").alias("_scale"),
-        F.when(F.col("_st.k") > 0, F.element_at("_top", F.greatest(F.col("_st.k"), F.lit(1)))).alias("_edge"))
+    state = F.when(F.col("_t") > 0, F.aggregate(F.sequence(F.lit(1), F.lit(top + 1)), start, round_))
+    edge = F.when(F.col("_st.k") > 0, F.element_at("_top", F.greatest(F.col("_st.k"), F.lit(1))))
     factor = F.when(F.col("_m") >= F.col("_edge"), F.col("_cap") / F.col("_m")).otherwise(F.coalesce("_scale", F.lit(1.0)))
+    if whole:
+        pool, heaviest = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.desc("_m"), "_src")
+        keyed = keyed.withColumn("_r", F.dense_rank().over(heaviest))
+        keyed = keyed.withColumn("_new", ~F.lag("_r").over(heaviest).eqNullSafe(F.col("_r")))
+        first = F.when(F.col("_new"), F.col("_m"))
+        keyed = keyed.withColumns({"_t": F.sum(first).over(pool), "_groups": F.max("_r").over(pool), "_least": F.min("_m").over(pool),
+                                   "_top": F.collect_list(F.when(F.col("_r") <= top, first)).over(pool)})
+        # the rounds are replayed in one row of a pool and handed to the others
+        keyed = keyed.withColumn("_top", F.when(F.col("_new") & (F.col("_r") == 1), F.sort_array("_top", asc=False)))
+        keyed = keyed.withColumn("_st", F.when(F.col("_top").isNotNull(), state))
+        keyed = keyed.withColumns({"_cap": cap, "_scale": F.max("_st.scale").over(pool), "_edge": F.max(edge).over(pool)})
+        return keyed.withColumn("weight", F.col("weight") * factor).drop("_src", "_m", "_r", "_new", "_t", "_groups", "_least", "_top", "_st", "_cap", "_scale", "_edge")
+    keyed = fork(keyed)
+    mass = keyed.groupBy(*keys, "_src").agg(F.first("_m").alias("_m"), F.count(F.lit(1)).alias("_rows"))
+    pool = mass.groupBy(*keys).agg(F.sum("_m").alias("_t"), F.sum("_rows").alias("_all"), F.count(F.lit(1)).alias("_groups"), F.min("_m").alias("_least"))
+    biggest = (
+        mass.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_m"), "_src")))
+        .filter(F.col("_r") <= top)
+        .groupBy(*keys).agg(F.sort_array(F.collect_list("_m"), asc=False).alias("_top"))
+    )
+    factors = pool.join(biggest, keys).withColumn("_st", state).select(*keys, "_all", cap.alias("_cap"), F.col("_st.scale").alias("_scale"), edge.alias("_edge"))
     return attach(keyed, factors, keys, "_all", F.col("row_ix")).withColumn("weight", F.col("weight") * factor).drop(
         "_src", "_m", "_cap", "_scale", "_edge")
 
 
-def balance_strata(rows: DataFrame, keys: Sequence[str], min_share: float) -> DataFrame:
+def balance_strata(rows: DataFrame, keys: Sequence[str], min_share: float, whole: bool = False) -> DataFrame:
     """Equal weight for every stratum of at least ``min_share``; the rest is one more."""
     keys = list(keys)
-    keyed = with_totals(rows.withColumn("_s", _spread("stratum")), [*keys, "_s"], {"_m": F.sum("weight")}, F.col("row_ix"))
-    keyed = with_totals(keyed, keys, {"_t": F.sum("weight")}, F.col("row_ix"))
-    small = F.col("_m") / F.col("_t") < min_share
-    keyed = fork(keyed.withColumn("_small", F.coalesce(small, F.lit(True))))
-    strata_rows = keyed.groupBy(*keys, "_s").agg(F.first("_small").alias("_small"), F.first("_m").alias("_m"), F.count(F.lit(1)).alias("_rows"))
-    shape = strata_rows.groupBy(*keys).agg(
-        F.sum("_rows").alias("_all"), F.count_if(~F.col("_small")).alias("_big"), F.sum(F.when(F.col("_small"), F.col("_m"))).alias("_other"))
+    keyed = with_totals(rows.withColumn("_s", _spread("stratum")), [*keys, "_s"], {"_m": F.sum("weight")}, F.col("row_ix"), whole)
+    keyed = with_totals(keyed, keys, {"_t": F.sum("weight")}, F.col("row_ix"), whole)
+    small = F.try_divide("_m", "_t") < min_share
+    keyed = keyed.withColumn("_small", F.coalesce(small, F.lit(True)))
     strata = F.col("_big") + F.col("_other").isNotNull().cast("int")
     own = F.when(F.col("_small"), F.col("_other")).otherwise(F.col("_m"))
     factor = F.when((F.col("_t") > 0) & (own > 0), F.col("_t") / own / strata).otherwise(1.0)
+    if whole:
+        pool = Window.partitionBy(*keys)
+        keyed = keyed.withColumn("_r", F.dense_rank().over(pool.orderBy("_small", "_s")))
+        keyed = keyed.withColumns({"_big": F.coalesce(F.max(F.when(~F.col("_small"), F.col("_r"))).over(pool), F.lit(0)),
+                                   "_other": F.sum(F.when(F.col("_small"), F.col("weight"))).over(pool)})
+        return keyed.withColumn("weight", F.col("weight") * factor).drop("_s", "_m", "_t", "_small", "_r", "_big", "_other")
+    keyed = fork(keyed)
+    strata_rows = keyed.groupBy(*keys, "_s").agg(F.first("_small").alias("_small"), F.first("_m").alias("_m"), F.count(F.lit(1)).alias("_rows"))
+    shape = strata_rows.groupBy(*keys).agg(
+        F.sum("_rows").alias("_all"), F.count_if(~F.col("_small")).alias("_big"), F.sum(F.when(F.col("_small"), F.col("_m"))).alias("_other"))
     return attach(keyed, shape, keys, "_all", F.col("row_ix")).withColumn("weight", F.col("weight") * factor).drop("_s", "_m", "_t", "_small", "_big", "_other")
 
 
-def reweight(rows: DataFrame, keys: Sequence[str], rules: PoolRules) -> DataFrame:
-    """Weight factors in their fixed order; later ones see the earlier results."""
+def reweight(rows: DataFrame, keys: Sequence[str], rules: PoolRules, whole: bool = False) -> DataFrame:
+    """Weight factors in their fixed order; later ones see the earlier results. ``whole``: a step of ``by_size`` on pools that one task may hold."""
     reason = window_reason(rules)
     rows = rows.withColumn("window_reason", reason)
     inside = F.col("window_reason").isNull()
     rows = rows.withColumns({c: F.when(inside, F.col(c)).otherwise(0.0) for c in ("weight", "valve_weight", "age_weight")})
     if rules.event_collapse:
-        rows = collapse_events(rows, keys)
+        rows = collapse_events(rows, keys, whole)
     if rules.cluster_exponent > 0:
-        rows = downweight_clusters(rows, keys, rules.cluster_exponent)
+        rows = downweight_clusters(rows, keys, rules.cluster_exponent, whole)
     if rules.harmonic:
-        rows = harmonic_discount(rows, keys)
-    rows = cap_sources(rows, keys, rules.max_source_share)
+        rows = harmonic_discount(rows, keys, whole)
+    rows = cap_sources(rows, keys, rules.max_source_share, whole)
     if rules.strata:
-        rows = balance_strata(rows, keys, rules.min_stratum_share)
+        rows = balance_strata(rows, keys, rules.min_stratum_share, whole)
     return rows
 
 
@@ -235,14 +254,14 @@ def kish(w: Column, w2: Column, n: Column) -> Column:
     return F.when((w > 0) & (w2 > 0), F.greatest(F.lit(1.0), F.least(n.cast("double"), w * w / w2))).otherwise(n.cast("double"))
 
 
-def with_swing(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+def with_swing(cells: DataFrame, keys: Sequence[str], whole: bool = False) -> DataFrame:
     """Change of the pooled mean when the cell's outlet is left out.
 
     The mean without an outlet follows from the pool's sums minus the outlet's,
     so nothing is pooled again.
     """
-    cells = with_totals(cells, [*keys, "source_id"], {"_sw": F.sum("w"), "_swl": F.sum("wl"), "_six": F.min("first_ix")}, F.hash("_pos_cluster", "_neg_cluster"))
-    cells = with_totals(cells, keys, {"_tw": F.sum("w"), "_twl": F.sum("wl"), "_tl": F.sum("l"), "_tn": F.sum("n")}, F.hash("source_id", "_pos_cluster", "_neg_cluster"))
+    cells = with_totals(cells, [*keys, "source_id"], {"_sw": F.sum("w"), "_swl": F.sum("wl"), "_six": F.min("first_ix")}, F.hash("_pos_cluster", "_neg_cluster"), whole)
+    cells = with_totals(cells, keys, {"_tw": F.sum("w"), "_twl": F.sum("wl"), "_tl": F.sum("l"), "_tn": F.sum("n")}, F.hash("source_id", "_pos_cluster", "_neg_cluster"), whole)
     rest = F.col("_tw") - F.col("_sw")
     empty = rest <= F.col("_tw") * 1e-12
     full = S.stance(S.sigmoid(F.col("_twl") / F.col("_tw")))
@@ -283,13 +302,19 @@ def pool_sources(rows: DataFrame, keys: Sequence[str], rules: PoolRules = PoolRu
 
 def aggregate_pool(rows: DataFrame, keys: Sequence[str], rules: PoolRules = PoolRules()) -> DataFrame:
     """One result row per pool: abstain, settle, or pool with an interval."""
+    return by_size(rows, keys, lambda part, whole: pool_weighted(reweight(part, keys, rules, whole), keys, rules, whole))
+
+
+def pool_weighted(rows: DataFrame, keys: Sequence[str], rules: PoolRules, whole: bool = False) -> DataFrame:
+    """``aggregate_pool`` of rows whose weights are final."""
     keys = list(keys)
-    cells = with_swing(pool_cells(reweight(rows, keys, rules), keys, rules), keys)
-    outlets = F.count_distinct(F.when(F.col("_swing").isNotNull(), F.col("source_id")))
+    cells = with_swing(pool_cells(rows, keys, rules), keys, whole)
+    # a count of distinct values would deal the cells of a whole pool out again
+    distinct = (lambda c: F.size(F.collect_set(c)).cast("long")) if whole else F.count_distinct
     totals = cells.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in SUMS], *[F.max(c).alias(c) for c in CLAIM_COLS],
-        F.count_distinct("_pos_cluster").alias("pos_clusters"), F.count_distinct("_neg_cluster").alias("neg_clusters"),
-        outlets.alias("_outlets"), F.max("_swing").alias("_swing"),
+        distinct(F.col("_pos_cluster")).alias("pos_clusters"), distinct(F.col("_neg_cluster")).alias("neg_clusters"),
+        distinct(F.when(F.col("_swing").isNotNull(), F.col("source_id"))).alias("_outlets"), F.max("_swing").alias("_swing"),
         F.max_by("source_id", F.when(F.col("_swing").isNotNull(), F.struct(F.round("_swing", 12), -F.col("_six")))).alias("_dom"))
     several = F.col("_outlets") >= 2
     totals = totals.withColumn("max_swing", F.when(several, F.col("_swing"))).withColumn(

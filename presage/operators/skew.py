@@ -9,7 +9,7 @@ a chain of them grows linearly.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -64,9 +64,31 @@ def attach(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], n: str, r
     return join_back(rows, per_group, keys, n, row_id).drop(n)
 
 
-def with_totals(rows: DataFrame, keys: Sequence[str], aggs: dict[str, Column], row_id: Column) -> DataFrame:
-    """Attach aggregates of a row's group to the row (a window without ordering)."""
+def by_size(rows: DataFrame, keys: Sequence[str], step: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """``step(rows, whole)`` on the groups of ``keys``, those one task may hold apart from the others.
+
+    Groups of at most HOT_MIN_ROWS rows are dealt out whole in one shuffle, so
+    windows and aggregates on ``keys`` and more need no other; ``step`` is told
+    by ``whole``. The larger ones, if there are any, go through it spread over tasks.
+    """
+    keys = list(keys)
+    large = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_MIN_ROWS).drop("_n"))
+    if large.isEmpty():
+        return step(rows.repartition(*keys), True)
+    rows = cut_lineage(rows)
+    of_large = large.select(*[F.col(k).alias(f"_r_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    small = step(rows.join(of_large, same, "left_anti").repartition(*keys), True)
+    return small.unionByName(step(rows.join(of_large, same, "left_semi"), False))
+
+
+def with_totals(rows: DataFrame, keys: Sequence[str], aggs: dict[str, Column], row_id: Column, whole: bool = False) -> DataFrame:
+    """Attach aggregates of a row's group to the row (a window without ordering); ``whole``: one task may hold a group."""
     keys = list(keys)
+    if whole:
+        return rows.withColumns({name: agg.over(Window.partitionBy(*keys)) for name, agg in aggs.items()})
     rows = cut_lineage(rows)
     totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_group"), *[agg.alias(name) for name, agg in aggs.items()])
     return join_back(rows, totals, keys, "_n_group", row_id).drop("_n_group")
@@ -78,14 +100,17 @@ def with_rank(
     bucket: Sequence[Column],
     order: Sequence[Column],
     name: str = "rank",
+    whole: bool = False,
 ) -> DataFrame:
-    """1-based rank inside a group of any size.
+    """1-based rank inside a group of any size, or (``whole``) of one that a task may hold.
 
     ``bucket`` are columns whose ascending order agrees with ``order`` and which
     cut a group into small pieces (a day, an ordinal block). Rank is the number
     of rows in earlier buckets plus the position inside the own bucket.
     """
     keys = list(keys)
+    if whole:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
     rows = cut_lineage(rows)
     bnames = [f"_b{i}" for i in range(len(bucket))]
     rows = rows.withColumns(dict(zip(bnames, bucket)))
