@@ -173,7 +173,8 @@ def settlement_votes(spark, sf):
 
 @Q.add("event_collapse_weights", with_views("pools pool_rows", "SELECT pool_id, row_ix, round(weight, 10) AS weight FROM w2", EVIDENCE_SQL))
 def event_collapse_weights(spark, sf):
-    return PL.reweight(evidence(spark, sf), ["pool_id"], PLAIN).select("pool_id", "row_ix", rounded(F.col("weight")).alias("weight"))
+    rows = skew.by_size(evidence(spark, sf), ["pool_id"], lambda part, whole: PL.reweight(part, ["pool_id"], PLAIN, whole))
+    return rows.select("pool_id", "row_ix", rounded(F.col("weight")).alias("weight"))
 
 
 @Q.add("outlet_rank_discount", with_views("pools pool_rows", """
@@ -181,14 +182,15 @@ SELECT pool_id, row_ix, round(1.0::DOUBLE / CASE WHEN source_id IS NULL THEN 1 E
   PARTITION BY pool_id, source_id ORDER BY published_date DESC NULLS LAST, row_ix) END, 10) AS factor FROM pool_rows"""))
 def outlet_rank_discount(spark, sf):
     rows = fx.pool_rows(spark, sf).withColumn("weight", F.lit(1.0))
-    return PL.harmonic_discount(rows, ["pool_id"]).select("pool_id", "row_ix", rounded(F.col("weight")).alias("factor"))
+    return skew.by_size(rows, ["pool_id"], lambda part, whole: PL.harmonic_discount(part, ["pool_id"], whole)).select("pool_id", "row_ix", rounded(F.col("weight")).alias("factor"))
 
 
 @Q.add("capped_source_weights", with_views("pools pool_rows", """
 SELECT pool_id, row_ix, round(weight, 10) AS weight FROM w4""", EVIDENCE_SQL + "," + FULL_SQL))
 def capped_source_weights(spark, sf):
     rules = PoolRules(cluster_exponent=0.5, harmonic=True, max_source_share=0.2)
-    return PL.reweight(evidence(spark, sf), ["pool_id"], rules).select("pool_id", "row_ix", rounded(F.col("weight")).alias("weight"))
+    rows = skew.by_size(evidence(spark, sf), ["pool_id"], lambda part, whole: PL.reweight(part, ["pool_id"], rules, whole))
+    return rows.select("pool_id", "row_ix", rounded(F.col("weight")).alias("weight"))
 
 
 @Q.add("logit_pool", with_views("pools pool_rows", """
