@@ -40,9 +40,13 @@ m AS (SELECT *, m / sum(m) OVER (PARTITION BY pool_id, th) < th AS small, sum(m)
 f AS (SELECT *, CASE WHEN small THEN sum(m) FILTER (WHERE small) OVER q ELSE m END AS own, count(*) FILTER (WHERE NOT small) OVER q + CASE WHEN count(*) FILTER (WHERE small) OVER q > 0 THEN 1 ELSE 0 END AS k FROM m WINDOW q AS (PARTITION BY pool_id, th))
 SELECT pool_id, th AS threshold, round(2 / (1 + exp(-sum(w * tt / own / k * ln(p / (1 - p))) / sum(w * tt / own / k))) - 1, 10) AS mean FROM t JOIN f USING (pool_id, th, st) WHERE own > 0 GROUP BY 1, 2""", EVIDENCE_SQL).replace("\n\n, t AS", ",\nt AS"))
 def strata_threshold_sweep(spark, sf):
-    rows = evidence(spark, sf).withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in (0.05, 0.1, 0.2)])))
-    rows = PL.balance_strata(rows, ["pool_id", "threshold"], F.col("threshold"))
-    return PL.pool_sources(rows, ["pool_id", "threshold"], PLAIN).select("pool_id", "threshold", rounded(F.col("mean")).alias("mean"))
+    keys = ["pool_id", "threshold"]
+
+    def sweep(rows, whole):
+        rows = rows.withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in (0.05, 0.1, 0.2)])))
+        return PL.pool_sources(PL.balance_strata(rows, keys, F.col("threshold"), whole), keys, PLAIN)
+
+    return skew.by_size(evidence(spark, sf), ["pool_id"], sweep).filter("evidence_mass > 0").select(*keys, rounded(F.col("mean")).alias("mean"))
 
 
 def outliers(spark, sf):
