@@ -51,17 +51,27 @@ def strata_threshold_sweep(spark, sf):
 
 def outliers(spark, sf):
     """Signals per pool: pin gap, band, centre gap, weight concentration, near-zero rows."""
-    rows = evidence(spark, sf).withColumn("variant", F.explode(F.array(F.lit("live"), F.lit("unpinned"))))
-    rows = rows.withColumn("settled", F.col("settled") & (F.col("variant") == "live"))
-    res = PL.aggregate_pool(rows, ["pool_id", "variant"], PLAIN)
+    def pooled(rows, whole):
+        base = rows if whole else skew.fork(rows)
+        shape = [F.try_divide(F.max("weight"), F.sum("weight")).alias("max_weight_share"), F.count_if(F.col("weight") < 0.01).alias("near_zero_rows"), F.avg(F.col("settled").cast("double")).alias("settled_share")]
+        if whole:
+            shaped = base.groupBy("pool_id").agg(*shape, F.percentile("stance", F.lit(0.5)).alias("median")).filter("median is not null")
+        else:
+            mid = skew.exact_quantiles(base, ["pool_id"], "stance", [0.5]).select("pool_id", F.col("q").alias("median"))
+            shaped = base.groupBy("pool_id").agg(*shape).join(mid, "pool_id")
+        # no factor of a weight looks at whether its row is settled, so both variants share the weights
+        rows = PL.reweight(base, ["pool_id"], PLAIN, whole).withColumn("variant", F.explode(F.array(F.lit("live"), F.lit("unpinned"))))
+        rows = rows.withColumn("settled", F.col("settled") & (F.col("variant") == "live"))
+        return PL.pool_weighted(rows, ["pool_id", "variant"], PLAIN, whole).join(shaped, "pool_id")
+
+    res = skew.by_size(evidence(spark, sf), ["pool_id"], pooled)
     live, free = F.col("variant") == "live", F.col("variant") == "unpinned"
+    shape = ("max_weight_share", "near_zero_rows", "settled_share", "median")
     wide = res.groupBy("pool_id").agg(
         F.max(F.when(live, F.col("mean"))).alias("mean"), F.max(F.when(free & F.col("insufficient_reason").isNull(), F.col("mean"))).alias("free_mean"), F.max(F.when(live, F.col("settled"))).alias("settled"),
-        F.max(F.when(live, (F.col("ci_high") - F.col("ci_low")) * 50)).alias("band_pct"), F.max(F.when(live, F.col("n_eff") / F.col("n"))).alias("n_eff_ratio"), F.max(F.when(live, F.col("max_swing"))).alias("max_swing"))
-    base = evidence(spark, sf)
-    shape = base.groupBy("pool_id").agg((F.max("weight") / F.sum("weight")).alias("max_weight_share"), F.count_if(F.col("weight") < 0.01).alias("near_zero_rows"), F.avg(F.col("settled").cast("double")).alias("settled_share"))
-    mid = skew.exact_quantiles(base, ["pool_id"], "stance", [0.5]).select("pool_id", F.col("q").alias("median"))
-    return wide.join(shape, "pool_id").join(mid, "pool_id").select(
+        F.max(F.when(live, (F.col("ci_high") - F.col("ci_low")) * 50)).alias("band_pct"), F.max(F.when(live, F.col("n_eff") / F.col("n"))).alias("n_eff_ratio"), F.max(F.when(live, F.col("max_swing"))).alias("max_swing"),
+        *[F.max(c).alias(c) for c in shape])
+    return wide.select(
         "pool_id", "settled", F.when(F.col("settled"), F.abs(F.col("mean") - F.col("free_mean")) / 2).alias("pin_gap"), "band_pct", (F.abs(F.col("mean") - F.col("median")) / 2).alias("centre_gap"),
         "n_eff_ratio", "max_weight_share", "near_zero_rows", "settled_share", "max_swing")
 
