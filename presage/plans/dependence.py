@@ -8,7 +8,7 @@ from presage.functions import text as X
 from presage.operators import dependence as D, pooling as PL
 from presage.plans.pooling import DECIDE, EVIDENCE_SQL, FULL, FULL_SQL, _out, decide_sql
 from presage.plans.registry import Registry
-from presage.session import rounded
+from presage.session import cut_lineage, rounded
 from presage.sources import fixtures as fx
 from presage.sources.fixtures import with_views
 
@@ -36,7 +36,8 @@ def pooled_forecasts_clustered(spark, sf):
     """Pools under full weighting whose clusters are computed from the rows' texts."""
     rows = PL.row_weights(D.with_text_clusters(fx.reported_rows(spark, sf), ["pool_id"], "report_text"), FULL)
     key = X.event_key(F.col("event_actors"), F.col("event_target"), F.coalesce("settlement_event_date", "published_date"))
-    return _out(PL.aggregate_pool(rows.withColumn("event_key", key), ["pool_id"], FULL))
+    rows = rows.withColumn("event_key", key).drop("report_text", "attributed_to", "event_actors", "event_target", "user_id", "event_type", "k")
+    return _out(PL.aggregate_pool(cut_lineage(rows), ["pool_id"], FULL))
 
 
 def _spread_sql(group: str, name: str) -> str:
