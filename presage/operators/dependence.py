@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from presage.functions import scalars as S
 from presage.operators.pooling import PoolRules, pool_sources
 from presage.operators.similarity import components, text_clusters
-from presage.operators.skew import attach, fork, with_totals
+from presage.operators.skew import attach, by_size, fork, with_totals
 from presage.session import cut_lineage
 
 
@@ -64,9 +64,9 @@ def _spread(rows: DataFrame, keys: Sequence[str], group: str, name: str) -> Data
         F.count(F.lit(1)).alias(f"{name}_groups"), F.coalesce(F.sum(F.when(F.col("_c") > 1, F.col("_c"))), F.lit(0)).alias(f"{name}_echoed"), F.max("_c").alias(f"{name}_largest"))
 
 
-def study_weights(rows: DataFrame, keys: Sequence[str], half_life: float = 7.0) -> DataFrame:
+def study_weights(rows: DataFrame, keys: Sequence[str], half_life: float = 7.0, whole: bool = False) -> DataFrame:
     """``weight`` = credibility x evidence x recency x relevance, aged from the pool's newest row; what is missing counts as usual."""
-    rows = with_totals(rows, keys, {"_newest": F.max("published_date")}, F.col("row_ix"))
+    rows = with_totals(rows, keys, {"_newest": F.max("published_date")}, F.col("row_ix"), whole)
     weight = (F.coalesce("credibility_weight", F.lit(1.0)) * F.coalesce("evidence_weight", F.lit(0.6))
               * S.recency(F.col("published_date"), F.col("_newest"), half_life) * F.coalesce(S.relevance_weight(F.col("relevance")), F.lit(1.0)))
     return rows.withColumn("weight", weight).drop("_newest")
@@ -89,8 +89,9 @@ def collapsed_shift(rows: DataFrame, keys: Sequence[str], group: str, name: str,
 def dependence_study(rows: DataFrame, keys: Sequence[str], event: str, voice: str, text: str) -> DataFrame:
     """Per pool: how far three rules group its rows, and how far two of them move the pooled probability."""
     keys = list(keys)
-    rows = fork(study_weights(rows, keys))
-    rows = cut_lineage(rows.join(report_clusters(rows, keys, event, voice, text), "row_ix"))
+    weighed = by_size(rows, keys, lambda part, whole: study_weights(part, keys, whole=whole))
+    rows = fork(weighed.select("row_ix", *keys, event, voice, text, "stance", "weight"))
+    rows = cut_lineage(rows.drop(text).join(report_clusters(rows, keys, event, voice, text), "row_ix"))
     out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), (F.count(voice) / F.count(F.lit(1))).alias("voice_fill"))
     for group, name in ((voice, "voice"), (event, "event"), ("report_id", "report")):
         out = out.join(_spread(rows, keys, group, name), keys)

@@ -94,3 +94,15 @@ def test_shift_needs_two_rows_and_two_groups(spark):
 def test_a_null_text_has_no_grams(spark):
     got = spark.sql("SELECT CAST(NULL AS STRING) AS t UNION ALL SELECT '' UNION ALL SELECT 'a b'").select(X.shingle_set(F.col("t")).alias("s")).collect()
     assert sorted(r["s"] for r in got) == [[], [], ["a b"]]
+
+
+def test_weights_of_small_pools_are_not_written(spark, monkeypatch):
+    from presage.operators import skew
+
+    rows = spark.sql("SELECT id AS row_ix, id % 3 AS k, 0.5D AS credibility_weight, 1.0D AS evidence_weight, 0.8D AS relevance, date_add(DATE '2024-01-01', CAST(id % 11 AS INT)) AS published_date FROM range(30)")
+    written, cut = [], skew.cut_lineage
+    monkeypatch.setattr(skew, "cut_lineage", lambda df: written.append(1) or cut(df))
+    weights = lambda whole: {r.row_ix: r.weight for r in D.study_weights(rows, ["k"], whole=whole).collect()}
+    small = weights(True)
+    assert not written and len(small) == 30
+    assert weights(False) == small and written
