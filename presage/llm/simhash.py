@@ -183,7 +183,7 @@ def apart(a: Column, b: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, distance: int = 2, parts: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key, fingerprint, component_id (smallest doc_id reachable) of every row.
+    """doc_id, text_key, fingerprint, component_id (smallest doc_id reachable), root (smallest fingerprint reachable) of every row.
 
     Rows whose fingerprints differ in ``distance`` bits or fewer are linked.
     Null text counts as empty; texts without words share the fingerprint zero.
@@ -196,8 +196,8 @@ def near_duplicates(docs: DataFrame, distance: int = 2, parts: int = 3, shingle:
     labelled = firsts.join(roots, firsts["fingerprint"] == roots["node"], "left").select("fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root"))
     labelled = cut_lineage(labelled)
     named = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    told = cut_lineage(labelled.join(cut_lineage(named), "root").select("fingerprint", "component_id"))
-    return rows.join(told.hint("merge"), "fingerprint").select("doc_id", "text_key", "fingerprint", "component_id")
+    told = cut_lineage(labelled.join(cut_lineage(named), "root").select("fingerprint", "component_id", "root"))
+    return rows.join(told.hint("merge"), "fingerprint").select("doc_id", "text_key", "fingerprint", "component_id", "root")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: Callable[..., DataFrame] = near_duplicates, **how) -> DataFrame:

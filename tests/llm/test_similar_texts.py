@@ -105,3 +105,21 @@ def test_linked_fingerprints_propose(spark, monkeypatch):
     near = {d for (d, _), p in zip(rows, prints) if int(p ^ prints[0]).bit_count() <= 2}
     got = found(spark, rows)
     assert len(near) > 1 and all(got[d] == 0 for d in near) and got[9] == 9
+
+
+def test_all_linked_fingerprints_propose(spark, monkeypatch):
+    """A crowd whose only like texts are neither the least nor the greatest linked fingerprint of each other."""
+    from presage.llm import simhash
+
+    lists = [[f"{c}{i}" for i in range(60)] for c in "uvwx"]
+    texts = {" ".join(lists[0]): 0, " ".join(lists[1]): 4, " ".join([*lists[1], "end"]): 5, " ".join(lists[2]): 7}
+    rows = list(enumerate(texts))
+    code = similar_texts.F.create_map(*[similar_texts.F.lit(x) for t, p in texts.items() for x in (t, p)])
+
+    def chosen(docs, shingle=3, id_col="doc_id", text_col="text"):
+        text = similar_texts.F.col(text_col)
+        return docs.select(similar_texts.F.col(id_col).alias("doc_id"), similar_texts.F.xxhash64(text).alias("text_key"), code[text].cast("long").alias("fingerprint"))
+
+    monkeypatch.setattr(simhash, "fingerprints", chosen)
+    monkeypatch.setattr(similar_texts, "sketches", lambda docs, size, plain=similar_texts.sketches: plain(docs, size).withColumn("bands", similar_texts.F.array(similar_texts.F.col("set_key"))))
+    assert found(spark, rows) == grouped(rows) == {0: 0, 1: 1, 2: 1, 3: 3}
