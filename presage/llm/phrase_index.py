@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from presage.llm.common import by_bytes, coded, ranges, strings, translated, words_of
-from presage.session import cut_lineage
+from presage.session import LARGE_ROWS, cut_lineage, row_by_row
 
 SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20
@@ -34,7 +34,7 @@ def folded_words(column: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index of whole texts as a table in the shared folder, one row per shard.
+    """The index of whole texts as a table in the shared folder, one row per shard, read by a session that takes shards one by one.
 
     Words are runs of 0-9, a-z and bytes above ASCII after lower-casing A-Z.
     Null text has no words; null or repeated doc_ids are separate documents.
@@ -56,7 +56,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             shard += 1
 
     text = F.col(text_col).cast("string")
-    return cut_lineage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text")).mapInArrow(run, SHARD))
+    shards = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text")).mapInArrow(run, SHARD)
+    return cut_lineage(shards, row_by_row(docs.sparkSession), **LARGE_ROWS)
 
 
 class Phrases:
@@ -123,14 +124,16 @@ def search(index: DataFrame, items: DataFrame, window: int = 10, slop: int = 0,
     nothing; repeated items count once; null item ids are searched as the text
     "null". Every document has a row, those without words or hits too.
     """
-    spark = index.sparkSession
+    spark = items.sparkSession
     items = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).cast("string").alias("text")).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-2 * size // BLOCK_BYTES))
     parts = []
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
-        parts.append(_search_block(index, spark.sparkContext.broadcast(Phrases([r["item"] for r in rows], [r["text"] for r in rows], window)), slop))
+        shared = spark.sparkContext.broadcast(Phrases([r["item"] for r in rows], [r["text"] for r in rows], window))
+        parts.append(cut_lineage(_search_block(index, shared, slop), spark))
+        shared.destroy()  # one block at a time is held
     if len(parts) == 1:
         return parts[0]
     every = parts[0]

@@ -21,19 +21,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _LOCAL: dict[str, str] = {}
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, reader: SparkSession | None = None, **how: str) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and read on from there.
 
     Survives lost executors, computes the input once, and gives later steps
-    real file sizes, column pruning and pushed filters.
+    real file sizes, column pruning and pushed filters. ``reader``: the session
+    that reads on, if another; ``how``: options of the writer.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/presage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**how).parquet(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return (reader or spark).read.schema(df.schema).parquet(path)
+
+
+#: Writer's options for rows of megabytes: the size of a row group is asked after each row, not after a hundred.
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1"}
+
+
+def row_by_row(spark: SparkSession) -> SparkSession:
+    """A session like ``spark`` that reads rows of megabytes one by one and hands them to Python so; thousands would meet in memory else."""
+    own = spark.newSession()
+    for key in ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch"):
+        own.conf.set(key, "1")
+    return own
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
