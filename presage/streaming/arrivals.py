@@ -35,7 +35,9 @@ class BandTable:
 
     def extend(self, posts: DataFrame, epoch: int) -> None:
         there = self.rows().filter(F.col("epoch") == epoch).select("bucket", "seq")
-        fresh = cut_lineage(posts.select("bucket", "seq", "id", F.lit(epoch).cast("long").alias("epoch")).join(there, ["bucket", "seq"], "left_anti"))
+        fresh = posts.select("bucket", "seq", "id", F.lit(epoch).cast("long").alias("epoch"))
+        if not there.isEmpty():  # the batch runs again
+            fresh = cut_lineage(fresh.join(there.hint("merge"), ["bucket", "seq"], "left_anti"))
         fresh.repartition(self.buckets, "bucket").write.insertInto(self.name)
 
 
@@ -51,13 +53,13 @@ def keep_first(bands: BandTable, out: str, text: str, distance: int = 8) -> Call
     def write(batch: DataFrame, epoch: int) -> None:
         fp = cut_lineage(SM.simhash(batch, text))
         items = cut_lineage(SM.fingerprint_items(fp))
-        posts = cut_lineage(SM.sequenced_postings(items, distance))
-        stored = cut_lineage(SM.first_match(posts, bands.before(epoch), distance))
-        rest = cut_lineage(posts.join(stored.select("seq"), "seq", "left_anti"))
-        leaders = SM.first_leaders(rest, distance)
-        kept = cut_lineage(rest.join(leaders.select("seq"), "seq", "left_semi"))
-        told = cut_lineage(items.join(stored.unionByName(SM.first_match(rest, kept, distance)), "seq").select(F.col("id").alias("fp"), "canonical"))
-        fp.join(told, "fp").select("id", "fp", "canonical").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        bands.extend(kept, epoch)
+        # tables as long as the batch are merged: a broadcast would hold them in the driver
+        stored = cut_lineage(SM.first_match(SM.sequenced_postings(items, distance).hint("merge"), bands.before(epoch), distance))
+        rest = cut_lineage(items.join(stored.select("seq").hint("merge"), "seq", "left_anti"))
+        matched = SM.first_among(rest, distance)
+        told = items.join(stored.unionByName(matched).hint("merge"), "seq", "left").select(F.col("id").alias("fp"), F.coalesce("canonical", "seq").alias("canonical"))
+        fp.join(told.hint("merge"), "fp").select("id", "fp", "canonical").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        kept = rest.join(matched.filter("canonical <> seq").select("seq").hint("merge"), "seq", "left_anti")
+        bands.extend(SM.sequenced_postings(kept, distance), epoch)
 
     return write
