@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -85,26 +87,22 @@ def cell_states(runs: DataFrame, keys: list[str], order: str, status: str, max_a
     return board.withColumn("parked", (F.col("status") == "failed") & (F.col("failed") >= max_attempts))
 
 
-MARKET_STATE = "asked_s double, open boolean"
+#: Of the markets of a shard: their ids and last asked seconds (NaN: never), whether a position is open, and the millisecond after which they are idle.
+MARKET_STATE = "ids binary, asked binary, opened binary, until binary"
 MARKET_OUT = "market_id long, seq long, ask boolean, trade string"
 MARKET_IDLE_DAYS = 90
 
 
-def market_decisions(snapshots: DataFrame, stale_hours: float = 20.0, threshold: float = 0.10, delay: str = "1 day") -> DataFrame:
+def market_decisions(snapshots: DataFrame, stale_hours: float = 20.0, threshold: float = 0.10, delay: str = "1 day", shards: int = 2048) -> DataFrame:
     """Ask-again and one-open-position decisions with state per market.
 
     ``snapshots``: market_id, seq, ts, market_yes, model_yes, closed. State is
-    two values per market, dropped ninety days after its last snapshot. The rows
+    two values per market, dropped ninety days after its last snapshot. Markets
+    are dealt to ``shards``, so a micro-batch calls Python once a shard and not
+    once a market, and writes the state of the shards it has rows of. The rows
     of a market in one micro-batch, which the trigger bounds, are decided in order.
     """
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        asked, opened = state.get if state.exists else (None, False)
-        # plain lists: a market has a few rows, so the cost of a frame would be most of the work
-        columns = [[b[c].to_numpy() for c in ("seq", "ts", "market_yes", "model_yes", "closed")] for b in batches]
-        rows = sorted(r for seq, ts, *rest in columns for r in zip(seq.tolist(), ts.astype("datetime64[us]").astype("int64").tolist(), *[x.tolist() for x in rest]))
+    def decide(rows: list[tuple], asked: float | None, opened: bool) -> tuple[list[bool], list[str | None], float | None, bool]:
         asks, trades = [], []
         for _, micros, market_yes, model_yes, closed in rows:
             now = micros / 1e6
@@ -119,12 +117,42 @@ def market_decisions(snapshots: DataFrame, stale_hours: float = 20.0, threshold:
                 opened = trade is not None
             asks.append(ask)
             trades.append(trade)
-        state.update((asked, opened))
-        idle_until = max(r[1] for r in rows) // 1000 + MARKET_IDLE_DAYS * 86_400_000
-        state.setTimeoutTimestamp(max(idle_until, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"market_id": [key[0]] * len(rows), "seq": [r[0] for r in rows], "ask": asks, "trade": trades})
+        return asks, trades, asked, opened
+
+    def known(state: GroupState) -> dict[int, tuple[float | None, bool, int]]:
+        if not state.exists:
+            return {}
+        ids, asked, opened, until = (np.frombuffer(x, kind).tolist() for x, kind in zip(state.get, (np.int64, np.float64, np.bool_, np.int64)))
+        return {i: (None if a != a else a, o, u) for i, a, o, u in zip(ids, asked, opened, until)}
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        markets, fresh, now = known(state), defaultdict(list), state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            for b in batches:
+                ts = b["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+                for market, *row in zip(b["market_id"].tolist(), b["seq"].tolist(), ts, *[b[c].to_numpy().tolist() for c in ("market_yes", "model_yes", "closed")]):
+                    fresh[market].append(tuple(row))
+        out = [[], [], [], []]
+        for market, rows in fresh.items():
+            rows.sort()
+            asks, trades, *after = decide(rows, *markets.get(market, (None, False))[:2])
+            markets[market] = (*after, max(max(r[1] for r in rows) // 1000 + MARKET_IDLE_DAYS * 86_400_000, now + 1))
+            for column, values in zip(out, ([None if key[1] else market] * len(rows), [r[0] for r in rows], asks, trades)):
+                column += values
+        markets = {m: x for m, x in markets.items() if x[2] >= now}
+        if markets:
+            asked, opened, until = zip(*markets.values())
+            state.update((np.array([*markets], np.int64).tobytes(), np.array([np.nan if a is None else a for a in asked]).tobytes(), np.array(opened, np.bool_).tobytes(), np.array(until, np.int64).tobytes()))
+            state.setTimeoutTimestamp(min(until))
+        else:
+            state.remove()
+        if fresh:
+            yield pd.DataFrame(dict(zip(("market_id", "seq", "ask", "trade"), out)))
 
-    return snapshots.withWatermark("ts", delay).groupBy("market_id").applyInPandasWithState(step, MARKET_OUT, MARKET_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    market = F.col("market_id")
+    dealt = snapshots.withWatermark("ts", delay).withColumns({
+        "shard": F.pmod(F.xxhash64(market), F.lit(shards)).cast("int"), "lone": market.isNull(), "market_id": F.coalesce(market.cast("long"), F.lit(0).cast("long"))})
+    return dealt.groupBy("shard", "lone").applyInPandasWithState(step, MARKET_OUT, MARKET_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, order: str = "event_id", arrivals: int = 6) -> DataFrame:
